@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that a side may have to be broadcast; larger sides are joined by a shuffle instead.
 BROADCAST_BYTES = 32 << 20
@@ -91,3 +93,19 @@ ARROW = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
     "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()), "array<double>": pa.list_(pa.float64()),
 }
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Like durable(), but as a compressed table, for many rows: a folder of its own beside the checkpoints."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenta-checkpoint-"))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, marked to be broadcast if rows of row_bytes are within BROADCAST_BYTES; else it is joined by a shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
