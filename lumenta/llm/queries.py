@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import ann, chat, decontam, line_dedup, pii, simhash, suffix_dedup, toxicity, url_filter
+from lumenta.llm import ann, chat, decontam, line_dedup, pii, sentencepiece_sampling, simhash, suffix_dedup, toxicity, url_filter
 from lumenta.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.encoded(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repaired(read(spark, sf_dir, "conversations"))
 
@@ -50,4 +54,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_neighbours, op3_url_filter, op4_simhash, op6_chat_format, op7_suffix_dedup, op8_toxicity, op9_pii, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_neighbours, op3_url_filter, op4_simhash, op5_sentencepiece, op6_chat_format, op7_suffix_dedup, op8_toxicity, op9_pii, op10_decontamination)}
