@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted in a fixed order. Each category's logistic model sees words, word beginnings and the shape of the
-text, and the log-odds of all earlier categories. For training, those earlier probabilities are out-of-fold predictions,
+Categories are predicted in a fixed order. Each category's logistic model sees how dense words and word beginnings are, the
+shape of the text, and the log-odds of all earlier categories. For training, those earlier probabilities are out-of-fold predictions,
 so a later model doesn't learn from probabilities that are better than they will be on new documents.
 
 The models are fitted on at most `sample` labelled rows (those with the smallest hashes of their ids); everything else
@@ -24,25 +24,31 @@ from lumenta.llm.decontam import words
 
 SAMPLE, FEATURES, FOLDS, PREFIXES = 8000, 256, 4, (4, 5, 6)
 #: z of a feature's two rates from which it is used, and the strength of the L2 penalty.
-LEAST_Z, PENALTY = 5.0, 1.0
+LEAST_Z, PENALTY = 5.0, 0.1
+#: Words for one of which a feature counts in full; in longer texts it counts by the square root of its density.
+SPAN = 50
 CATEGORIES: dict[str, str] = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
-def features(text: bytes | None) -> set[bytes]:
-    """Words, beginnings of longer words (marked *) and the shape of the text (marked #), each once."""
-    every = words(text)
-    own = set(every)
-    out = set(own)
-    for n in PREFIXES:
-        out.update(b"*" + w[:n] for w in own if len(w) > n)
-    if every:
+def features(text: bytes | None) -> tuple[Counter, int]:
+    """How often words, beginnings of longer words (marked *) and shapes of the text (marked #, once) are there; the number of words."""
+    every = Counter(words(text))
+    n, out = every.total(), Counter(every)
+    for word, count in every.items():
+        for k in PREFIXES:
+            if len(word) > k:
+                out[b"*" + word[:k]] += count
+    if n:
         size = len(text)
         upper = size - len(text.translate(None, bytes(range(65, 91))))
         odd = size - len(text.translate(None, b"|!$%&*#<>{}[]=_~^\\"))
-        for name, share in ((b"distinct", len(own) / len(every)), (b"upper", upper / size), (b"odd", odd / size)):
-            out.add(b"#" + name + b"%d" % min(9, int(share * 10)))
-        out.add(b"#top%d" % min(9, int(10 * Counter(every).most_common(1)[0][1] / len(every))))
-    return out
+        for name, share in ((b"distinct", len(every) / n), (b"upper", upper / size), (b"odd", odd / size), (b"top", max(every.values()) / n)):
+            out[b"#" + name + b"%d" % min(9, int(share * 10))] = n
+    return out, n
+
+
+def value(count: int, n: int) -> float:
+    return min(1.0, SPAN * count / max(n, SPAN)) ** 0.5
 
 
 @dataclass
@@ -55,9 +61,9 @@ class Chain:
     links: list[list[float]] = field(default_factory=list)
 
     def probabilities(self, text: bytes | None) -> list[float]:
-        own, odds = features(text), []
+        (own, n), odds = features(text), []
         for weights, bias, links in zip(self.weights, self.biases, self.links, strict=True):
-            z = bias + sum(weights[f] for f in sorted(own & weights.keys())) + sum(a * b for a, b in zip(links, odds, strict=True))
+            z = bias + sum(weights[f] * value(own[f], n) for f in sorted(own.keys() & weights.keys())) + sum(a * b for a, b in zip(links, odds, strict=True))
             odds.append(max(-8.0, min(8.0, z)))
         return [float(1 / (1 + np.exp(-z))) for z in odds]
 
@@ -98,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
         for batch in batches:
             seen: Counter = Counter()
             for text, *y in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                own = features(text)
+                own = features(text)[0].keys()
                 seen.update(own)
                 for j, mark in enumerate(y):
                     if mark:
@@ -122,14 +128,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(vocabulary[f] for f in features(t) & vocabulary.keys()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "x", *batch.schema.names[2:]])
+            places, values = [], []
+            for own, n in map(features, batch.column(1).to_pylist()):
+                here = sorted(own.keys() & vocabulary.keys())
+                places.append([vocabulary[f] for f in here])
+                values.append([value(own[f], n) for f in here])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), *batch.columns[2:]], names=["id", "x", "v", *batch.schema.names[2:]])
 
     # at most sample rows of at most most * k small numbers
-    table = rows.mapInArrow(vectors, "id long, x array<int>, " + ", ".join(f"y_{j} int" for j in range(k))).toArrow().sort_by("id")
+    table = rows.mapInArrow(vectors, "id long, x array<int>, v array<double>, " + ", ".join(f"y_{j} int" for j in range(k))).toArrow().sort_by("id")
     every = np.zeros((table.num_rows, len(vocabulary)))
-    for i, own in enumerate(table["x"].to_pylist()):
-        every[i, own] = 1.0
+    for i, (at, values) in enumerate(zip(table["x"].to_pylist(), table["v"].to_pylist(), strict=True)):
+        every[i, at] = values
     fold = np.arange(table.num_rows) % folds
     chain, earlier = Chain(), np.zeros((table.num_rows, 0))
     for j, name in enumerate(categories):
