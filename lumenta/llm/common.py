@@ -62,6 +62,13 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, cut: int = 1 << 1
         yield pa.Table.from_batches(held)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most rows, so that what a worker holds besides the batch itself stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def bounds(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the length at the end."""
     if not len(keys):
@@ -80,7 +87,7 @@ def widened(df: DataFrame, fn: Callable[[list], list[list]], source: str, added:
     place = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = fn(batch.column(place_of).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(batch.columns)], *(pa.array(x, ARROW[t]) for x, (_, t) in zip(made, added, strict=True))], names=[*batch.schema.names, *names_added])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import durable, widened
+from lumenta.llm.common import durable, slices, widened
 from lumenta.llm.decontam import words
 
 SAMPLE, FEATURES, FOLDS, PREFIXES = 8000, 256, 4, (4, 5, 6)
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     k, rows = len(categories), durable(labelled(docs, labels, categories, sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen: Counter = Counter()
             for text, *y in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 own = features(text)[0].keys()
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEG
     vocabulary = {f: i for i, f in enumerate(sorted({f for own in chosen for f in own}))}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             places, values = [], []
             for own, n in map(features, batch.column(1).to_pylist()):
                 here = sorted(own.keys() & vocabulary.keys())
