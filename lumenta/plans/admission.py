@@ -88,7 +88,7 @@ def _expression(e, seen: _Seen, depth: int) -> None:
         seen.star = True
     elif name in {"CurrentUser", "CallMethodViaReflection", "InputFileName"}:
         seen.functions.append({"CurrentUser": "current_user", "CallMethodViaReflection": "reflect", "InputFileName": "input_file_name"}[name])
-    if hasattr(e, "plan") and name.endswith(("Subquery", "ListQuery", "Exists", "SubqueryExpression")) or name in ("ListQuery", "Exists", "ScalarSubquery", "LateralSubquery", "UnresolvedScalarSubquery"):
+    if name in ("ListQuery", "Exists", "ScalarSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
         _plan(e.plan(), seen, depth + 1)
     for child in _seq(e.children()):
         _expression(child, seen, depth)
