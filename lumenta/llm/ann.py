@@ -3,8 +3,9 @@
 The rows are dealt out in shards of bounded size. In a shard each random projection of the vectors is kept as one sorted
 array. A query opens a window around its own projection in every array and widens all windows step by step (virtual
 rehashing: a window of width w·R is a bucket at radius R, centred on the query). A vector that lies in many windows at once
-collides often; those past the collision threshold are verified by their exact inner product. Windows stop widening once
-enough vectors are verified. Each shard gives its best; the best of those are the answer.
+collides often; those past the collision threshold are verified by their exact inner product. Windows are as wide as it
+takes for enough vectors to be verified: as collisions only grow with the radius, bisection over a few of the vectors tells
+where to start, and windows widen from there. Each shard gives its best; the best of those are the answer.
 
 Inner products are searched as distances: vectors get one more component that makes all of one length, queries a zero.
 """
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from lumenta.llm.common import durable
 
 #: Vectors in a shard, queries in a block, projections, share of them that must collide, share of a shard verified.
-SHARD, QUERIES, PROJECTIONS, THRESHOLD, VERIFIED = 1 << 13, 1 << 12, 128, 0.55, 0.15
+SHARD, QUERIES, PROJECTIONS, THRESHOLD, VERIFIED = 1 << 14, 1 << 12, 128, 0.55, 0.15
 #: Window half-widths in standard deviations of the projections, and the factor of each step.
-FIRST, GROWTH, STEPS = 0.05, 1.5, 12
+FIRST, GROWTH, STEPS = 0.05, 1.2, 25
+#: One vector in so many tells where the windows start.
+FEW = 16
 
 
 class SortedProjections:
@@ -50,37 +53,53 @@ class SortedProjections:
         self.shift = 4 * (self.length or 1.0) * np.arange(len(self.axes))
         order = np.argsort(values, axis=0, kind="stable").T
         self.values = (np.take_along_axis(values.T, order, axis=1) + self.shift[:, None]).ravel()
-        self.order = order.astype(np.int32).ravel()
-        self.starts = np.arange(len(self.axes)) * len(self.vectors)
+        n = len(self.vectors)
+        self.starts = np.arange(len(self.axes)) * n
+        # the place of each vector in each sorted array: a vector lies in a window if its place is within the window's ends
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        self.places = np.zeros((len(self.axes), n), kind)
+        np.put_along_axis(self.places, order, np.arange(n, dtype=kind)[None, :], axis=1)
+        self.all = (self.places, np.zeros_like(self.places), np.zeros(self.places.shape, bool))  # with room for what is worked out
+        some = np.ascontiguousarray(self.places[:, ::FEW])
+        self.few = (some, np.zeros_like(some), np.zeros(some.shape, bool))
         self.scale = self.length / np.sqrt(d) or 1.0
 
+    def collisions(self, centre: np.ndarray, step: int, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """How many of a step's windows around centre each entry lies in."""
+        (places, offsets, inside), reach, n = of, FIRST * GROWTH**step * self.scale, len(self.vectors)
+        a = np.clip(self.values.searchsorted(centre - reach) - self.starts, 0, n)
+        b = np.clip(self.values.searchsorted(centre + reach, "right") - self.starts, a, n)
+        np.subtract(places, a.astype(places.dtype)[:, None], out=offsets)  # places before the window wrap around
+        np.less(offsets, (b - a).astype(places.dtype)[:, None], out=inside)
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(self.axes) < 256 else np.uint16)
+
     def candidates(self, query: np.ndarray, least: int, threshold: int) -> np.ndarray:
-        """Entries in at least threshold windows, at the first radius where there are least of them, or at the last radius."""
+        """Entries in at least threshold windows, at a radius where there are least of them; all if there is none."""
         n = len(self.vectors)
         if n <= least:
             return np.arange(n)
         size = np.sqrt(query @ query)
         centre = self.axes[:, :-1] @ (query * (self.length / size)) + self.shift
-        counts, low, high = np.zeros(n, np.int64), None, None
-        width = FIRST
-        for _ in range(STEPS):
-            reach = width * self.scale
-            a = np.maximum(self.values.searchsorted(centre - reach), self.starts)
-            b = np.minimum(self.values.searchsorted(centre + reach, "right"), self.starts + n)
-            # only what a wider window adds is counted
-            ends = zip(a.tolist(), b.tolist(), strict=True) if low is None else [*zip(a.tolist(), low.tolist(), strict=True), *zip(high.tolist(), b.tolist(), strict=True)]
-            added = [self.order[x:y] for x, y in ends]
-            counts += np.bincount(np.concatenate(added), minlength=n)
-            low, high = a, b
-            hit = counts >= threshold
-            if hit.sum() >= least:
-                return np.flatnonzero(hit)
-            width *= GROWTH
+        low, high = 0, STEPS
+        while low < high:
+            step = (low + high) // 2
+            if np.count_nonzero(self.collisions(centre, step, self.few) >= threshold) * FEW >= least:
+                high = step
+            else:
+                low = step + 1
+        for step in range(low, STEPS):
+            hit = np.flatnonzero(self.collisions(centre, step, self.all) >= threshold)
+            if len(hit) >= least:
+                return hit
         return np.arange(n)
 
     def search(self, query_id: int, query: np.ndarray, k: int, threshold: float = THRESHOLD, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best found, the query's own id left out; ties to smaller ids."""
         at = self.candidates(query, max(4 * k, int(verified * len(self.vectors))), int(threshold * len(self.axes)))
+        if len(at) > k + 1:  # one fast product rules out what is beyond rounding below the k + 1 best; the rest is added up in order
+            rough = self.vectors.take(at, axis=0) @ query
+            edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
+            at = at[rough >= edge - 1e-12 * self.length * np.sqrt(query @ query)]
         scores = exact(self.vectors[at], query)
         if len(at) > k + 1:
             edge = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
