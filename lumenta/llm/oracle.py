@@ -1,3 +1,28 @@
-"""DuckDB SQL of the operators' queries."""
+"""DuckDB SQL of the operators' queries.
 
-SQL: dict[str, str] = {}
+Projections, fingerprints (XXH64), byte-wise repeats, models, spans of disguises and samples can't be said in SQL or are too
+slow there; those queries are tested against brute force, round trips or held-out accuracy.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL: dict[str, str] = {
+    "op1_line_dedup": rf"""
+with own as (select doc_id, string_split(coalesce(text, ''), chr(10)) as own from documents),
+lines as (select doc_id, unnest(own) as line, generate_subscripts(own, 1) as place from own),
+keyed as (select *, regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as key from lines),
+common as (select key, max(doc_id) as stays from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+marked as (select doc_id, line, place, stays is null or stays = doc_id as kept from keyed left join common using (key))
+select doc_id, count(*) as n_lines, count(*) filter (not kept) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (kept), '')) as kept_sha256
+from marked group by doc_id""",
+    "op10_decontamination": rf"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as text from (select *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)),
+places as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as text from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (select distinct n from windows) where len(w) >= n)),
+hits as (select doc_id, item_id, i, n from places join windows using (n, text)),
+covered as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from (select distinct doc_id, i, n from hits)) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (doc_id) left join named using (doc_id)""",
+}
