@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm import decontam, line_dedup, sentencepiece_sampling, simhash, toxicity
+from lumenta.llm import decontam, line_dedup, near_copies, sentencepiece_sampling, toxicity
 from lumenta.llm.common import read, table
 
 
@@ -25,8 +25,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near copies (five-word shingles, Jaccard of 0.8 or more) the document with the least doc_id stays."""
+    return near_copies.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         # done when every edge leads to a root: no node is both a child and a parent, and each child has one parent
-        now = at.agg(F.count("*").alias("n"), F.sum("v").cast("decimal(38,0)").alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+        now = at.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(20,0)")).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if now == before or not now.n:
             break
         before = now
