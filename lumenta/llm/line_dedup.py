@@ -99,8 +99,9 @@ class CuckooFilter:
                     break
 
 
-def built(keys: np.ndarray) -> CuckooFilter:
-    own, size = CuckooFilter.for_keys(len(keys)), len(keys)
+def built(keys: np.ndarray, room: int = 1) -> CuckooFilter:
+    """A filter of the keys, for room times as many."""
+    own, size = CuckooFilter.for_keys(room * len(keys)), room * len(keys)
     while not own.insert(keys):
         size *= 2
         own = CuckooFilter.for_keys(size)
@@ -231,17 +232,19 @@ def report(docs: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DO
 class LineIndex:
     """Reference counts and filters on shared storage, that documents are put into and taken out of again.
 
-    path/refs is a log of reference rows (deletions have negative n), path/filters-N the filters after N changes. Only
-    the shards whose common keys change are rewritten by a change; a filter that overflows is built anew from the table.
+    path/refs is a log of reference rows (deletions have negative n) by version, path/filters-N the filters after N
+    changes. A change counts once its filters are written: until then readers pass over its references, and a retry
+    overwrites them. A filter that overflows is built anew from the table, for twice its keys.
     """
 
-    def __init__(self, spark: SparkSession, path: str, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, shards: int = 16):
-        self.spark, self.path, self.least, self.min_docs, self.shards, self.version = spark, path, least, min_docs, shards, 0
-        self.spark.createDataFrame([], "key binary, doc long, n long").write.mode("overwrite").parquet(f"{path}/refs")
+    def __init__(self, spark: SparkSession, path: str, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, shards: int = 16, shard_keys: int = SHARD_KEYS):
+        self.spark, self.path, self.least, self.min_docs, self.shards, self.shard_keys, self.version = spark, path, least, min_docs, shards, shard_keys, 0
+        self.spark.createDataFrame([], "key binary, doc long, n long").write.mode("overwrite").parquet(f"{path}/refs/version=0")
         self.spark.createDataFrame([], "shard long, shards long, data binary").write.mode("overwrite").parquet(f"{path}/filters-0")
 
-    def refs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/refs")
+    def refs(self, version: int | None = None) -> DataFrame:
+        paths = [f"{self.path}/refs/version={v}" for v in range((self.version if version is None else version) + 1)]
+        return self.spark.read.schema("key binary, doc long, n long").parquet(*paths)
 
     def table(self) -> DataFrame:
         return counted(self.refs())
@@ -259,13 +262,14 @@ class LineIndex:
         self._change(durable(gone.select("key", "doc", (-F.col("n")).alias("n"))))
 
     def _change(self, rows: DataFrame) -> None:
-        touched = rows.select("key").distinct()
-        common = lambda: counted(self.refs().join(touched, "key", "left_semi")).where(F.col("n_docs") >= self.min_docs).select("key")
-        before = durable(common())
-        rows.write.mode("append").parquet(f"{self.path}/refs")
-        after = durable(common())
+        touched, version = rows.select("key").distinct(), self.version + 1
+        common = lambda refs: counted(refs).where(F.col("n_docs") >= self.min_docs).select("key")
+        before = durable(common(self.refs().join(touched, "key", "left_semi")))
+        rows.write.mode("overwrite").parquet(f"{self.path}/refs/version={version}")
+        after = durable(common(self.refs(version).join(touched, "key", "left_semi")))
         moved = after.exceptAll(before).withColumn("up", F.lit(True)).unionByName(before.exceptAll(after).withColumn("up", F.lit(False)))
-        shards, held = self.shards, self.filters()
+        shards, shard_keys, held = self.shards, self.shard_keys, self.filters()
+        schema = pa.schema([("shard", pa.int64()), ("shards", pa.int64()), ("data", pa.binary())])
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -273,18 +277,26 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards).astype(np.int64)), pa.array(h.view(np.int64)), batch.column(1)], names=["shard", "h", "up"])
 
         def update(key, own, changes):
+            """The shard's filter after the changes; null if it is full."""
             h, up = changes["h"].to_numpy().view(np.uint64), changes["up"].to_numpy()
             data = own["data"].to_pylist()
-            filter_ = CuckooFilter.from_bytes(data[0]) if data else CuckooFilter.for_keys(SHARD_KEYS)
+            filter_ = CuckooFilter.from_bytes(data[0]) if data else CuckooFilter.for_keys(shard_keys)
             filter_.delete(h[~up])
-            if not filter_.insert(h[up]):
-                raise OverflowError(f"filter of shard {key[0].as_py()} is full: make LineIndex with more shards")
-            return pa.table({"shard": [key[0].as_py()], "shards": [shards], "data": [filter_.to_bytes()]}, schema=pa.schema([("shard", pa.int64()), ("shards", pa.int64()), ("data", pa.binary())]))
+            made = filter_.to_bytes() if filter_.insert(h[up]) else None
+            return pa.table({"shard": [key[0].as_py()], "shards": [shards], "data": [made]}, schema=schema)
+
+        def rebuild(key, own):
+            return pa.table({"shard": [key[0].as_py()], "shards": [shards], "data": [built(own["h"].to_numpy().view(np.uint64), 2).to_bytes()]}, schema=schema)
 
         named = moved.mapInArrow(name, "shard long, h long, up boolean")
-        made = held.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(update, "shard long, shards long, data binary")
-        made.write.mode("overwrite").parquet(f"{self.path}/filters-{self.version + 1}")
-        self.version += 1
+        made = durable(held.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(update, "shard long, shards long, data binary"))
+        full = [r.shard for r in made.where("data is null").select("shard").collect()]
+        if full:
+            every = common(self.refs(version)).withColumn("up", F.lit(True)).mapInArrow(name, "shard long, h long, up boolean")
+            anew = every.where(F.col("shard").isin(full)).groupBy("shard").applyInArrow(rebuild, "shard long, shards long, data binary")
+            made = made.where("data is not null").unionByName(anew)
+        made.write.mode("overwrite").parquet(f"{self.path}/filters-{version}")
+        self.version = version
 
     def apply(self, docs: DataFrame) -> DataFrame:
         decisions = dropped_keys(docs, self.table(), self.least, self.min_docs, self.filters())

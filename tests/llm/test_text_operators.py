@@ -67,6 +67,29 @@ class TestLines:
         index.delete(frame(spark, rows[4:]))
         assert {r["__n_dropped"] for r in index.apply(first).collect()} == {0}
 
+    def test_full_filters_are_built_anew(self, spark, tmp_path):
+        lines = [f"common line {i} of at least forty code points, in many documents" for i in range(300)]
+        rows = [(d, "\n".join(lines)) for d in range(6)]
+        index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index", shards=2, shard_keys=8)
+        index.insert(frame(spark, rows))
+        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows)).collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
+        index.delete(frame(spark, rows[4:]))
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4])).collect()} == {0}
+
+    def test_a_retry_after_a_failure_is_exact(self, spark, tmp_path, monkeypatch):
+        line = "a line of at least forty code points, found in many documents"
+        rows = [(i, f"{line}\nown {i}") for i in range(6)]
+        index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index")
+        with monkeypatch.context() as broken:
+            broken.setattr(index, "filters", lambda: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                index.insert(frame(spark, rows))
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows)).collect()} == {0}
+        index.insert(frame(spark, rows))
+        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows)).collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
+        index.delete(frame(spark, rows[4:]))
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4])).collect()} == {0}
+
     def test_cuckoo_filter(self):
         keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
         own = line_dedup.built(keys)
