@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenta.llm.common import durable, shuffle_width
+
 K1, B, RRF, LEAST_TOKEN = 1.5, 0.75, 60, 2
 TOKEN = "[a-z0-9£$%]+"
 # Suffixes in the order in which they are tried, and the shortest stem.
@@ -96,14 +98,22 @@ def dense_cosine(vectors: DataFrame, key: str, vector: str, query: list[float])
     return rows.select(key, (dot(F.col("v"), q) / F.nullif(norm * F.sqrt(dot(q, q)), F.lit(0.0))).alias("cosine")).where("cosine is not null")
 
 
+def placed(frame: DataFrame, key: str, score: str) -> DataFrame:
+    """key, place: ranks by score (largest first, then smaller keys) of all rows; each partition of the sorted rows is counted on its own."""
+    own = frame.select(key, score).repartitionByRange(shuffle_width(frame), F.col(score).desc(), key)
+    own = durable(own.withColumn("part", F.spark_partition_id()))  # parts must be the same when they are counted and ranked
+    sizes = own.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col(score).desc(), key))
+    return own.withColumn("within", within).join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("within")).alias("place"))
+
+
 def fused(signals: dict[str, DataFrame], key: str, limit: int = 10, least_signals: int = 1) -> DataFrame:
-    """key, rrf, signals, rank from frames (key, score) by signal: only scores over 0 count; ties go to smaller keys."""
+    """key, rrf, signals, rank from frames (key, score) by signal: all scores over 0 count; ties go to smaller keys."""
     parts = None
     for name, frame in signals.items():
         score = next(c for c in frame.columns if c != key)
-        # rank within the best of each signal only: a top-k per signal keeps the window to a few rows
-        best = frame.where(F.col(score) > 0).orderBy(F.col(score).desc(), key).limit(max(limit * 10, 100))
-        own = best.select(key, F.lit(name).alias("signal"), F.row_number().over(Window.orderBy(F.col(score).desc(), key)).alias("place"))
+        own = placed(frame.where(F.col(score) > 0), key, score).withColumn("signal", F.lit(name))
         parts = own if parts is None else parts.unionByName(own)
     out = parts.groupBy(key).agg(F.sum(1 / (RRF + F.col("place"))).alias("rrf"), F.array_sort(F.collect_set("signal")).alias("signals")).where(F.size("signals") >= least_signals)
     return out.orderBy(F.col("rrf").desc(), key).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("rrf").desc(), key)))
