@@ -3,12 +3,15 @@
 Labelled page outcomes (good or bad) are counted by host. Each host's rate is shrunk through beta-binomial priors: the
 whole table's rate is the prior of a suffix, the suffix's posterior mean the prior of a registered domain, the domain's
 the prior of a host. The strength of each prior (a number of pseudo-pages) comes from the spread of the rates on that
-level, by the method of moments. A page is blocked if even the upper posterior bound of its host's good rate is low.
+level, by the method of moments. A page is blocked if even the upper bound of its host's good rate is low; the
+bound of a host without outcomes is that of what its domain, suffix or the table predicts for a new host.
 Explicit rules come first; the longest fitting rule wins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +49,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
-def reputation(outcomes: DataFrame, most: float = 1000.0) -> DataFrame:
-    """From rows (host, good 0/1) one row for each host: n, good, prior mean and strength, posterior mean and deviation.
+def _levels(outcomes: DataFrame, most: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labelled hosts, domains and suffixes with their counts and posterior means, and one row of m_root, k_suffix, k_domain, k_host.
 
     Rows with a null outcome don't count. A level's strength is mean·(1-mean)/variance - 1, within 1 and most, where
     variance is that of its rates around their parents' means less the binomial noise expected for their sizes.
@@ -59,35 +62,61 @@ def reputation(outcomes: DataFrame, most: float = 1000.0) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n_domain").alias("n_suffix"), F.sum("s_domain").alias("s_suffix"))
     # Jeffreys' half counts keep the root's mean off 0 and 1; the row of totals is one row by construction.
     total = suffixes.agg(((F.coalesce(F.sum("s_suffix"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n_suffix"), F.lit(0)) + 1.0)).alias("m_root"))
-    at_suffix = _shrunk(suffixes.crossJoin(F.broadcast(total)), "suffix", "m_root", most)
-    at_domain = _shrunk(domains.join(at_suffix.select("suffix", "m_suffix"), "suffix"), "domain", "m_suffix", most)
-    at_host = _shrunk(hosts.join(at_domain.select("domain", "m_domain"), "domain"), "host", "m_domain", most)
+    at_suffix, k_suffix = _shrunk(suffixes.crossJoin(F.broadcast(total)), "suffix", "m_root", most)
+    at_domain, k_domain = _shrunk(domains.join(at_suffix.select("suffix", "m_suffix"), "suffix"), "domain", "m_suffix", most)
+    at_host, k_host = _shrunk(hosts.join(at_domain.select("domain", "m_domain"), "domain"), "host", "m_domain", most)
+    return at_host, at_domain, at_suffix, total.crossJoin(k_suffix).crossJoin(k_domain).crossJoin(k_host)
+
+
+def _posterior(at_host: DataFrame) -> DataFrame:
     a, b = F.col("k_host") * F.col("m_domain") + F.col("s_host"), F.col("k_host") * (1 - F.col("m_domain")) + F.col("n_host") - F.col("s_host")
     return at_host.select("host", F.col("n_host").alias("n"), F.col("s_host").alias("good"), F.col("m_domain").alias("prior_mean"), F.col("k_host").alias("prior_strength"), F.col("m_host").alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
 
-def _shrunk(rows: DataFrame, level: str, prior: str, most: float) -> DataFrame:
+def reputation(outcomes: DataFrame, most: float = 1000.0) -> DataFrame:
+    """From rows (host, good 0/1) one row for each host: n, good, prior mean and strength, posterior mean and deviation."""
+    return _posterior(_levels(outcomes, most)[0])
+
+
+def known(hosts: DataFrame, outcomes: DataFrame, most: float = 1000.0) -> DataFrame:
+    """host, mean, deviation for each distinct host: its posterior; without outcomes, what its domain predicts for a host, else its suffix, else the whole table.
+
+    A host of a known domain is drawn with mean m_domain and strength k_host. Above that, the spreads of the levels in
+    between add up: the share of m(1-m) that is left after each level of strength k is 1 - 1/(k+1).
+    """
+    at_host, at_domain, at_suffix, root = _levels(outcomes, most)
+    rows = hosts.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    rows = rows.join(_posterior(at_host).select("host", "mean", "deviation"), "host", "left")
+    rows = rows.join(at_domain.select("domain", "m_domain"), "domain", "left").join(at_suffix.select("suffix", "m_suffix"), "suffix", "left").crossJoin(F.broadcast(root))
+    left = lambda *levels: 1 - math.prod(1 - 1 / (F.col(f"k_{x}") + 1) for x in levels)
+    spread = F.when(F.col("m_domain").isNotNull(), left("host")).when(F.col("m_suffix").isNotNull(), left("host", "domain")).otherwise(left("host", "domain", "suffix"))
+    m = F.coalesce("m_domain", "m_suffix", "m_root")
+    return rows.select("host", F.coalesce("mean", m).alias("mean"), F.coalesce("deviation", F.sqrt(m * (1 - m) * spread)).alias("deviation"))
+
+
+def _shrunk(rows: DataFrame, level: str, prior: str, most: float) -> tuple[DataFrame, DataFrame]:
+    """The level's rows with its strength and their posterior means, and the strength alone as one row."""
     n, s, m = F.col(f"n_{level}"), F.col(f"s_{level}"), F.col(prior)
     # sum n(p-m)² has expectation sum m(1-m)(1 + (n-1)/(k+1)): solved for k
     noise, pairs, seen = F.sum(m * (1 - m)), F.sum(m * (1 - m) * (n - 1)), F.sum((s - n * m) * (s - n * m) / n)
     fitted = rows.agg(F.round(F.least(F.lit(most), F.greatest(F.lit(1.0), F.coalesce(F.when(seen > noise, pairs / (seen - noise) - 1).otherwise(most), F.lit(most)))), 6).alias(f"k_{level}"))
     k = F.col(f"k_{level}")
-    return rows.crossJoin(F.broadcast(fitted)).withColumn(f"m_{level}", (k * m + s) / (k + n))
+    return rows.crossJoin(F.broadcast(fitted)).withColumn(f"m_{level}", (k * m + s) / (k + n)), fitted
 
 
 def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, floor: float = 0.5, z: float = 1.645) -> DataFrame:
     """page_id, host, path, rule, verdict, mean, upper for every row of pages (page_id, url).
 
     outcomes: (host, good). verdict is the longest fitting rule's; else block if the host's posterior mean plus z
-    deviations is under floor, else allow. Hosts without a labelled page are allowed: nothing is known against them.
+    deviations is under floor, else allow. Hosts without a labelled page are judged by their domain, suffix or all pages.
     Null urls and urls without :// have empty host and path and fall under the same rule; null page_ids and repeated rows
     stay as they are; other columns are ignored.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(outcomes).select("host", "mean", F.least(F.lit(1.0), F.col("mean") + z * F.col("deviation")).alias("upper"))
-    rows = rows.join(known, "host", "left").withColumns({"rule": rule, "says": says})
+    bounds = known(rows, outcomes).select("host", "mean", F.least(F.lit(1.0), F.col("mean") + z * F.col("deviation")).alias("upper"))
+    rows = rows.join(bounds, "host", "left").withColumns({"rule": rule, "says": says})
     verdict = F.coalesce(F.col("says"), F.when(F.col("upper") < floor, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 6).alias("mean"), F.round("upper", 6).alias("upper"))
 
@@ -101,7 +130,7 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def kept(pages: DataFrame, outcomes: DataFrame, **options) -> DataFrame:
     """Rows of pages whose url is allowed, with all their columns."""
     rule, says = rule_of(F.col("__host"), path_of(F.col("url")), options.get("rules", RULES))
-    known = reputation(outcomes).select(F.col("host").alias("__host"), (F.col("mean") + options.get("z", 1.645) * F.col("deviation")).alias("__upper"))
-    rows = pages.withColumn("__host", host_of(F.col("url"))).join(known, "__host", "left")
+    bounds = known(pages.select(host_of(F.col("url")).alias("host")), outcomes).select(F.col("host").alias("__host"), (F.col("mean") + options.get("z", 1.645) * F.col("deviation")).alias("__upper"))
+    rows = pages.withColumn("__host", host_of(F.col("url"))).join(bounds, "__host", "left")
     verdict = F.coalesce(says, F.when(F.col("__upper") < options.get("floor", 0.5), "block").otherwise("allow"))
     return rows.where(verdict == "allow").select(*[pages[c] for c in pages.columns])

@@ -147,6 +147,21 @@ class TestUrls:
         pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(("bad.x.io", "good.y.io", "new.y.io", "other.io"))], "page_id long, url string")
         assert {r.host: r.verdict for r in url_filter.judged(pages, outcomes).collect()} == {"bad.x.io": "block", "good.y.io": "allow", "new.y.io": "allow", "other.io": "allow"}
 
+    def test_hosts_without_outcomes_are_judged_by_domain_and_suffix(self, spark):
+        rows = [(f"h{i}.bad.io", int(k < 2)) for i in range(20) for k in range(40)] + [(f"h{i}.good{i}.io", 1) for i in range(20) for _ in range(40)]
+        rows += [(f"h.d{i}.xyz", int(k < 2)) for i in range(20) for k in range(40)] + [("a.b.net", 1)] * 2000
+        outcomes = spark.createDataFrame(rows, "host string, good long")
+        hosts = {"h0.bad.io": "block", "new.bad.io": "block", "h0.good0.io": "allow", "new.good0.io": "allow", "new.other.io": "allow", "new.other.xyz": "block", "new.other.dev": "allow"}
+        pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)] + [(99, None)], "page_id long, url string")
+        got = {r.host: r for r in url_filter.judged(pages, outcomes).collect()}
+        assert {h: got[h].verdict for h in hosts} == hosts and got[""].verdict == "allow"
+        levels = url_filter._levels(outcomes, 1000.0)
+        k, domain = levels[3].first(), {r.domain: r.m_domain for r in levels[1].collect()}
+        m = domain["bad.io"]
+        assert got["new.bad.io"].mean == pytest.approx(m, abs=1e-6)
+        assert got["new.bad.io"].upper == pytest.approx(m + 1.645 * math.sqrt(m * (1 - m) / (k.k_host + 1)), abs=1e-6)
+        assert {r.url for r in url_filter.kept(pages, outcomes).collect()} == {f"http://{h}/" for h, v in hosts.items() if v == "allow"} | {None}
+
     def test_no_python_in_the_plan(self, spark, sf_dir):
         plan = queries.op3_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
