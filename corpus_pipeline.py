@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_common_lines), ("simhash_near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", encode)]
 
-#: Models, fingerprints and samples can't be expressed in SQL; the tests compare each stage with a brute-force version.
+#: Models, fingerprints and samples can't be expressed in SQL; the tests compare the near-copy stage with a brute-force version, the other stages only by their operators.
 ORACLE_SQL = None
 
 
