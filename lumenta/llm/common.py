@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes that a side may have to be broadcast; larger sides are joined by a shuffle instead.
 BROADCAST_BYTES = 32 << 20
@@ -20,14 +22,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes the rows to the folder in spark.checkpoint.dir, which all executors share, and cuts the lineage there.
+    """Writes the rows to the shared folder and cuts the lineage there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    Only where a session has no such folder (tests on one machine) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, by default that in spark.checkpoint.dir. A session on one machine gets a temporary one if it has none."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenta-checkpoint-"))
-    return df.checkpoint()
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lumenta-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def col(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, made longer until no frame has a column of that name."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_width(df: DataFrame) -> int:
@@ -67,6 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def bounds(keys: np.ndarray) -> np.ndarray:
@@ -76,24 +98,31 @@ def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-def widened(df: DataFrame, fn: Callable[[list], list[list]], source: str, added: list[tuple[str, str]]) -> DataFrame:
-    """All columns of df, and added ones that fn computes for a list of the source column's values.
+def _array(values: list, kind: str) -> pa.Array:
+    if kind == "string" and isinstance(next((x for x in values if x is not None), None), bytes):
+        return pa.array(values, pa.binary()).view(pa.string())
+    return pa.array(values, ARROW[kind])
+
 
-    fn returns one list for each added column. Names in added replace columns of the same name.
+def widened(df: DataFrame, fn: Callable[..., list[list]], sources: list[str], added: list[tuple[str, str]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of df, without those in drop, and added ones that fn computes from lists of the sources' values; strings come as bytes.
+
+    fn returns one list for each added column; strings may be bytes. A name in added takes the place of a column of that name; others follow.
+    Each column is sent to Python once.
     """
-    names = {name for name, _ in added}
-    kept = df.select([c for c in df.columns if c not in names])
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{n} {t}" for n, t in added)])
-    place = df.columns.index(source)
+    names = [f.name for f in df.schema if f.name not in drop]
+    names += [n for n, _ in added if n not in names]
+    kinds = {f.name: f.dataType for f in df.schema} | {n: DataType.fromDDL(t) for n, t in added}
+    places = [df.columns.index(x) for x in sources]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = fn(batch.column(place_of).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(batch.columns)], *(pa.array(x, ARROW[t]) for x, (_, t) in zip(made, added, strict=True))], names=[*batch.schema.names, *names_added])
+            values = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in (batch.column(i) for i in places)]
+            made = fn(*(c.to_pylist() for c in values))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {n: _array(x, t) for x, (n, t) in zip(made, added, strict=True)}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    names_added = [n for n, _ in added]
-    place_of = kept.columns.index(df.columns[place])
-    return kept.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([StructField(n, kinds[n]) for n in names]))
 
 
 ARROW = {
@@ -102,17 +131,35 @@ ARROW = {
 }
 
 
+_MADE: list[str] = []
+
+
 def table(df: DataFrame) -> DataFrame:
     """Like durable(), but as a compressed table, for many rows: a folder of its own beside the checkpoints."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenta-checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what table() wrote inside; for work whose results are written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        sc = spark.sparkContext
+        for path in _MADE[before:]:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        del _MADE[before:]
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df, marked to be broadcast if rows of row_bytes are within BROADCAST_BYTES; else it is joined by a shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """df, marked to be broadcast if rows of row_bytes are within BROADCAST_BYTES; else it is joined by a shuffle.
+
+    A row takes four times its bytes, and 32 more, in the relation that is broadcast.
+    """
+    return F.broadcast(df) if rows * (4 * row_bytes + 32) <= 4 * BROADCAST_BYTES else df

@@ -11,7 +11,8 @@ from lumenta.llm.common import durable
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star round over (u, v) with u > v: each node's (large or small) neighbours are linked to its least neighbour or itself."""
     own = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = own.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # written, so that the join reads two plain shuffles and a node with very many neighbours can be split
+    least = durable(own.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     linked = own.join(least, "u")
     if large:
         linked = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -20,17 +21,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node of edges (u, v); nodes without an edge to another are left out."""
     at = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         # done when every edge leads to a root: no node is both a child and a parent, and each child has one parent
         now = at.agg(F.count("*").alias("n"), F.sum(F.col("v").cast("decimal(20,0)")).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if now == before or not now.n:
             break
         before = now
         at = durable(_stars(_stars(at, True), False))
-    else:
-        raise RuntimeError("components didn't settle")
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

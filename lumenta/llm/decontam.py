@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenta.llm.common import fresh, slices, widened
+
 #: Words of documents in a shard, and words of the test set in a block.
 SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 20
 #: A-Z lower-cased; digits, letters and bytes of other scripts are words, all else parts them.
@@ -89,22 +91,26 @@ def search(ids: np.ndarray, sa: np.ndarray, tests: np.ndarray, start: np.ndarray
 
 
 class Tests:
-    """A block of items as ids of their own words: ids with 0 after each item, the windows' starts and lengths, and each window's item."""
+    """A block of items as ids of their own words: ids with 0 after each item, and the windows' starts and lengths.
+
+    Equal windows are one: item holds the items of all windows in turn, from edge[w] to edge[w + 1] those of window w.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.ids_of: dict[bytes, int] = {}
         self.names = [name for name, _ in items]
-        ids, start, length, item, first, size = [], [], [], [], [], []
-        for k, (_, own) in enumerate(items):
+        ids, first, size, windows = [], [], [], {}
+        for k, (_, words_) in enumerate(items):
             first.append(len(ids))
-            size.append(len(own))
+            size.append(len(words_))
+            own = [self.ids_of.setdefault(w, len(self.ids_of) + 1) for w in words_]
             for s in range(max(1, len(own) - n + 1) if own else 0):
-                start.append(len(ids) + s)
-                length.append(min(n, len(own)))
-                item.append(k)
-            ids += [self.ids_of.setdefault(w, len(self.ids_of) + 1) for w in own]
-            ids.append(0)
-        self.ids, self.start, self.length, self.item, self.first, self.size = (np.array(x, np.int64) for x in (ids, start, length, item, first, size))
+                windows.setdefault(tuple(own[s : s + n]), (len(ids) + s, []))[1].append(k)
+            ids += [*own, 0]
+        held = [sorted(set(own)) for _, own in windows.values()]
+        self.ids, self.first, self.size = np.array(ids, np.int64), np.array(first, np.int64), np.array(size, np.int64)
+        self.start, self.length = np.array([s for s, _ in windows.values()], np.int64), np.array([len(w) for w in windows], np.int64)
+        self.item, self.edge = np.array([k for own in held for k in own], np.int64), np.cumsum([0, *map(len, held)])
 
 
 def blocks(benchmark: DataFrame, n: int, limit: int = BLOCK_WORDS) -> Iterator[Tests]:
@@ -165,8 +171,10 @@ def hits(texts: list[bytes | None], tests: Tests) -> tuple[list[list[int]], list
         doc = np.searchsorted(edges, turn[::2], "right") - 1
         for d, s, e in zip(doc.tolist(), turn[::2].tolist(), turn[1::2].tolist(), strict=True):
             spans[first + d] += [s - int(edges[d]), e - int(edges[d])]
-        pairs = np.unique((np.searchsorted(edges, at, "right") - 1) * len(tests.names) + tests.item[window])
-        for p in pairs.tolist():
+        doc = np.searchsorted(edges, at, "right") - 1
+        both = np.unique(doc * len(tests.start) + window)  # a window counts once in a text before its items are listed
+        which, place = _spread(tests.edge[both % len(tests.start)], tests.edge[both % len(tests.start) + 1])
+        for p in np.unique(both[which] // len(tests.start) * len(tests.names) + tests.item[place]).tolist():
             if (name := tests.names[p % len(tests.names)]) is not None:
                 items[first + p // len(tests.names)].append(name)
     return spans, items
@@ -182,44 +190,33 @@ def union(spans: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-SPANS, ITEMS = "__hit_spans", "__hit_items"
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """docs with the hit words (array of alternating starts and ends) and item ids of each row, in two added columns.
+def matched(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, str, str]:
+    """docs with the hit words (array of alternating starts and ends) and item ids of each row in two added columns, and their names.
 
     A window is n words in a row of one item; an item with fewer, but not none, is one window. Null and empty texts have
     no words; null item_ids cover words but can't be named; an empty test set hits nothing; repeated rows of docs are
     judged each on its own, and an item given twice counts once.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs.withColumns({SPANS: F.array().cast("array<long>"), ITEMS: F.array().cast("array<string>"), "__bytes": F.col("text").cast("binary")})
+    spans, items = fresh("__hit_spans", docs), fresh("__hit_items", docs)
+    out = docs.withColumns({spans: F.array().cast("array<long>"), items: F.array().cast("array<string>")})
     for tests in blocks(benchmark, n):
-        held = sc.broadcast(tests)  # at most BLOCK_WORDS words
-        schema = out.schema
+        held = docs.sparkSession.sparkContext.broadcast(tests)  # at most BLOCK_WORDS words
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                spans, items = hits(batch.column(names.index("__bytes")).to_pylist(), held.value)
-                for name, new, kind in ((SPANS, spans, pa.list_(pa.int64())), (ITEMS, items, pa.list_(pa.string()))):
-                    i = names.index(name)
-                    old = batch.column(i).to_pylist()
-                    batch = batch.set_column(i, name, pa.array([a + b for a, b in zip(old, new, strict=True)], kind))
-                yield batch
+        def more(texts: list, old_spans: list, old_items: list, held=held) -> list[list]:
+            new = hits(texts, held.value)
+            return [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip((old_spans, old_items), new, strict=True)]
 
-        out = out.mapInArrow(run, schema)
-    return out.drop("__bytes")
+        out = widened(out, more, ["text", spans, items], [(spans, "array<long>"), (items, "array<string>")])
+    return out, spans, items
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit spans and item ids for each row of docs."""
-    # the digests need the words only, so they are taken where the words already are
-    found = matched(docs.select("doc_id", "text"), benchmark, n)
+    found, *hit = matched(docs.select("doc_id", "text"), benchmark, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, spans, items = (batch.column(batch.schema.names.index(x)).to_pylist() for x in ("doc_id", "text", SPANS, ITEMS))
+            ids, texts, spans, items = (batch.column(batch.schema.names.index(x)).to_pylist() for x in ("doc_id", "text", *hit))
             runs = [union(x) for x in spans]
             named = [sorted(set(x)) for x in items]
             n_hit = [sum(e - s for s, e in x) for x in runs]
@@ -232,8 +229,18 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Rows of docs, with all their columns, that hold no window of the test set."""
-    return matched(docs, benchmark, n).where(F.size(SPANS) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rows of docs, with all their columns, that hold no window of the test set. Odd rows are judged as in matched()."""
+    place, out = docs.columns.index("text"), docs
+    for tests in blocks(benchmark, n):
+        held = docs.sparkSession.sparkContext.broadcast(tests)  # at most BLOCK_WORDS words
+
+        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                spans, _ = hits(batch.column(place).cast(pa.binary()).to_pylist(), held.value)
+                yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
@@ -254,16 +261,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> Da
                 ids_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
                 for first, ids, edges in shards(texts, t.ids_of) if len(t.start) else ():
-                    left = t.first[t.item] + t.size[t.item] - t.start
+                    item = np.repeat(np.arange(len(t.size)), t.size)
+                    start = np.arange(len(item)) + item  # a 0 follows each item
+                    left = t.first[item] + t.size[item] - start
                     sa = suffix_array(ids, int(left.max()))
                     # matches of least words give the documents; each is then extended to its full length
                     use = np.flatnonzero(left >= least)
-                    lo, hi = search(ids, sa, t.ids, t.start[use], np.full(len(use), least))
+                    lo, hi = search(ids, sa, t.ids, start[use], np.full(len(use), least))
                     which, place = _spread(lo, hi)
-                    at, s = sa[place], t.start[use][which]
+                    at, s, own = sa[place], start[use][which], item[use][which]
                     _, shared = _order(ids, at, t.ids, s, left[use][which])
                     doc = np.searchsorted(edges, at, "right") - 1
-                    for d, k, a, b, n in zip(doc.tolist(), t.item[use][which].tolist(), (s - t.first[t.item[use][which]]).tolist(), (at - edges[doc]).tolist(), shared.tolist(), strict=True):
+                    for d, k, a, b, n in zip(doc.tolist(), own.tolist(), (s - t.first[own]).tolist(), (at - edges[doc]).tolist(), shared.tolist(), strict=True):
                         key, new = (first + d, k), (-n, a, b)
                         if key not in best or new < best[key]:
                             best[key] = new

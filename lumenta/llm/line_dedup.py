@@ -9,7 +9,6 @@ rest. Filters and counts take insertions and deletions, so LineIndex can take do
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import BROADCAST_BYTES, bounds, durable, shuffle_width, sorted_groups, widened
+from lumenta.llm.common import BROADCAST_BYTES, bounds, col, durable, fresh, shuffle_width, sorted_groups, widened
 
 MIN_CODE_POINTS, MIN_DOCS = 40, 5
 #: Keys a shard's filter is meant for.
@@ -191,37 +190,33 @@ def dropped_keys(docs: DataFrame, table: DataFrame, least: int = MIN_CODE_POINTS
     return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
 
-def _apply(docs: DataFrame, decisions: DataFrame, least: int) -> DataFrame:
-    """docs with __lines: kept text, n_lines, n_dropped."""
-    rows = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    rows = rows.join(decisions.select(F.col("doc").alias("__doc"), F.col("keys").alias("__keys")), "__doc", "left")
-    rows = rows.withColumn("__in", F.struct(F.col("text").cast("binary").alias("t"), F.col("__keys").alias("k"))).drop("__doc", "__keys")
+def _apply(docs: DataFrame, decisions: DataFrame, least: int) -> tuple[DataFrame, str, str]:
+    """docs with the text less its lost lines, and the names of two added columns: lines before, and lines dropped."""
+    doc, keys, n_lines, n_dropped = (fresh(x, docs) for x in ("__doc", "__keys", "__n_lines", "__n_dropped"))
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(decisions.select(F.col("doc").alias(doc), F.col("keys").alias(keys)), doc, "left")
 
-    def lines(values: list[dict]) -> list[list]:
+    def lines(texts: list[bytes | None], lost: list[list[bytes] | None]) -> list[list]:
         out: list[list] = [[], [], []]
-        for v in values:
-            text, keys = v["t"] or b"", set(v["k"] or ())
-            own = text.split(b"\n")
+        for text, keys in zip(texts, map(set, (k or () for k in lost)), strict=True):
+            own = (text or b"").split(b"\n")
             kept = [x for x in own if line_key(x.lower(), least) not in keys] if keys else own
-            for to, x in zip(out, (b"\n".join(kept) if keys else text, len(own), len(own) - len(kept)), strict=True):
+            for to, x in zip(out, (None if text is None else b"\n".join(kept) if keys else text, len(own), len(own) - len(kept)), strict=True):
                 to.append(x)
         return out
 
-    return widened(rows, lines, "__in", [("__kept", "binary"), ("__n_lines", "long"), ("__n_dropped", "long")]).drop("__in")
+    made = widened(rows.drop(doc), lines, ["text", keys], [("text", "string"), (n_lines, "long"), (n_dropped, "long")], (keys,))
+    return made.select(*[col(c) for c in docs.columns], n_lines, n_dropped), n_lines, n_dropped
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the text less its common lines, and __n_lines, __n_dropped added.
+def deduplicated(docs: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """docs with the text less its common lines; with counts, __n_lines and __n_dropped are added (longer names where docs has these).
 
     Lines are parted by line feeds; null and empty texts are one empty line (null stays null). Rows that share a doc_id are one document when
     documents are counted; null doc_ids are one document, with an id below all others. A key in many lines of one
     document counts once. The largest doc_id keeps all its lines of a key. Extra columns stay as they are.
     """
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("__kept", "__n_lines", "__n_dropped")])
-    decisions = dropped_keys(rows, counted(references(rows, least)), least, min_docs)
-    made = _apply(rows, decisions, least)
-    text = F.when(F.col("text").isNotNull(), F.col("__kept").cast("string"))
-    return made.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in rows.columns], "__n_lines", "__n_dropped")
+    made, *names = _apply(docs, dropped_keys(docs, counted(references(docs, least)), least, min_docs), least)
+    return made if counts else made.drop(*names)
 
 
 def report(docs: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -300,8 +295,5 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         decisions = dropped_keys(docs, self.table(), self.least, self.min_docs, self.filters())
-        return _apply(docs, decisions, self.least).withColumn("text", F.col("__kept").cast("string")).drop("__kept")
+        return _apply(docs, decisions, self.least)[0]
 
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -1,11 +1,11 @@
-"""Near copies by exact similarity: Jaccard of at least 0.8 between the sets of five-word shingles.
+"""Near copies: SimHash pigeonhole blocks first, then the rest exactly, at a Jaccard similarity of at least 0.8 of five-word shingles.
 
-Candidates come from a prefix filter, which loses no pair: in any one order of all shingles, two sets of similarity 0.8 or
+SimHash links (fingerprints within a few bits, met on blocks) join most copies at once; each link is verified on the texts.
+They can't be all: at similarity 0.8 about 10 of 64 bits differ, and often 16, which no affordable choice of blocks covers.
+The rest comes from a prefix filter, which loses no pair: in any one order of all shingles, two sets of similarity 0.8 or
 more share one of the first |x| - ceil(0.8 |x|) + 1 shingles of both. The order has shingles that a sample finds common
-last, which keeps groups small and changes no result. SimHash blocks would not do: at similarity 0.8 about 10 of 64 bits
-differ, and often 16, which no affordable choice of blocks covers. Each group's members are first compared with one of
-them, in a few rounds; members that are joined by then make no more pairs with each other, all others do. Every pair is
-verified on the texts.
+last, which keeps groups small and changes no result. Each group's members are first compared with one of them; members
+that are joined by then make no more pairs with each other, all others do. Every pair is verified on the texts.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import bounds, durable, shuffle_width, slices, small, sorted_groups, table
+from lumenta.llm import simhash
+from lumenta.llm.common import bounds, durable, fresh, shuffle_width, slices, small, sorted_groups, table
 from lumenta.llm.components import components
-from lumenta.llm.simhash import shingle_hashes
+from lumenta.llm.simhash import fingerprint, shingle_hashes
 
 SHINGLE = 5
 #: One text of so many is asked which shingles are common, and so many of these texts must have one; at most so many shingles are moved to the end.
 SAMPLE, SAMPLE_DOCS, MOST_COMMON = 16, 4, 1 << 18
 #: Times that each group is compared with one of its members before all that are still apart are compared.
-ROUNDS = 2
+ROUNDS = 1
+#: Keys of fingerprints' rows are turned by this, and their place is -1.
+TURN = 0x5DEECE66D
 #: Texts that one row of candidates is compared with.
 CHUNK = 64
 
@@ -49,7 +52,7 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
-    """(key, node, size, place) of each text's first shingles in the order."""
+    """(key, node, size, place) of each text's first shingles in the order, and a row for its fingerprint."""
     order = np.argsort(common)
     held = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
@@ -58,16 +61,18 @@ def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
         for batch in slices(batches):
             out, sizes, lengths = [], [], []
             for text in batch.column(1).to_pylist():
-                h = np.fromiter(shingles(text, n), np.uint64)
+                every = np.array(shingle_hashes(text, n), np.uint64)
+                h = np.unique(every) if len(every) else np.zeros(1, np.uint64)
                 rank = np.zeros(len(h), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                     rank = np.where(keys[at] == h, ranks[at], 0)
                 length = len(h) - -(-4 * len(h) // 5) + 1
+                out.append(np.array([fingerprint(every) ^ TURN], np.uint64))
                 out.append(h[np.lexsort((h, rank))[:length]])
                 sizes.append(len(h))
-                lengths.append(length)
-            place = np.concatenate([np.arange(x) for x in lengths])
+                lengths.append(length + 1)
+            place = np.concatenate([np.arange(-1, x - 1) for x in lengths])
             node, size = np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(sizes, lengths)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(size, pa.int32()), pa.array(place, pa.int32())], names=["key", "node", "size", "place"])
 
@@ -75,13 +80,13 @@ def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key more than one node has."""
+    """The rows whose key more than one node has, and those of fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in sorted_groups(batches, "key"):
             edges = bounds(own["key"].to_numpy())
             n = np.diff(edges)
-            at = np.repeat(n > 1, n)
+            at = np.repeat(n > 1, n) | (own["place"].to_numpy() < 0)
             if at.any():
                 found = own.filter(pa.array(at))
                 yield from found.combine_chunks().to_batches()
@@ -155,19 +160,29 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _near_fingerprints(shared: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints are equal or linked by pigeonhole blocks, as stars."""
+    own = durable(shared.where("place < 0").select("node", F.col("key").bitwiseXOR(F.lit(TURN)).alias("fp")))
+    first = durable(own.groupBy("fp").agg(F.min("node").alias("u")))
+    equal = own.join(first, "fp").where("u <> node").select("u", F.col("node").alias("v"))
+    met = simhash.links(first.select(F.col("fp").alias("node"), "fp"))
+    met = met.join(first.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v")
+    return equal.unionByName(met.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def links(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(u, v) of texts (node, text), nodes unique: links whose components are those of all pairs of similarity 0.8 or more."""
-    shared = table(_shared(_prefixes(texts, _common(texts, n), n)))
-    rows, found = shared.withColumn("component", F.col("node")), None
-    for k in range(ROUNDS):
+    every = table(_shared(_prefixes(texts, _common(texts, n), n)))
+    shared, found = every.where("place >= 0"), durable(verified(_near_fingerprints(every), texts, n))
+    for k in range(ROUNDS + 1):
+        joined = durable(components(found))
+        rows = shared.join(small(joined, joined.count(), 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if k == ROUNDS:
+            return found.unionByName(durable(verified(_crossing(rows), texts, n)))
         hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "size", "place", "component"), F.xxhash64("key", "node", F.lit(k))).alias("hub"))
         fits = 9 * (F.least("place", "hub.place") + F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place"))) >= 4 * (F.col("size") + F.col("hub.size"))
         met = rows.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & fits)
-        own = durable(verified(met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")), texts, n))
-        found = own if found is None else found.unionByName(own)
-        joined = durable(components(found))
-        rows = shared.join(small(joined, joined.count(), 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return found.unionByName(durable(verified(_crossing(rows), texts, n)))
+        found = found.unionByName(durable(verified(met.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")), texts, n)))
 
 
 def representatives(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -181,7 +196,8 @@ def representatives(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     joined = components(links(nodes.select("node", "text"), n))
     named = nodes.select("node", "low", "high").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("low").alias("least"))
-    late = durable(named.join(least, "component").where("high > least").select(F.col("node").alias("__node"), "least"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("__gone"), node.alias("__node")).join(small(late, late.count(), 16), "__node").where(F.col("__gone") > F.col("least"))
-    gone = rows.select("__gone", "__node").distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (node == gone["__node"]), "left_anti")
+    own, gone = fresh("__node", docs), fresh("__gone", docs)
+    late = durable(named.join(least, "component").where("high > least").select(F.col("node").alias(own), "least"))
+    rows = docs.select(F.col("doc_id").cast("long").alias(gone), node.alias(own)).join(small(late, late.count(), 16), own).where(F.col(gone) > F.col("least"))
+    rows = rows.select(gone, own).distinct()
+    return docs.join(rows, (docs["doc_id"].cast("long") == rows[gone]) & (node == rows[own]), "left_anti")

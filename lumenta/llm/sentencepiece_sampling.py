@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenta.llm.common import slices, widened
+
 SPACE = "▁"
 #: The vocabulary's place on every machine; a parameter of all operators here.
 MODEL = os.environ.get("LUMENTA_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 SAMPLES, SEED, RANK_OFFSET = 2, 17, 10
 #: Characters of texts that are worked on together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 _U = np.uint64
 
 
@@ -45,7 +45,11 @@ class Vocabulary:
         n = own.get_piece_size()
         self.pieces = [own.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if own.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: b for b, i in self.bytes.items()}
+        spelled = [bytes((byte_of[i],)) if i in byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        #: What each piece decodes to: sizes, and starts in one string of bytes.
+        self.spelled, self.spelled_size = np.frombuffer(b"".join(spelled), np.uint8), np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
         plain = [i for i in range(n) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))]
         self.byte_start = self.bytes[0]
         rank = {i: max(0.0, -own.get_score(i)) for i in plain}
@@ -77,8 +81,18 @@ class Vocabulary:
         while gone := {c for a, b in pairs for c in (a, b) if c in odd and not (a in odd and b in odd)}:
             odd -= gone
         assert all(b != SPACE or a == SPACE for a, b in pairs)
-        walls = re.escape("".join(sorted(odd)))
-        self.units = re.compile(f"{SPACE}+[^{SPACE}{walls}]*|[{walls}]+|[^{SPACE}{walls}]+")
+        #: 1 for walls, 2 for the piece sign, 0 for all other characters.
+        self.kind = np.zeros(0x110000, np.int8)
+        self.kind[[ord(c) for c in odd]] = 1
+        self.kind[ord(SPACE)] = 2
+
+    def starts(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where units start in texts that end at ends: at a run of piece signs, at a run of walls, after walls, at a text's start."""
+        kind = self.kind[codes]
+        new = np.ones(len(codes), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] > 0) | (kind[:-1] == 1))
+        new[ends[ends < len(codes)]] = True
+        return np.flatnonzero(new)
 
     BASE = 0x9E3779B97F4A7C15
 
@@ -106,98 +120,84 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=1)
-def lattices(path: str) -> Lattices:
-    return Lattices(vocabulary(path))
-
-
 class Lattices:
-    """The lattices of distinct units: for each unit and end of a piece in it a row of probabilities by the piece's length.
+    """The lattices of distinct units, longest first: for each unit and end of a piece in it a row of probabilities by the piece's length.
 
     base: a unit's first row. steps[row, l - 1]: probability that the piece that ends there has l characters, given that one
-    ends there. place[row, l - 1]: the piece's place in the vocabulary, -1 for a character spelled in bytes. Units that a
-    batch has often stay for later batches, up to KEPT rows; rarer ones make room for the next batch's.
+    ends there; sums: the same, added up. place[row, l - 1]: the piece's place in the vocabulary, -1 for a character spelled
+    in bytes.
     """
 
-    KEPT = 1 << 19
-
-    def __init__(self, v: Vocabulary):
-        self.v, self.number, self.kept, self.rows = v, {}, 0, 0
-        self.lengths, self.base = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.steps, self.place, self.codes = np.zeros((0, v.longest)), np.zeros((0, v.longest), np.int32), np.zeros(0, np.uint32)
-
-    def add(self, units: list[str]) -> np.ndarray:
-        """Each unit's number, valid until the next call."""
-        for u in [u for u, k in self.number.items() if k >= self.kept]:
-            del self.number[u]
-        self.lengths, self.base = self.lengths[: self.kept], self.base[: self.kept]
-        self.rows = int(self.lengths.sum())
-        new = Counter(units)
-        for u in self.number.keys() & new.keys():
-            del new[u]
-        order = sorted(new.items(), key=lambda x: -x[1])
-        own = [u for u, _ in order]
-        for u in own:
-            self.number[u] = len(self.number)
-        first, self.codes = len(self.lengths), np.concatenate((self.codes[: self.rows], np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), np.uint32)))
-        self.lengths = np.concatenate((self.lengths, np.fromiter(map(len, own), np.int64, len(own))))
-        self.base = np.cumsum(self.lengths) - self.lengths
-        if (need := len(self.codes)) > len(self.steps):
-            grown = np.zeros((need + need // 4, self.v.longest)), np.zeros((need + need // 4, self.v.longest), np.int32)
-            for to, x in zip(grown, (self.steps, self.place), strict=True):
-                to[: self.rows] = x[: self.rows]
-            self.steps, self.place = grown
-        self._build(np.arange(first, len(self.lengths)))
-        if self.rows < self.KEPT:
-            self.kept = first + sum(n > 2 for _, n in order)
-        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
-
-    def _build(self, units: np.ndarray) -> None:
-        v = self.v
-        for m in np.unique(self.lengths[units]).tolist():
-            own = units[self.lengths[units] == m]
-            at = self.base[own][:, None] + np.arange(m)
-            c = self.codes[at].ravel().astype(_U) + _U(1)
-            w = min(m, v.longest)
-            # weight[u, j - 1, l - 1]: of the piece of length l that ends after j characters
-            weight, place = np.full((len(own), m, w), -np.inf), np.full((len(own), m, w), -2, np.int32)
-            flat_weight, flat_place = weight.reshape(-1, w), place.reshape(-1, w)
-            start, h = np.arange(len(c)), np.zeros(len(c), _U)
-            for n in range(1, w + 1):  # only beginnings of pieces are followed on
-                h = h * _U(v.BASE) + c[start + n - 1]
-                p = v.find(h)
-                on = p >= 0
-                start, h, p = start[on], h[on], v.piece[p[on]]
-                whole = p >= 0
-                end, p = start[whole] + n - 1, p[whole]
-                flat_place[end, n - 1], flat_weight[end, n - 1] = p, v.weights[p]
-                on = start % m + n < m
-                start, h = start[on], h[on]
-                if not len(start):
-                    break
-            odd = np.flatnonzero(flat_place[:, 0] < 0)
-            if len(odd):
-                flat_place[odd, 0] = -1
-                code = c[odd] - _U(1)
-                flat_weight[odd, 0] = v.byte_weight * (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000))
-            w = n
-            total = np.zeros((len(own), m + 1))
-            for j in range(1, m + 1):
-                k = min(j, w)
-                x = total[:, j - k : j][:, ::-1] + weight[:, j - 1, :k]
-                top = x.max(axis=1, keepdims=True)
-                e = np.exp(x - top)
-                s = e.sum(axis=1, keepdims=True)
-                total[:, j] = (top + np.log(s))[:, 0]
-                weight[:, j - 1, :k] = e / s
-                weight[:, j - 1, k:w] = 0.0
-            self.steps[at, :w], self.place[at, :w] = weight[:, :, :w], place[:, :, :w]
-            self.steps[at, w:] = 0.0
-
-    def wide(self) -> int:
-        """The longest piece that any lattice has."""
-        used = np.flatnonzero((self.steps[: len(self.codes)] > 0).any(axis=0))
-        return int(used.max(initial=0)) + 1
+    def __init__(self, v: Vocabulary, codes: np.ndarray, lengths: np.ndarray):
+        self.codes, self.lengths, self.base = codes, lengths, np.cumsum(lengths) - lengths
+        n, left = len(codes), np.repeat(self.base + lengths, lengths) - np.arange(len(codes))
+        c = codes.astype(_U) + _U(1)
+        weight, place = np.full((n, v.longest), -np.inf), np.full((n, v.longest), -1, np.int32)
+        start, h, w = np.arange(n), np.zeros(n, _U), 0
+        while len(start):  # only beginnings of pieces are followed on
+            h = h * _U(v.BASE) + c[start + w]
+            p = v.find(h)
+            on = p >= 0
+            start, h, p = start[on], h[on], v.piece[p[on]]
+            whole = p >= 0
+            end, p = start[whole] + w, p[whole]
+            place[end, w], weight[end, w] = p, v.weights[p]
+            w += 1
+            on = left[start] > w
+            start, h = start[on], h[on]
+        odd = np.flatnonzero(place[:, 0] < 0)
+        if len(odd):
+            code = codes[odd]
+            weight[odd, 0] = v.byte_weight * (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000))
+        self.steps, self.place = weight[:, : max(1, w)], place
+        self._weigh()
+        self.sums = np.cumsum(self.steps, axis=1)
+
+    def _weigh(self) -> None:
+        """Turns weights into probabilities by forward sums, for all units that are long enough at once."""
+        steps, w = self.steps, self.steps.shape[1]
+        first = self.base + np.arange(len(self.lengths))  # of a unit's forward sums; there is one more than characters
+        total = np.zeros(len(self.codes) + len(self.lengths))
+        shorter = np.searchsorted(-self.lengths, -np.arange(1, self.lengths.max(initial=0) + 1), "right").tolist()
+        for j, units in enumerate(shorter, 1):
+            k, rows = min(j, w), self.base[:units] + j - 1
+            x = total[(first[:units] + j)[:, None] - np.arange(1, k + 1)] + steps[rows, :k]
+            top = x.max(axis=1, keepdims=True)
+            x -= top
+            np.exp(x, out=x)
+            s = x.sum(axis=1, keepdims=True)
+            total[first[:units] + j] = (top + np.log(s))[:, 0]
+            x /= s
+            steps[rows, :k] = x
+            steps[rows, k:] = 0.0
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    up, down = np.full(n, base, _U), np.full(n, pow(base, -1, 1 << 64), _U)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+
+
+def distinct(codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: int = Vocabulary.BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of codes: the number of each one's kind, and an example of each kind, the longest first.
+
+    Spans are grouped by a hash and then compared with their example; should two different ones share a hash, another is taken.
+    """
+    up, down = _powers(1 << max(20, len(codes).bit_length()), base)
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum((codes.astype(_U) + _U(1)) * up[: len(codes)], out=sums[1:])
+    h = (sums[start + size] - sums[start]) * down[start]
+    _, example, kind = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(-size[example], kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    example, kind = example[order], place[kind]
+    of = example[kind]
+    if (size[of] != size).any() or (codes[np.repeat(start[of] - start, size) + np.arange(len(codes))] != codes).any():
+        return distinct(codes, start, size, base + 2)
+    return kind, example
 
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -218,23 +218,22 @@ class Batch:
     """Texts that are sampled together. A path is arrays of steps (unit occurrence, end in the unit, length), in the search's order:
     unit by unit, from each unit's end to its start."""
 
-    def __init__(self, texts: list[str], keys: list[int], lattices: Lattices):
-        v = lattices.v
-        self.v, self.keys, self.lattices = v, np.array(keys, _U), lattices
-        units, sizes = [], []
-        for t in texts:
-            own = v.units.findall(SPACE + t.replace(" ", SPACE)) if t else ()
-            units += own
-            sizes.append(len(own))
-        self.unit = lattices.add(units)
-        self.steps = lattices.steps[:, : lattices.wide()]
-        self.first = np.cumsum([0, *sizes])
-        self.doc = np.repeat(np.arange(len(texts)), sizes)
-        self.size = self.lattices.lengths[self.unit]
-        start = np.cumsum(self.size) - self.size
-        begin = np.concatenate((start, [0]))[np.minimum(self.first[:-1], len(start))]
-        self.start = start - begin[self.doc]  # of an occurrence in its text
-        self.base = self.lattices.base[self.unit]
+    def __init__(self, texts: list[str], keys: list[int], v: Vocabulary):
+        self.v, self.keys = v, np.array(keys, _U)
+        codes = np.frombuffer("".join([SPACE + t for t in texts if t]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(codes == 32, np.uint32(ord(SPACE)), codes)
+        ends = np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
+        start = v.starts(codes, ends)
+        size = np.diff(start, append=len(codes))
+        self.unit, example = distinct(codes, start, size)
+        lengths = size[example]
+        at = np.repeat(start[example] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        self.lattices = Lattices(v, codes[at], lengths)
+        self.steps = self.lattices.steps
+        self.first = np.searchsorted(start, np.concatenate(([0], ends)))
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.size, self.base = size, self.lattices.base[self.unit]
+        self.start = start - np.concatenate(([0], ends))[self.doc]  # of an occurrence in its text
 
     def descend(self, occ: np.ndarray, end: np.ndarray, sample: int) -> list[np.ndarray]:
         """Steps from the given ends to their units' starts, drawn; in order of occurrence, then from the end on."""
@@ -244,8 +243,7 @@ class Batch:
         occ_, end_, origin = occ[open_], end[open_], origin[open_]
         while len(occ_):
             u = uniform(self.keys[self.doc[occ_]], (self.start[occ_] + end_) * 64 + 2 * sample)
-            p = self.steps[self.base[occ_] + end_ - 1]
-            c = np.cumsum(p, axis=1)
+            c = self.lattices.sums[self.base[occ_] + end_ - 1]
             n = (c < (u * c[:, -1])[:, None]).sum(axis=1) + 1
             occs.append(occ_), ends.append(end_), lens.append(n), nth.append(np.stack((origin, np.full(len(n), k))))
             count[origin] += 1
@@ -266,10 +264,10 @@ class Batch:
     def weigh(self, path: list[np.ndarray], docs: np.ndarray, top: np.ndarray, sample: int) -> dict[int, dict]:
         """Log-probabilities of steps, and the perturbed best scores of what stands beside them, for each text of docs (in order)."""
         occ, end, n = path
-        p = self.steps[self.rows(occ, end)]
-        own = p[np.arange(len(n)), n - 1]
+        row = self.rows(occ, end)
+        own = self.steps[row, n - 1]
         with np.errstate(divide="ignore"):
-            lp, beside = np.log(own), np.log(np.maximum(p.sum(axis=1) - own, 0.0) * (own < 1.0))
+            lp, beside = np.log(own), np.log(np.maximum(self.lattices.sums[row, -1] - own, 0.0) * (own < 1.0))
         doc = self.doc[occ]
         edges = np.searchsorted(doc, docs), np.searchsorted(doc, docs, "right")
         sums = np.concatenate(([0.0], np.cumsum(lp)))
@@ -361,11 +359,13 @@ def row_key(doc_id: int | None, seed: int) -> int:
 
 def samples(rows: list[tuple[int | None, str | None]], k: int, seed: int, path: str) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
     """(row, rank, ids, log-probability, perturbed score, inclusion score) for (doc_id, text) rows."""
+    if not 0 < k < 32:
+        raise ValueError("k must be from 1 to 31: a place's draws have that many numbers")
     first, held, total = 0, [], 0
     for i in range(len(rows) + 1):
         size = len(rows[i][1] or "") if i < len(rows) else 0
         if held and (i == len(rows) or total + size > BATCH_CHARS):
-            batch = Batch([t or "" for _, t in held], [row_key(d, seed) for d, _ in held], lattices(path))
+            batch = Batch([t or "" for _, t in held], [row_key(d, seed) for d, _ in held], vocabulary(path))
             for j, own in enumerate(batch.sample(k)):
                 for rank, x in enumerate(own, 1):
                     yield first + j, rank, batch.ids(x["path"]), x["p"], x["top"], x["inclusion"]
@@ -376,44 +376,54 @@ def samples(rows: list[tuple[int | None, str | None]], k: int, seed: int, path:
 
 
 ENCODED = "doc_id long, rank int, n_tokens long, log_prob double, perturbed double, inclusion double, ids array<int>"
-DIGEST = ENCODED.replace("ids array<int>", "ids_sha256 string")
+DIGEST = ENCODED.replace("ids array<int>", "ids_sha256 string, decoded_sha256 string, restored boolean")
 
 
 def encoded(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, path: str = MODEL, digest: bool = False) -> DataFrame:
-    """Up to k rows for each row of docs (doc_id, text), the best perturbed score first; ids, or with digest their SHA-256 (little-endian 32-bit).
+    """Up to k rows (at most 31) for each row of docs (doc_id, text), the best perturbed score first, with the pieces' ids.
 
+    With digest, in place of the ids: their SHA-256 (little-endian 32-bit), that of the text that they decode to, and
+    whether that is the source text (a piece sign in the source decodes to a space and counts as one).
     Null and empty texts have one segmentation, into nothing. A text with fewer than k segmentations gives all it has, with
     inclusion score 0 (log of 1). Rows are seeded by their doc_id, so rows that repeat an id and a text repeat its
     samples; null ids share a seed. Spaces become a piece sign and one is put before the text; nothing else is normalised.
     """
-
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string() if digest else pa.list_(pa.int32()))
-    names = ["doc_id", "rank", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_sha256" if digest else "ids"]
+    schema = DIGEST if digest else ENCODED
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *((pa.string(), pa.string(), pa.bool_()) if digest else (pa.list_(pa.int32()),)))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
+    def digests(ids: np.ndarray, text: str | None) -> tuple[str, str, bool]:
+        back = bytes_of(ids, vocabulary(path))
+        return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (text or "").replace(SPACE, " ").encode()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_ids, rows, tokens = batch.column(0).to_pylist(), [], 0
-            for i, rank, ids, p, top, inclusion in samples(list(zip(doc_ids, batch.column(1).to_pylist(), strict=True)), k, seed, path):
-                rows.append((doc_ids[i], rank, len(ids), p, top, inclusion, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest() if digest else ids))
+        for batch in slices(batches):
+            given, rows, tokens = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), [], 0
+            for i, rank, ids, p, top, inclusion in samples(given, k, seed, path):
+                rows.append((given[i][0], rank, len(ids), p, top, inclusion, *(digests(ids, given[i][1]) if digest else (ids,))))
                 tokens += len(ids)
-                if tokens > 1 << 21:
+                if tokens > 1 << 20:
                     yield batch_of(rows)
                     rows, tokens = [], 0
             yield batch_of(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, DIGEST if digest else ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
+
+
+def bytes_of(ids: np.ndarray, v: Vocabulary) -> bytes:
+    """The UTF-8 bytes of the text that pieces spell, without the space that encoding put before it."""
+    size = v.spelled_size[ids]
+    at = np.repeat(v.spelled_start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return v.spelled[at].tobytes().removeprefix(b" ")
 
 
 def text_of(ids: list[int], v: Vocabulary) -> str:
-    out = b"".join(bytes((v.byte_of[i],)) if i in v.byte_of else v.pieces[i].encode() for i in ids).decode("utf-8", "replace")
-    return out.replace(SPACE, " ").removeprefix(" ")
+    return bytes_of(np.array(ids, np.int64), v).decode("utf-8", "replace")
 
 
 def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
-    """rows with a column text from their column ids; null ids give null. A piece sign in the source text comes back as a space."""
-    from lumenta.llm.common import widened
-
-    return widened(rows, lambda every: [[None if x is None else text_of(x, vocabulary(path)) for x in every]], "ids", [("text", "string")])
+    """rows with a column text (in place of one of that name) from their column ids; null ids give null. A piece sign in the source text comes back as a space."""
+    return widened(rows, lambda every: [[None if x is None else text_of(x, vocabulary(path)) for x in every]], ["ids"], [("text", "string")])

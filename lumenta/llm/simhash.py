@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import bounds, durable, shuffle_width, sorted_groups
+from lumenta.llm.common import bounds, durable, fresh, shuffle_width, sorted_groups
 from lumenta.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -119,7 +119,7 @@ def _linked(rows: DataFrame, bits: int, chunk: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of nodes (node, fp) within bits of each other. fp is unique."""
+    """(u, v): links whose components are those of all pairs of nodes (node, fp) within bits of each other. node and fp are unique."""
     nodes = durable(nodes.select("node", "fp"))
     n = nodes.count()
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(m - (1 << 64) if m >> 63 else m)) for k, m in enumerate(masks(n, bits))])
@@ -144,19 +144,12 @@ def classes(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
     rows stay. Equal fingerprints are one node, so copies make no pairs.
     """
     own = durable(fingerprints(docs, n))
-    nodes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    # fingerprints that only rows without id have stand for themselves by a negative number
-    first = nodes.where("node is not null").agg(F.min("node")).first()[0]
-    spare = (first if first is not None else 0) + 0
-    marked = nodes.withColumn("key", F.coalesce("node", F.lit(None)))
-    if nodes.where("node is null").limit(1).count():
-        top = nodes.agg(F.max("node")).first()[0] or 0
-        marked = nodes.withColumn("key", F.coalesce("node", F.lit(max(top, spare) + 1) + F.pmod(F.col("fp"), F.lit((1 << 62) - 1))))
-    linked = components(links(marked.select(F.col("key").alias("node"), "fp"), bits))
-    named = marked.join(linked, marked["key"] == linked["node"], "left").select("fp", F.coalesce(linked["component"], marked["key"]).alias("component_id"), marked["node"].alias("held"))
-    known = nodes.where("node is not null").select(F.col("node").alias("component_id"))
-    named = named.join(known.withColumn("real", F.lit(True)), "component_id", "left").select("fp", F.when(F.col("real"), F.col("component_id")).alias("component_id"))
-    return own.join(named, "fp")
+    nodes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    # fingerprints stand for themselves; a component's id is the least id of its fingerprints
+    linked = components(links(nodes.select(F.col("fp").alias("node"), "fp"), bits))
+    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return own.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -165,5 +158,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, n: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """Rows of docs, with all their columns, that stand for their group: those with the least doc_id. Rows without id stay."""
-    least = classes(docs, n, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(least, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = fresh("__gone", docs)
+    late = classes(docs, n, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(late, docs["doc_id"].cast("long") == late[gone], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import itertools
 import math
@@ -279,10 +280,28 @@ class TestSegmentations:
     def test_round_trip(self, spark, sf_dir, vocabulary):
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         texts = {r.doc_id: (r.text or "").replace(sp.SPACE, " ") for r in docs.collect()}
-        got = sp.decoded(sp.encoded(docs)).select("doc_id", "rank", "text").collect()
+        got = sp.decoded(sp.encoded(docs)).select("doc_id", "rank", "text", "ids").collect()
         assert {r.doc_id for r in got} == set(texts)
         assert all(r.text == texts[r.doc_id] for r in got)
-        assert queries.op5_sentencepiece(spark, sf_dir).count() == len(got)
+        digests = {(r.doc_id, r.rank): r for r in queries.op5_sentencepiece(spark, sf_dir).collect()}
+        assert len(digests) == len(got)
+        for r in got:
+            own = digests[r.doc_id, r.rank]
+            assert own.restored and own.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+            assert own.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+
+    def test_units_that_share_a_hash(self, vocabulary, monkeypatch):
+        rows, real = [(1, "one two one three two")], sp._powers
+        want = [x[2].tolist() for x in sp.samples(rows, 2, 17, sp.MODEL)]
+        monkeypatch.setattr(sp, "_powers", lambda n, base: real(n, 1 if base == vocabulary.BASE else base))  # the first hash is a sum of letters
+        codes = np.array([ord(c) for c in "abbaab"], np.uint32)
+        kind, example = sp.distinct(codes, np.array([0, 2, 4]), np.array([2, 2, 2]))
+        assert kind.tolist() in ([0, 1, 0], [1, 0, 1]) and len(example) == 2
+        assert [x[2].tolist() for x in sp.samples(rows, 2, 17, sp.MODEL)] == want
+
+    def test_k_has_a_bound(self, vocabulary):
+        with pytest.raises(ValueError):
+            list(sp.samples([(1, "a")], 32, 17, sp.MODEL))
 
     def test_odd_rows(self, spark, vocabulary):
         rows = [(None, "a b"), (1, None), (1, ""), (2, "word " * 50_000), (2, "word " * 50_000)]
