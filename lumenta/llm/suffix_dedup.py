@@ -5,15 +5,16 @@ rank is unique or the prefix is past the threshold. Ranking every byte's suffix
 anchors are ranked: in each window of `length` bytes the place of its least `seed`-gram hash. Equal windows have equal
 anchors at equal offsets, and a run of windows shares one anchor; no repeated window is missed.
 
-Each round has (anchor, block of offsets) pairs. All windows of a block hold one core of bytes around the anchor; the
-block's extent is all the bytes of its windows. Pairs are ranked by (core, extent): a unique core ends the pair, since none
-of its windows occurs elsewhere; an extent held twice settles all of its windows as repeated. What is neither goes on, one
-pair for each extent, with blocks a quarter as long and thus longer cores, until cores are whole windows.
+A row is an anchor with a block of offsets, that is of windows around it. All of them hold one core of bytes; the row's
+extent is all their bytes. Spark sorts the rows' pairs (rank of the core so far, name of the bytes it grows by) over ranges; a
+pair's place in that order is the new rank. A unique pair ends the row, since none of its windows occurs elsewhere; an
+extent held twice settles all of its windows as repeated. What is neither goes on, one row for each extent, in smaller
+blocks whose cores are twice as long, and past half of the threshold in quarters, until cores are whole windows. As the
+places where a core grows are no anchors, the second half of a pair is a hash of its bytes and not a rank of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import bounds, small, table
+from lumenta.llm.common import bounds, slices, small, table
 
 LENGTH, SEED_BYTES, SPLIT = 400, 128, 4
 #: Bytes of text that are hashed in one pass; longer texts are passes of their own.
@@ -94,27 +95,28 @@ def _pair(data: bytes) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _core(data: bytes, block: int) -> int:
-    return xxhash.xxh3_64_intdigest(data, block) - (1 << 63)
+def _name(data: bytes, place: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(data, place) - (1 << 63)
 
 
-#: A pair: its text (k1, k2), anchor, first and last offset of its windows before the anchor; its core's and extent's hashes.
+#: A row: the rank of its core so far and the name of what it grows by (no name: settled); its extent's hashes; its text
+#: (k1, k2), anchor, and first and last offset of its windows before the anchor; its block's first and last offset.
 OCC = ["k1", "k2", "anchor", "low", "high"]
-PAIR = "core long, e1 long, e2 long, k1 long, k2 long, anchor long, low int, high int"
-_KINDS = [pa.int64()] * 6 + [pa.int32()] * 2
-_NAMES = ["core", "e1", "e2", *OCC]
+PAIR = "rank long, name long, e1 long, e2 long, k1 long, k2 long, anchor long, low int, high int, b0 int, b1 int"
+_KINDS = [pa.int64()] * 7 + [pa.int32()] * 4
+_NAMES = ["rank", "name", "e1", "e2", *OCC, "b0", "b1"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * 8
+    columns = zip(*rows, strict=True) if rows else [()] * len(_KINDS)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
 
 def first_pairs(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """The first round's pairs of texts (k1, k2, text binary). Where one text repeats an extent more than twice, the rest is settled at once: rows without core."""
+    """The first rows of texts (k1, k2, text binary). Where one text repeats an extent more than twice, the rest is settled at once: rows without a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             k1, k2, data = (c.to_pylist() for c in batch.columns)
             data = [t or b"" for t in data]
             rows: list[tuple] = []
@@ -124,83 +126,92 @@ def first_pairs(texts: DataFrame, length: int, seed: int) -> DataFrame:
                     e = _pair(text[p : q + length])
                     seen[e] = n = seen.get(e, 0) + 1
                     if n <= 2:
-                        rows.append((_core(text[a : a + seed], 0), *e, k1[i], k2[i], a, a - q, a - p))
-                    elif rows[-1][0] is None and rows[-1][3:5] == (k1[i], k2[i]) and rows[-1][5] - rows[-1][6] + 1 == p and q - rows[-1][5] + rows[-1][7] < 1 << 30:
-                        a0, low, high = rows[-1][5:]
-                        rows[-1] = (None, 0, 0, k1[i], k2[i], a0, a0 - q, high)
+                        rows.append((0, _name(text[a : a + seed]), *e, k1[i], k2[i], a, a - q, a - p, 0, length - seed))
+                    elif rows[-1][1] is None and rows[-1][4:6] == (k1[i], k2[i]) and rows[-1][6] - rows[-1][7] + 1 == p and q - rows[-1][6] + rows[-1][8] < 1 << 30:
+                        a0, _, high = rows[-1][6:9]
+                        rows[-1] = (0, None, 0, 0, k1[i], k2[i], a0, a0 - q, high, 0, 0)
                     else:
-                        rows.append((None, 0, 0, k1[i], k2[i], a, a - q, a - p))
+                        rows.append((0, None, 0, 0, k1[i], k2[i], a, a - q, a - p, 0, 0))
             yield _batch(rows)
 
     return texts.mapInArrow(run, PAIR)
 
 
 def next_pairs(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """The pairs of a round from (k1, k2, anchor, low, high, context), where context is text[anchor - high : anchor - low + length]."""
+    """The rows of the next round, from rows with their context text[anchor - high : anchor - low + length]: blocks are cut into smaller ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for k1, k2, a, low, high, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for t in range(low // block, high // block + 1):
-                    x, y = max(low, t * block), min(high, t * block + block - 1)
-                    core = text[high - t * block : high - (t * block + block - 1) + length]
-                    rows.append((_core(core, block << 32 | t), *_pair(text[high - y : high - x + length]), k1, k2, a, x, y))
+            for k1, k2, a, low, high, rank, b0, b1, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for j in range((low - b0) // block, (high - b0) // block + 1):
+                    c0 = b0 + j * block
+                    c1 = min(c0 + block - 1, b1)
+                    x, y = max(low, c0), min(high, c1)
+                    grown = text[high - c0 : high - b0] + text[high - b1 + length : high - c1 + length]  # before and after the core
+                    rows.append((rank, _name(grown, j), *_pair(text[high - y : high - x + length]), k1, k2, a, x, y, c0, c1))
             yield _batch(rows)
 
     return contexts.mapInArrow(run, PAIR)
 
 
 def ranked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settled pairs, and one pair for each extent of a core that has several.
+    """Settled rows, and one row with its new rank for each extent of a tied pair that has several.
 
-    Cores are counted first (sums leave the map side), so that only pairs with a core in common go any further.
+    Pairs are counted first (sums leave the map side), so that only tied ones are sorted and go any further.
     """
     e = F.xxhash64("e1", "e2")
-    cores = pairs.where("core is not null").groupBy("core").agg(F.count("*").alias("n"), F.min(e).alias("a"), F.max(e).alias("b")).where("n > 1")
-    cores = table(cores.select("core", (F.col("a") != F.col("b")).alias("several")))
-    shared = table(pairs.join(small(cores, cores.count(), 16), "core"))
+    tied = pairs.where("name is not null").groupBy("rank", "name").agg(F.count("*").alias("n"), F.min(e).alias("a"), F.max(e).alias("b")).where("n > 1")
+    order = tied.repartitionByRange("rank", "name").sortWithinPartitions("rank", "name")
+    order = table(order.select("rank", "name", (F.col("a") != F.col("b")).alias("several"), F.monotonically_increasing_id().alias("next")))
+    shared = table(pairs.join(small(order, order.count(), 25), ["rank", "name"]).drop("rank", "name"))
     occ = F.struct(*OCC)
-    extents = table(shared.groupBy("core", "e1", "e2", "several").agg(F.min(occ).alias("o"), F.max(occ).alias("p")))
-    twice = extents.where("o <> p").select("core", "e1", "e2")
-    settled = shared.select("core", "e1", "e2", *OCC).join(small(twice, twice.count(), 32), ["core", "e1", "e2"]).select(*OCC)
-    return settled, extents.where("several").select("o.*")
+    extents = table(shared.groupBy("next", "e1", "e2", "several", "b0", "b1").agg(F.min(occ).alias("o"), F.max(occ).alias("p")))
+    twice = extents.where("o <> p").select("next", "e1", "e2")
+    settled = shared.select("next", "e1", "e2", *OCC).join(small(twice, twice.count(), 24), ["next", "e1", "e2"]).select(*OCC)
+    return settled, extents.where("several").select("o.*", F.col("next").alias("rank"), "b0", "b1")
+
+
+_LIVE = [*OCC, "rank", "b0", "b1"]
 
 
 def contexts_of(texts: DataFrame, pairs: DataFrame, length: int) -> DataFrame:
     """pairs with the bytes of their windows, cut from texts (k1, k2, text) at most once for each text."""
-    own = pairs.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("own"))  # as many as the text has
+    inner = _LIVE[2:]
+    own = pairs.groupBy("k1", "k2").agg(F.collect_list(F.struct(*inner)).alias("own"))  # as many as the text has
+    kinds = {"anchor": pa.int64(), "rank": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(k1, k2, x["anchor"], x["low"], x["high"], text[x["anchor"] - x["high"] : x["anchor"] - x["low"] + length]) for k1, k2, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in own]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[*OCC, "context"])
+        for batch in slices(batches):
+            rows = [(k1, k2, *(x[c] for c in inner), text[x["anchor"] - x["high"] : x["anchor"] - x["low"] + length]) for k1, k2, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in own]
+            types = (pa.int64(), pa.int64(), *(kinds.get(c, pa.int32()) for c in inner), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=[*_LIVE, "context"])
 
-    return texts.join(small(own, pairs.count(), 32), ["k1", "k2"]).select("k1", "k2", "text", "own").mapInArrow(run, "k1 long, k2 long, anchor long, low int, high int, context binary").dropDuplicates(OCC)
+    schema = "k1 long, k2 long, " + ", ".join(f"{c} {'long' if c in kinds else 'int'}" for c in inner) + ", context binary"
+    return texts.join(small(own, pairs.count(), 48), ["k1", "k2"]).select("k1", "k2", "text", "own").mapInArrow(run, schema).dropDuplicates(OCC)
 
 
 def repeated(texts: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, split: int = SPLIT) -> DataFrame:
     """(k1, k2, spans): for each text of texts (k1, k2, text; no text twice) the first and last windows that start elsewhere too."""
     seed = min(seed, length)
-    block = length - seed + 1
+    core = seed
     pairs = table(first_pairs(texts, length, seed))
-    done = [pairs.where("core is null").select(*OCC)]
+    done = [pairs.where("name is null").select(*OCC)]
     settled, live = ranked(pairs)
     done.append(settled)
-    contexts = table(contexts_of(texts, live, length)) if block > 1 else None
-    while block > 1:
-        block = -(-block // split)
-        pairs = table(next_pairs(contexts, length, block))
+    contexts = table(contexts_of(texts, live, length)) if core < length else None
+    while core < length:
+        core = 2 * core if 2 * core < length else length + 1 - -(-(length - core + 1) // split)
+        pairs = table(next_pairs(contexts, length, length - core + 1))
         settled, live = ranked(pairs)
         done.append(settled)
-        if block == 1 or not live.limit(1).count():
+        if core == length or not live.limit(1).count():
             break
         # the next round's bytes lie within this round's
         outer = contexts.select("k1", "k2", "anchor", F.col("low").alias("l"), F.col("high").alias("h"), "context")
         inner = live.join(outer, ["k1", "k2", "anchor"]).where("low >= l and high <= h")
         cut = F.col("context").substr(F.col("h") - F.col("high") + 1, F.col("high") - F.col("low") + length)
-        contexts = table(inner.select(*OCC, cut.alias("context")))
+        contexts = table(inner.select(*_LIVE, cut.alias("context")))
     every = done[0]
     for x in done[1:]:
         every = every.unionByName(x)
@@ -234,7 +245,7 @@ def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     size = found.agg(F.sum(F.size("spans") * 16 + 32)).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], []]
             for data, copied, spans in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 gone = [(0, len(data))] if copied else cover([(s["a"], s["b"]) for s in spans or ()], length)
@@ -256,6 +267,3 @@ def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: x - s, lambda s: s)  # ends less starts: (e - (s - sum))
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
