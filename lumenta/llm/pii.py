@@ -8,19 +8,23 @@ and their spans are mapped back. Added spans never displace base ones. Texts are
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenta.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The same matches: a match starts where a run of digits does, and takes whole runs, so nothing is tried again.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -54,7 +58,7 @@ def detect(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = list(_emails(text))
     if DIGIT.search(text):
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and len(x.lstrip("0")) <= 3 for x in m[0].split("."))]
+        out["ip"] = [m.span() for m in IP_RUNS.finditer(text) if all(int(x[-4:]) <= 255 and len(x.lstrip("0")) <= 3 for x in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = NO_DIGIT.sub("", m[0])
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -80,14 +84,14 @@ _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:plus\s+)?(?:(?:{_DIGIT_WORD})|[0-9])(?:[ \t,.-]{{1,2}}(?:(?:{_DIGIT_WORD}|dot|point|dash)(?![^\W_])|[0-9]+(?![^\W_]))){{3,}}", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"{_DIGIT_WORD}|plus|dot|point|dash|[0-9]+|[ \t,.-]+", re.IGNORECASE)
 SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD})[ \t,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])", re.IGNORECASE)
-AT = r"(?:\s*[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]\s*|\s+at\s+|\s+@\s*|\s*@\s+)"
 DOT = r"(?:\s*[(\[{<]\s*(?:dot|punkt|point|punto|\.)\s*[)\]}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\.)"
-_NAME = r"[A-Za-z0-9_%+-]+"
-#: name at host dot end: a whole address with at least one disguised separator. A bare "at" needs a spelled or bracketed dot.
-DISGUISED = re.compile(rf"({_NAME}(?:{DOT}{_NAME})*)({AT})([A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
+#: The middle of a disguised @: in brackets, spelled between spaces, or next to spaces.
+AT_CORE = re.compile(r"[(\[{<]\s*(?:at|@|arroba)\s*[)\]}>]|(?<=\s)at(?=\s)|(?<=\s)@|@(?=\s)", re.IGNORECASE)
+NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+HOST = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+DOT_WORDS = ("dot", "punkt", "point", "punto")
 DISGUISED_HINT = re.compile(r"[(\[{<]\s*(?:at|@|arroba|dot|punkt|point|punto|\.)\s*[)\]}>]|\s(?:dot|punkt|point|punto)\s|\s@|@\s", re.IGNORECASE)
 DOTS = re.compile(DOT, re.IGNORECASE)
-BRACKET = re.compile(r"[(\[{<]")
 IP_DOTS = re.compile(r"(?<![0-9.])([0-9]{1,3})((?:\s*[(\[{]\s*(?:dot|\.)\s*[)\]}]\s*|\s+dot\s+|\.)[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
 
 
@@ -137,6 +141,71 @@ def _odd(c: str) -> str | None:
 FOLDABLE = re.compile("[ ­·Ͱ-ԯ٠-๙က-᧿​- ⁠。﹫﻿！-～\U0001d400-\U0001d7ff]")
 
 
+def _back(text: str, at: int, floor: int) -> int:
+    """The start of the white space that ends at a place."""
+    while at > floor and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _dot_before(text: str, end: int, floor: int) -> int:
+    """The start of a dot, bare or disguised, that ends at a place; -1 if there is none."""
+    if end > floor and text[end - 1] == ".":
+        return end - 1
+    at = _back(text, end, floor)
+    if at == floor:
+        return -1
+    closed = text[at - 1] in ")]}>"
+    if closed:
+        at = _back(text, at - 1, floor)
+    elif at == end:
+        return -1
+    for word in DOT_WORDS if not closed else (*DOT_WORDS, "."):
+        start = at - len(word)
+        if start >= floor and text[start:at].lower() == word:
+            at = _back(text, start, floor)
+            if closed:
+                return _back(text, at - 1, floor) if at > floor and text[at - 1] in "([{<" else -1
+            return at if at < start else -1
+    return -1
+
+
+def _name_before(text: str, end: int, floor: int) -> tuple[int, list[tuple[int, int]]]:
+    """The start of the longest chain of names and dots that ends at a place (the place itself if there is none), and the dots' spans."""
+    start, dots, held = end, [], []
+    while True:
+        at = end
+        while at > floor and text[at - 1] in NAME:
+            at -= 1
+        if at == end:
+            return start, dots[::-1]
+        start, end = at, _dot_before(text, at, floor)
+        dots, held = held, [*held, (end, at)]
+        if end < 0:
+            return start, dots[::-1]
+
+
+def _disguised(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn disguised addresses into plain ones. They are found from their @ outwards, each part of a text at most once from either side."""
+    edits: list[tuple[int, int, str]] = []
+    floor = 0
+    for m in AT_CORE.finditer(text):
+        if m.start() < floor:
+            continue
+        left, right = _back(text, m.start(), floor), m.end()
+        while right < len(text) and text[right].isspace():
+            right += 1
+        start, dots = _name_before(text, left, floor)
+        if start == left or not (host := HOST.match(text, right)):
+            continue
+        ends = [d.span() for d in DOTS.finditer(host[0])]
+        if m[0][0] not in "([{<@" and all(host[0][a:b] == "." for a, b in ends):
+            continue  # "look at example.com" is prose
+        edits += [(a, b, ".") for a, b in dots] + [(left, right, "@")] + [(right + a, right + b, ".") for a, b in ends]
+        floor = host.end()
+    return edits
+
+
 def deobfuscate(text: str) -> Tape:
     tape = Tape(text)
     if FOLDABLE.search(text):
@@ -152,16 +221,7 @@ def deobfuscate(text: str) -> Tape:
                 edits.append((m.start(), m.end(), put))
         tape.rewrite(edits)
     if DISGUISED_HINT.search(tape.text):
-        edits = []
-        for m in DISGUISED.finditer(tape.text):
-            bare = not BRACKET.search(m[2]) and "@" not in m[2]
-            dots = DOTS.findall(m[3])
-            if bare and all(d == "." for d in dots):
-                continue  # "look at example.com" is prose
-            edits += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in DOTS.finditer(m[1])]
-            edits.append((m.start(2), m.end(2), "@"))
-            edits += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in DOTS.finditer(m[3])]
-        tape.rewrite(edits)
+        tape.rewrite(_disguised(tape.text))
         if DIGIT.search(tape.text):
             tape.rewrite([(m.start() + d.start(), m.start() + d.end(), ".") for m in IP_DOTS.finditer(tape.text) for d in DOTS.finditer(m[0])])
     return tape
@@ -174,10 +234,19 @@ def spans_of(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[s
     tape = deobfuscate(text)
     if tape.starts is None:
         return base, base
-    taken = sorted(x for own in base.values() for x in own)
-    every = {}
+    taken: list[list[int]] = []  # what base spans cover, apart and in order
+    for a, b in sorted(x for own in base.values() for x in own):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    ends, every = [b for _, b in taken], {}
     for kind, found in detect(tape.text).items():
-        added = [s for s in dict.fromkeys(tape.span(*x) for x in found) if not any(a < s[1] and s[0] < b for a, b in taken)]
+        added = []
+        for s, e in dict.fromkeys(tape.span(*x) for x in found):
+            k = bisect_right(ends, s)
+            if k == len(taken) or taken[k][0] >= e:
+                added.append((s, e))
         every[kind] = sorted({*base[kind], *added})
     return base, every
 
@@ -189,11 +258,11 @@ def joined(spans: dict[str, list[tuple[int, int]]]) -> str:
 def found(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, base and spans (kind:start:end lists), and the matches' texts.
 
-    Null and empty texts have no spans; repeated rows and null ids stay; other columns are ignored.
+    n_<kind> counts base and added spans. Null and empty texts have no spans; repeated rows and null ids stay; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [(joined(b), e, t) for t in batch.column(1).to_pylist() for b, e in [spans_of(t)]]
             rows = [
                 batch.column(0),
@@ -221,6 +290,3 @@ def redact(text: str | None) -> str | None:
         at = max(at, e)
     return "".join([*out, text[at:]])
 
-
-def digest(base: str) -> str:
-    return hashlib.sha256(base.encode()).hexdigest()
