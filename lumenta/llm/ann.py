@@ -2,18 +2,17 @@
 
 The rows are dealt out in shards of bounded size. In a shard each random projection of the vectors is kept as one sorted
 array. A query opens a window around its own projection in every array and widens all windows step by step (virtual
-rehashing: a window of width w·R is a bucket at radius R, centred on the query). A vector that lies in many windows at once
-collides often; those past the collision threshold are verified by their exact inner product. Windows are as wide as it
-takes for enough vectors to be verified: as collisions only grow with the radius, bisection over a few of the vectors tells
-where to start, and windows widen from there. Each shard gives its best; the best of those are the answer.
+rehashing: a window of width w·R is a bucket at radius R, centred on the query). Each step walks the arrays outward from
+where the last one stopped and counts what it reaches, so vectors outside all windows are never touched. A vector that
+lies in many windows at once collides often; windows widen until enough vectors pass the collision threshold, and of
+those the ones that collide most are verified by their exact inner product. Each shard gives its best; the best of those
+are the answer. The stated query set is searched against all rows, in blocks, so work grows with rows times queries.
 
 Inner products are searched as distances: vectors get one more component that makes all of one length, queries a zero.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,20 +21,20 @@ from pyspark.sql import functions as F
 from lumenta.llm.common import durable
 
 #: Vectors in a shard, queries in a block, projections, share of them that must collide, share of a shard verified.
-SHARD, QUERIES, PROJECTIONS, THRESHOLD, VERIFIED = 1 << 14, 1 << 12, 128, 0.55, 0.15
-#: Window half-widths in standard deviations of the projections, and the factor of each step.
-FIRST, GROWTH, STEPS = 0.05, 1.2, 25
-#: One vector in so many tells where the windows start.
-FEW = 16
+SHARD, QUERIES, PROJECTIONS, THRESHOLD, VERIFIED = 1 << 14, 1 << 12, 128, 0.6, 0.16
+#: Vectors that a shard verifies at least, times k.
+LEAST = 16
+#: First half-width of windows in standard deviations of the projections, and the factor of each step.
+FIRST, GROWTH = 0.6, 1.2
 
 
 class SortedProjections:
-    """A shard's index: vectors (n, d), and for each projection their order and sorted values."""
+    """A shard's index: vectors (n, d) with their ids and row numbers, and for each projection their order and sorted values."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 7):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 7):
         # equal vectors are one entry: they share all windows and scores
-        order = np.lexsort((ids, *vectors.T[::-1])) if vectors.size else np.arange(len(ids))
-        ids, vectors = ids[order], vectors[order]
+        order = np.lexsort((rows, ids, *vectors.T[::-1])) if vectors.size else np.arange(len(ids))
+        ids, self.rows, vectors = ids[order], rows[order], vectors[order]
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         self.first = np.flatnonzero(new)
@@ -50,52 +49,36 @@ class SortedProjections:
         self.axes = np.vstack(blocks)[:projections]
         values = np.hstack((self.vectors, extra[:, None])) @ self.axes.T
         # all sorted arrays lie in one, each shifted past the one before it, so that one search finds a window's end in all
+        n = len(self.vectors)
         self.shift = 4 * (self.length or 1.0) * np.arange(len(self.axes))
         order = np.argsort(values, axis=0, kind="stable").T
         self.values = (np.take_along_axis(values.T, order, axis=1) + self.shift[:, None]).ravel()
-        n = len(self.vectors)
+        self.order = np.ascontiguousarray(order, np.intp).ravel()
         self.starts = np.arange(len(self.axes)) * n
-        # the place of each vector in each sorted array: a vector lies in a window if its place is within the window's ends
-        kind = np.uint16 if n < 1 << 16 else np.uint32
-        self.places = np.zeros((len(self.axes), n), kind)
-        np.put_along_axis(self.places, order, np.arange(n, dtype=kind)[None, :], axis=1)
-        self.all = (self.places, np.zeros_like(self.places), np.zeros(self.places.shape, bool))  # with room for what is worked out
-        some = np.ascontiguousarray(self.places[:, ::FEW])
-        self.few = (some, np.zeros_like(some), np.zeros(some.shape, bool))
         self.scale = self.length / np.sqrt(d) or 1.0
 
-    def collisions(self, centre: np.ndarray, step: int, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """How many of a step's windows around centre each entry lies in."""
-        (places, offsets, inside), reach, n = of, FIRST * GROWTH**step * self.scale, len(self.vectors)
-        a = np.clip(self.values.searchsorted(centre - reach) - self.starts, 0, n)
-        b = np.clip(self.values.searchsorted(centre + reach, "right") - self.starts, a, n)
-        np.subtract(places, a.astype(places.dtype)[:, None], out=offsets)  # places before the window wrap around
-        np.less(offsets, (b - a).astype(places.dtype)[:, None], out=inside)
-        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(self.axes) < 256 else np.uint16)
-
     def candidates(self, query: np.ndarray, least: int, threshold: int) -> np.ndarray:
-        """Entries in at least threshold windows, at a radius where there are least of them; all if there is none."""
+        """Entries in at least threshold windows, at a radius where there are least of them: those in the most windows, least at the least."""
         n = len(self.vectors)
         if n <= least:
             return np.arange(n)
-        size = np.sqrt(query @ query)
-        centre = self.axes[:, :-1] @ (query * (self.length / size)) + self.shift
-        low, high = 0, STEPS
-        while low < high:
-            step = (low + high) // 2
-            if np.count_nonzero(self.collisions(centre, step, self.few) >= threshold) * FEW >= least:
-                high = step
-            else:
-                low = step + 1
-        for step in range(low, STEPS):
-            hit = np.flatnonzero(self.collisions(centre, step, self.all) >= threshold)
-            if len(hit) >= least:
-                return hit
-        return np.arange(n)
-
-    def search(self, query_id: int, query: np.ndarray, k: int, threshold: float = THRESHOLD, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best found, the query's own id left out; ties to smaller ids."""
-        at = self.candidates(query, max(4 * k, int(verified * len(self.vectors))), int(threshold * len(self.axes)))
+        centre = self.axes[:, :-1] @ (query * (self.length / np.sqrt(query @ query))) + self.shift
+        counts, reach = np.zeros(n, np.int64), FIRST * self.scale
+        low = high = np.clip(self.values.searchsorted(centre), self.starts, self.starts + n)
+        while True:
+            a = np.clip(self.values.searchsorted(centre - reach), self.starts, low)
+            b = np.clip(self.values.searchsorted(centre + reach, "right"), high, self.starts + n)
+            parts = [self.order[i:j] for x, y in ((a, low), (high, b)) for i, j in zip(x.tolist(), y.tolist(), strict=True) if i < j]
+            if parts:
+                counts += np.bincount(np.concatenate(parts), minlength=n)
+            if np.count_nonzero(counts >= threshold) >= least:
+                edge = np.partition(counts, n - least)[n - least]
+                return np.flatnonzero(counts >= edge)
+            low, high, reach = a, b, GROWTH * reach
+
+    def search(self, own: int, query: np.ndarray, k: int, threshold: float = THRESHOLD, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ids, scores) of the k best found, the query's own row left out; ties to smaller ids."""
+        at = self.candidates(query, max(LEAST * k, int(verified * len(self.vectors))), int(threshold * len(self.axes)))
         if len(at) > k + 1:  # one fast product rules out what is beyond rounding below the k + 1 best; the rest is added up in order
             rough = self.vectors.take(at, axis=0) @ query
             edge = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
@@ -104,11 +87,11 @@ class SortedProjections:
         if len(at) > k + 1:
             edge = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
             at, scores = at[scores >= edge], scores[scores >= edge]
-        ids = [self.ids[self.first[i] : min(self.last[i], self.first[i] + k + 1)] for i in at]  # the smallest of a run of equal vectors
-        every, s = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.repeat(scores, [len(x) for x in ids])
-        own = every != query_id
-        every, s = every[own], s[own]
-        best = np.lexsort((every, -s))[:k]
+        rows = [np.arange(self.first[i], min(self.last[i], self.first[i] + k + 1)) for i in at]  # the smallest of a run of equal vectors
+        every, s = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(scores, [len(x) for x in rows])
+        other = self.rows[every] != own
+        every, s = every[other], s[other]
+        best = np.lexsort((self.rows[every], self.ids[every], -s))[:k]
         return every[best], s[best]
 
 
@@ -127,33 +110,35 @@ def usable(embeddings: DataFrame) -> DataFrame:
 def neighbours(embeddings: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose vec_id is divisible by every.
 
-    Vectors that are unusable take no part; rows that repeat a vec_id and its vector are taken once (different vectors under
-    one id are candidates each); vectors of another length than a query's are no candidates for it. Fewer than k
-    candidates give fewer rows. Queries meet all shards in blocks, so neither side has to fit one task.
+    Vectors that are unusable take no part. Every row but the query's own is a candidate, also one that repeats its vec_id or
+    all of it; rows that repeat a query are queries of their own. Vectors of another length than a query's are no
+    candidates for it. Fewer than k candidates give fewer rows. Of equal vectors only the k + 1 rows with the smallest ids
+    can be in any answer, so no others are dealt out. Queries meet all shards in blocks, so neither side has to fit one task.
     """
-    rows = durable(usable(embeddings).dropDuplicates().withColumn("d", F.size("v")))
+    rows = durable(usable(embeddings).withColumns({"d": F.size("v"), "row": F.monotonically_increasing_id()}))
     queries = rows.where(F.pmod("id", F.lit(every)) == 0)
-    n, q = rows.count(), queries.count()
+    equal = Window.partitionBy("v").orderBy("id", "row")
+    kept = durable(rows.withColumn("place", F.row_number().over(equal)).where(F.col("place") <= k + 1).drop("place"))
+    n, q = kept.count(), queries.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-q // block))
-    number = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(of)).cast("int")
-    data = rows.select("id", "v", "d", number("shard", shards).alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.select("id", "v", "d", number("block", blocks).alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    number = lambda name, of: F.pmod(F.xxhash64(F.lit(name), "row"), F.lit(of)).cast("int")
+    data = kept.select("id", "row", "v", "d", number("shard", shards).alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.select("id", "row", "v", "d", number("block", blocks).alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            index = SortedProjections(left["id"].to_numpy(), matrix(left["v"]))
-            for query_id, query in zip(right["id"].to_pylist(), matrix(right["v"]), strict=True):
-                ids, scores = index.search(query_id, query, k)
-                out[0].append(np.full(len(ids), query_id))
-                out[1].append(ids)
-                out[2].append(scores)
-        made = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table({"query_id": pa.array(made[0].astype(np.int64)), "vec_id": pa.array(made[1].astype(np.int64)), "score": pa.array(made[2].astype(np.float64))})
-
-    found = data.groupBy("d", "s", "b").cogroup(asked.groupBy("d", "s", "b")).applyInArrow(search, "query_id long, vec_id long, score double")
+            index = SortedProjections(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left["v"]))
+            for own, query_id, query in zip(right["row"].to_pylist(), right["id"].to_pylist(), matrix(right["v"]), strict=True):
+                at, scores = index.search(own, query, k)
+                for to, x in zip(out, (np.full(len(at), own), np.full(len(at), query_id), index.ids[at], scores), strict=True):
+                    to.append(x)
+        names, kinds = ("row", "query_id", "vec_id", "score"), (np.int64, np.int64, np.int64, np.float64)
+        return pa.table({name: pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for name, x, kind in zip(names, out, kinds, strict=True)})
+
+    found = data.groupBy("d", "s", "b").cogroup(asked.groupBy("d", "s", "b")).applyInArrow(search, "row long, query_id long, vec_id long, score double")
     # a shard sends k rows for each query, and each map task at most k of them over the shuffle
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -162,11 +147,3 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     return column.flatten().to_numpy().reshape(len(column), -1)
 
-
-def exhaustive(ids: np.ndarray, vectors: np.ndarray, k: int, every: int) -> Iterator[tuple[int, int, int, float]]:
-    """Brute force, for measuring recall."""
-    for i in np.flatnonzero(ids % every == 0):
-        s = exact(vectors, vectors[i])
-        own = np.flatnonzero(ids != ids[i])
-        for rank, j in enumerate(own[np.lexsort((ids[own], -s[own]))[:k]], 1):
-            yield int(ids[i]), rank, int(ids[j]), float(s[j])
