@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from lumenta.llm.common import durable
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Nodes whose least neighbours are broadcast; with more they are written, so that the join reads two plain shuffles and a node
+#: with very many neighbours can be split.
+FEW = 1 << 18
+
+
+def _stars(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One star round over (u, v) with u > v: each node's (large or small) neighbours are linked to its least neighbour or itself."""
     own = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    # written, so that the join reads two plain shuffles and a node with very many neighbours can be split
-    least = durable(own.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    least = own.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = F.broadcast(least) if few else durable(least)
     linked = own.join(least, "u")
     if large:
         linked = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now.n:
             break
         before = now
-        at = durable(_stars(_stars(at, True), False))
+        at = durable(_stars(_stars(at, True, 2 * now.n <= FEW), False, 2 * now.n <= FEW))
     return at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -47,8 +47,17 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["h"])
 
     found = texts.where(F.pmod("node", F.lit(SAMPLE)) == 0).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_DOCS)
-    rows = found.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toArrow()
-    return rows["h"].to_numpy()[::-1].view(np.uint64)
+    found = durable(found)
+    # the count from which at most MOST_COMMON shingles are left; there are far fewer different counts than shingles
+    total, least = 0, 0
+    for r in found.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).toLocalIterator():
+        if total + r.k > MOST_COMMON:
+            least = r.n + 1
+            break
+        total += r.k
+    rows = found.where(F.col("n") >= least).toArrow()  # at most MOST_COMMON
+    order = np.lexsort((rows["h"].to_numpy(), -rows["n"].to_numpy()))
+    return rows["h"].to_numpy()[order][::-1].view(np.uint64)
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
