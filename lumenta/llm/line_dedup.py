@@ -17,12 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import BROADCAST_BYTES, bounds, col, durable, fresh, shuffle_width, sorted_groups, widened
+from lumenta.llm.common import BROADCAST_BYTES, bounds, col, durable, fresh, shuffle_width, slices, sorted_groups, widened
 
 MIN_CODE_POINTS, MIN_DOCS = 40, 5
 #: Keys a shard's filter is meant for.
 SHARD_KEYS = 1 << 16
 SLOTS, KICKS = 4, 500
+#: Reference rows of a shard that one task takes at most, about, where filters are dealt out.
+PART = 1 << 20
+#: An index writes all its filters once in so many changes, so that readers pass over older ones.
+WHOLE_EVERY = 16
 #: Stands for a null doc_id: smaller than any other id.
 NO_ID = -(1 << 63)
 STRIPPED = b" \t\n\v\f\r"
@@ -172,20 +176,51 @@ def shard_filters(common: DataFrame, n_keys: int) -> DataFrame:
     return named.repartition(min(shards, shuffle_width(common)), "shard").sortWithinPartitions("shard", "h").mapInArrow(build, "shard long, shards long, data binary")
 
 
+def _met(refs: DataFrame, filters: DataFrame, shards: int, per_shard: int) -> DataFrame:
+    """The reference rows whose key its shard's filter holds. Filters and rows meet by shard; each shard is dealt out in salted parts of about PART rows."""
+    salts = max(1, -(-per_shard // PART))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(hashes(batch.column(0).to_pylist()), shards).astype(np.int64)), *batch.columns], names=["shard", *batch.schema.names])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in slices(batches, 1 << 14):
+            part, data, key = (batch.column(i).to_pylist() for i in range(3))
+            hit, edges = np.zeros(batch.num_rows, bool), bounds(np.array(part))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if part[a] != at:
+                    at, own = part[a], None
+                if data[a] is not None:  # a part's filter comes first
+                    own, a = CuckooFilter.from_bytes(data[a]), a + 1
+                if own is not None and a < b:
+                    hit[a:b] = own.holds(hashes(key[a:b]))
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(hit))
+
+    rows = refs.mapInArrow(name, "shard long, key binary, doc long, n long")
+    rows = rows.select((F.col("shard") * salts + F.pmod(F.xxhash64("doc"), F.lit(salts))).alias("part"), F.lit(None).cast("binary").alias("data"), "key", "doc", "n")
+    held = filters.select("shard", "data", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    held = held.select((F.col("shard") * salts + F.col("salt")).alias("part"), "data", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("n"))
+    every = rows.unionByName(held)
+    return every.repartition(shuffle_width(refs), "part").sortWithinPartitions("part", F.col("data").isNull()).mapInArrow(pick, "key binary, doc long, n long")
+
+
 def dropped_keys(docs: DataFrame, table: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, filters: DataFrame | None = None) -> DataFrame:
     """(doc, keys): for each document the keys whose lines it loses.
 
-    Lines first meet the cuckoo filters. Where those are too large to hand to every task, all lines go to the exact table.
+    Lines first meet the cuckoo filters. Filters of up to BROADCAST_BYTES in all are handed to every task; larger ones are
+    dealt out by shard, and the lines' keys with them.
     """
     common = durable(table.where(F.col("n_docs") >= min_docs))
-    n_keys = common.count()
-    held = None
-    if n_keys * 6 <= BROADCAST_BYTES:  # a slot has two bytes; tables are at least 42 % full
-        made = (shard_filters(common, n_keys) if filters is None else filters).collect()
-        own = {r.shard: CuckooFilter.from_bytes(r.data) for r in made}
-        shards = made[0].shards if made else 1
-        held = docs.sparkSession.sparkContext.broadcast({s: own.get(s, CuckooFilter(4)) for s in range(shards)})
-    asked = references(docs, least, held)
+    made = durable(shard_filters(common, common.count()) if filters is None else filters)
+    size = made.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)).alias("b"), F.coalesce(F.max("shards"), F.lit(1)).alias("shards")).first()
+    if size.b <= BROADCAST_BYTES:
+        own = {r.shard: CuckooFilter.from_bytes(r.data) for r in made.collect()}
+        asked = references(docs, least, docs.sparkSession.sparkContext.broadcast({s: own.get(s, CuckooFilter(4)) for s in range(size.shards)}))
+    else:
+        refs = durable(references(docs, least))
+        asked = _met(refs, made, size.shards, refs.count() // size.shards)
     lost = asked.join(common, "key").where(F.col("doc") != F.col("max_doc"))
     return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
 
@@ -227,25 +262,49 @@ def report(docs: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DO
 class LineIndex:
     """Reference counts and filters on shared storage, that documents are put into and taken out of again.
 
-    path/refs is a log of reference rows (deletions have negative n) by version, path/filters-N the filters after N
-    changes. A change counts once its filters are written: until then readers pass over its references, and a retry
-    overwrites them. A filter that overflows is built anew from the table, for twice its keys.
+    path/refs is a log of reference rows by version (deletions have negative n), path/filters one of the filters that a
+    version changed; every WHOLE_EVERY-th version has all of them. A change counts once its filters are written whole: until
+    then readers, and whoever opens the index, pass over it, and a retry overwrites what it left. A filter that overflows
+    is built anew from the table, for twice its keys. An index that exists is opened, with the settings it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, shards: int = 16, shard_keys: int = SHARD_KEYS):
-        self.spark, self.path, self.least, self.min_docs, self.shards, self.shard_keys, self.version = spark, path, least, min_docs, shards, shard_keys, 0
-        self.spark.createDataFrame([], "key binary, doc long, n long").write.mode("overwrite").parquet(f"{path}/refs/version=0")
-        self.spark.createDataFrame([], "shard long, shards long, data binary").write.mode("overwrite").parquet(f"{path}/filters-0")
+        self.spark, self.path, self.version = spark, path, -1
+        done = [int(x.rpartition("=")[2]) for x in self._list("filters") if self._list(f"filters/{x}", "_SUCCESS")]
+        if done:
+            self.version = max(done)
+            made = spark.read.parquet(f"{path}/settings").first()
+            self.least, self.min_docs, self.shards, self.shard_keys = made.least, made.min_docs, made.shards, made.shard_keys
+            return
+        self.least, self.min_docs, self.shards, self.shard_keys = least, min_docs, shards, shard_keys
+        spark.createDataFrame([(least, min_docs, shards, shard_keys)], "least int, min_docs int, shards int, shard_keys int").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+        spark.createDataFrame([], "key binary, doc long, n long").write.mode("overwrite").parquet(f"{path}/refs/version=0")
+        spark.createDataFrame([], FILTERS).write.mode("overwrite").parquet(f"{path}/filters/version=0")
+        self.version = 0
+
+    def _list(self, folder: str, name: str | None = None) -> list[str]:
+        """Names in a folder of the index (with name: only that one, if it is there)."""
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return [x for x in found if name is None or x == name]
+
+    def _read(self, folder: str, schema: str, first: int, version: int) -> DataFrame:
+        paths = [f"{self.path}/{folder}/version={v}" for v in range(first, version + 1)]
+        return self.spark.read.option("basePath", f"{self.path}/{folder}").schema(f"{schema}, version int").parquet(*paths)
 
     def refs(self, version: int | None = None) -> DataFrame:
-        paths = [f"{self.path}/refs/version={v}" for v in range((self.version if version is None else version) + 1)]
-        return self.spark.read.schema("key binary, doc long, n long").parquet(*paths)
+        return self._read("refs", "key binary, doc long, n long", 0, self.version if version is None else version).drop("version")
 
     def table(self) -> DataFrame:
         return counted(self.refs())
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters-{self.version}")
+        """(shard, shards, data): each shard's filter as the last change left it."""
+        every = self._read("filters", FILTERS, self.version - self.version % WHOLE_EVERY, self.version)
+        last = every.groupBy("shard").agg(F.max("version").alias("version"))
+        return every.join(last, ["shard", "version"]).select("shard", "shards", "data")
 
     def insert(self, docs: DataFrame) -> None:
         self._change(durable(references(docs, self.least)))
@@ -263,7 +322,7 @@ class LineIndex:
         rows.write.mode("overwrite").parquet(f"{self.path}/refs/version={version}")
         after = durable(common(self.refs(version).join(touched, "key", "left_semi")))
         moved = after.exceptAll(before).withColumn("up", F.lit(True)).unionByName(before.exceptAll(after).withColumn("up", F.lit(False)))
-        shards, shard_keys, held = self.shards, self.shard_keys, self.filters()
+        shards, shard_keys, held, whole = self.shards, self.shard_keys, self.filters(), version % WHOLE_EVERY == 0
         schema = pa.schema([("shard", pa.int64()), ("shards", pa.int64()), ("data", pa.binary())])
 
         def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,9 +331,11 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards).astype(np.int64)), pa.array(h.view(np.int64)), batch.column(1)], names=["shard", "h", "up"])
 
         def update(key, own, changes):
-            """The shard's filter after the changes; null if it is full."""
+            """The shard's filter after the changes; null if it is full. No row if nothing changes, but in a whole version."""
             h, up = changes["h"].to_numpy().view(np.uint64), changes["up"].to_numpy()
             data = own["data"].to_pylist()
+            if not len(h):
+                return pa.table({"shard": own["shard"], "shards": own["shards"], "data": own["data"]} if whole else {"shard": [], "shards": [], "data": []}, schema=schema)
             filter_ = CuckooFilter.from_bytes(data[0]) if data else CuckooFilter.for_keys(shard_keys)
             filter_.delete(h[~up])
             made = filter_.to_bytes() if filter_.insert(h[up]) else None
@@ -284,16 +345,18 @@ class LineIndex:
             return pa.table({"shard": [key[0].as_py()], "shards": [shards], "data": [built(own["h"].to_numpy().view(np.uint64), 2).to_bytes()]}, schema=schema)
 
         named = moved.mapInArrow(name, "shard long, h long, up boolean")
-        made = durable(held.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(update, "shard long, shards long, data binary"))
+        made = durable(held.groupBy("shard").cogroup(named.groupBy("shard")).applyInArrow(update, FILTERS))
         full = [r.shard for r in made.where("data is null").select("shard").collect()]
         if full:
             every = common(self.refs(version)).withColumn("up", F.lit(True)).mapInArrow(name, "shard long, h long, up boolean")
-            anew = every.where(F.col("shard").isin(full)).groupBy("shard").applyInArrow(rebuild, "shard long, shards long, data binary")
+            anew = every.where(F.col("shard").isin(full)).groupBy("shard").applyInArrow(rebuild, FILTERS)
             made = made.where("data is not null").unionByName(anew)
-        made.write.mode("overwrite").parquet(f"{self.path}/filters-{version}")
+        made.write.mode("overwrite").parquet(f"{self.path}/filters/version={version}")
         self.version = version
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        decisions = dropped_keys(docs, self.table(), self.least, self.min_docs, self.filters())
-        return _apply(docs, decisions, self.least)[0]
+    def apply(self, docs: DataFrame) -> tuple[DataFrame, str, str]:
+        """docs with the text less the index's common lines, and the names of two added columns: lines before, and lines dropped."""
+        return _apply(docs, dropped_keys(docs, self.table(), self.least, self.min_docs, self.filters()), self.least)
+
 
+FILTERS = "shard long, shards long, data binary"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import xxhash
 
 UPPER = bytes(range(65, 91))
@@ -112,3 +113,17 @@ def personal(text: str | None) -> dict[str, list[tuple[int, int]]]:
         "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))],
         "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15],
     }
+
+
+def nearest(rows: list[tuple[int, list[float]]], k: int = 20, every: int = 20) -> list[tuple[int, int, int, float]]:
+    """(query_id, rank, vec_id, score) by sums in order of the components, each row but the query's own a candidate."""
+    vectors, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    out = []
+    for at, (query_id, _) in enumerate(rows):
+        if query_id % every == 0:
+            s = np.zeros(len(rows))
+            for c in range(vectors.shape[1]):
+                s += vectors[:, c] * vectors[at, c]
+            order = [j for j in np.lexsort((ids, -s)).tolist() if j != at][:k]
+            out += [(query_id, rank, int(ids[j]), float(s[j])) for rank, j in enumerate(order, 1)]
+    return out

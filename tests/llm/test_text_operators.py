@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -60,21 +61,46 @@ class TestLines:
         rows = [(i, f"{line}\nown {i}") for i in range(6)]
         first = frame(spark, rows[:4])
         index.insert(first)
-        assert {r["__n_dropped"] for r in index.apply(first).collect()} == {0}
+        assert {r["__n_dropped"] for r in index.apply(first)[0].collect()} == {0}
         index.insert(frame(spark, rows[4:]))
-        got = {r.doc_id: r.text for r in index.apply(frame(spark, rows)).collect()}
+        got = {r.doc_id: r.text for r in index.apply(frame(spark, rows))[0].collect()}
         assert got == {d: t for d, (_, _, t) in brute.lines(rows).items()}
         index.delete(frame(spark, rows[4:]))
-        assert {r["__n_dropped"] for r in index.apply(first).collect()} == {0}
+        assert {r["__n_dropped"] for r in index.apply(first)[0].collect()} == {0}
+
+    def test_an_index_is_opened_again(self, spark, tmp_path, monkeypatch):
+        monkeypatch.setattr(line_dedup, "WHOLE_EVERY", 2)
+        lines = [f"common line {i} of at least forty code points, in many documents" for i in range(40)]
+        rows = [(d, "\n".join(lines[d:])) for d in range(8)]
+        for d, row in enumerate(rows[:7]):
+            line_dedup.LineIndex(spark, f"file://{tmp_path}/index", shards=4).insert(frame(spark, [row]))
+            assert line_dedup.LineIndex(spark, f"file://{tmp_path}/index", shards=9).shards == 4
+        index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index")
+        index.delete(frame(spark, rows[6:7]))
+        index.insert(frame(spark, rows[7:]))
+        left = rows[:6] + rows[7:]
+        assert line_dedup.LineIndex(spark, f"file://{tmp_path}/index").version == 9
+        assert {r.doc_id: r.text for r in line_dedup.LineIndex(spark, f"file://{tmp_path}/index").apply(frame(spark, left))[0].collect()} == {d: t for d, (_, _, t) in brute.lines(left).items()}
+        changed = spark.read.parquet(f"file://{tmp_path}/index/filters/version=1").count()
+        assert changed == 0  # one document makes no line common, so no filter is written
+
+    def test_filters_that_are_dealt_out(self, spark, monkeypatch):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+        monkeypatch.setattr(line_dedup, "PART", 20)
+        lines = [f"common line {i} of at least forty code points, in many documents" for i in range(60)]
+        rows = [(d, "\n".join([*lines[d % 7 :], f"own {d}"])) for d in range(20)]
+        got = by_id(line_dedup.report(frame(spark, rows)).collect())
+        assert got == {d: (n, x, brute.sha(t)) for d, (n, x, t) in brute.lines(rows).items()}
 
     def test_full_filters_are_built_anew(self, spark, tmp_path):
         lines = [f"common line {i} of at least forty code points, in many documents" for i in range(300)]
         rows = [(d, "\n".join(lines)) for d in range(6)]
         index = line_dedup.LineIndex(spark, f"file://{tmp_path}/index", shards=2, shard_keys=8)
         index.insert(frame(spark, rows))
-        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows)).collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
+        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows))[0].collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
         index.delete(frame(spark, rows[4:]))
-        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4])).collect()} == {0}
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4]))[0].collect()} == {0}
 
     def test_a_retry_after_a_failure_is_exact(self, spark, tmp_path, monkeypatch):
         line = "a line of at least forty code points, found in many documents"
@@ -84,11 +110,11 @@ class TestLines:
             broken.setattr(index, "filters", lambda: 1 / 0)
             with pytest.raises(ZeroDivisionError):
                 index.insert(frame(spark, rows))
-        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows)).collect()} == {0}
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows))[0].collect()} == {0}
         index.insert(frame(spark, rows))
-        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows)).collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
+        assert {r.doc_id: r.text for r in index.apply(frame(spark, rows))[0].collect()} == {d: t for d, (_, _, t) in brute.lines(rows).items()}
         index.delete(frame(spark, rows[4:]))
-        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4])).collect()} == {0}
+        assert {r["__n_dropped"] for r in index.apply(frame(spark, rows[:4]))[0].collect()} == {0}
 
     def test_cuckoo_filter(self):
         keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
@@ -218,6 +244,15 @@ class TestPersonalData:
     def test_prose(self, text):
         assert not any(pii.spans_of(text)[1].values())
 
+    @pytest.mark.parametrize("part", ["x", "1", "a.", "1 ", "1.", " @", " at a", "(dot) ", "+1 ", "a (at) b dot c ", "а"])
+    def test_long_texts_take_linear_time(self, part):
+        took = []
+        for size in (1 << 16, 1 << 19):
+            began = time.process_time()
+            pii.spans_of("a @ " + part * (size // len(part)))
+            took.append(time.process_time() - began)
+        assert took[1] < 5 and took[1] < 24 * max(took[0], 0.02)  # eight times the text
+
     def test_nulls_and_empty(self, spark):
         rows = frame(spark, [(None, "a@b.cd"), (1, None), (1, ""), (1, None)])
         assert sorted((r.doc_id or 0, r.n_email) for r in pii.found(rows).collect()) == [(0, 1), (1, 0), (1, 0), (1, 0)]
