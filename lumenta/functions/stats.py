@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+# The weights of the four parts; the constants of the scores below.
 WEIGHTS = {"data": 0.30, "statistical": 0.30, "model": 0.20, "reasoning": 0.20}
 
 
@@ -36,8 +37,8 @@ def welch(n1: int, mean1: float, var1: float, n2: int, mean2: float, var2: float
     return Test("welch_t", t, p, d, p < alpha and abs(d) >= least_effect)
 
 
-def proportions(s1: int, n1: int, s2: int, n2: int, alpha: float = 0.05, least: int = 30) -> Test:
-    """Two-proportion z, with Cohen's h."""
+def proportions(s1: int, n1: int, s2: int, n2: int, alpha: float = 0.05, least: int = 30, least_effect: float = 0.2) -> Test:
+    """Two-proportion z, with Cohen's h; significant only if the effect is not negligible either."""
     if min(n1, n2) < least:
         return Test("proportion_z", 0.0, 1.0, 0.0, False, f"fewer than {least} trials on a side")
     p1, p2, p = s1 / n1, s2 / n2, (s1 + s2) / (n1 + n2)
@@ -46,7 +47,7 @@ def proportions(s1: int, n1: int, s2: int, n2: int, alpha: float = 0.05, least:
     if se == 0:
         return Test("proportion_z", 0.0, 1.0, h, False, "no variance")
     z = (p2 - p1) / se
-    return Test("proportion_z", z, normal_p(z), h, normal_p(z) < alpha)
+    return Test("proportion_z", z, normal_p(z), h, normal_p(z) < alpha and abs(h) >= least_effect)
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -81,36 +82,45 @@ def t_critical(dof: float, alpha: float = 0.05) -> float:
     return (low + high) / 2
 
 
+def clamped(x: float) -> float:
+    """Within 0.01 and 1, so that no part of a geometric mean makes it nothing."""
+    return max(0.01, min(1.0, x))
+
+
 def score_data(quality: float, rows: int, days_old: float, enough: int = 1000, fresh: float = 30.0) -> float:
-    """quality within 0 to 1."""
-    volume = math.sqrt(min(1.0, rows / enough))
-    return 0.5 * quality + 0.25 * volume + 0.25 * max(0.0, 1 - days_old / fresh)
+    """quality within 0 to 1. The first day costs nothing."""
+    volume = clamped(math.sqrt(min(1.0, rows / max(1, enough))))
+    freshness = clamped(1 - min(1.0, max(0.0, days_old - 1) / fresh))
+    return clamped(0.5 * clamped(quality) + 0.25 * volume + 0.25 * freshness)
 
 
 def score_statistical(p: float | None, effect: float | None) -> float:
     if p is None:
         return 0.35
-    out = max(0.0, 1 - math.exp(-0.45 * math.log10(1 / max(p, 1e-12)) - 0.05))
+    out = clamped(1 - math.exp(-0.45 * math.log10(1 / max(p, 1e-9)) - 0.05))
     return out * 0.6 if effect is not None and abs(effect) < 0.2 else out
 
 
 def score_model(mape: float | None, beats_baseline: bool, folds: int) -> float:
-    out = 1 - min(1.0, (0.5 if mape is None else mape) / 0.5)
-    return out * (1.0 if beats_baseline else 0.65) * (1.0 if folds >= 3 else 0.85)
+    if mape is None:
+        return 0.5 if beats_baseline else 0.35
+    return clamped(1 - min(1.0, mape / 0.5)) * (1.0 if beats_baseline else 0.65) * (1.0 if folds >= 3 else 0.85)
 
 
 def score_reasoning(passed: int, total: int, blocking: bool) -> float:
-    out = (passed / total) ** 1.5 if total else 0.0
+    if not total:
+        return 0.4
+    out = clamped((passed / total) ** 1.5)
     return min(out, 0.25) if blocking else out
 
 
 def label(score: float) -> str:
-    return "high" if score >= 0.8 else "moderate" if score >= 0.6 else "low" if score >= 0.4 else "very_low"
+    return "high" if score >= 0.8 else "moderate" if score >= 0.6 else "low" if score >= 0.4 else "insufficient"
 
 
 def combine(parts: dict[str, float]) -> dict:
     """The weighted geometric mean of the four components, its label and the component that limits it."""
-    own = {k: min(1.0, max(0.01, parts[k])) for k in WEIGHTS}
+    own = {k: clamped(parts[k]) for k in WEIGHTS}
     score = math.exp(sum(w * math.log(own[k]) for k, w in WEIGHTS.items()))
     return {"score": score, "label": label(score), "limiting_factor": min(own, key=own.get), "components": own}
 

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenta.operators import anomaly
+from lumenta.sources.durable import small
 
 LEAST_COVERAGE, NOISY_PER_MONTH = 0.6, 8
 ORDER = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 
 # The words of the rule grammar.
-DOWN_VERBS = "drop drops dropped fall falls fell decline declines declined decrease decreases decreased shrink shrinks shrank worsen worsens worsened slump slumps slumped degrade degrades degraded".split()
-UP_VERBS = "rise rises rose increase increases increased grow grows grew spike spikes spiked jump jumps jumped climb climbs climbed exceed exceeds exceeded surge surges surged".split()
+DOWN_VERBS = ["drop", "drops", "dropped", "fall", "falls", "fell", "decline", "declines", "declined", "decrease", "decreases", "decreased", "shrink", "shrinks", "shrank", "worsen", "worsens", "worsened", "slump", "slumps", "slumped", "degrade", "degrades", "degraded"]
+UP_VERBS = ["rise", "rises", "rose", "increase", "increases", "increased", "grow", "grows", "grew", "spike", "spikes", "spiked", "jump", "jumps", "jumped", "climb", "climbs", "climbed", "exceed", "exceeds", "exceeded", "surge", "surges", "surged"]
 DOWN_COMPARATORS = ["below", "under", "less than", "lower than", "beneath"]
 UP_COMPARATORS = ["above", "over", "more than", "greater than", "higher than", "at least"]
 ANOMALY_WORDS = ["anomaly", "anomalous", "unusual", "unusually", "abnormal", "out of the ordinary", "weird", "strange"]
@@ -134,15 +135,20 @@ def judged(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"observed": F.when(evaluated, observed), "evaluated": evaluated, "triggered": evaluated & F.coalesce(met, F.lit(False)), "severity": severity})
 
 
+def sent(rules: DataFrame) -> DataFrame:
+    """Rules, marked to be broadcast after their number is checked."""
+    return small(rules, rules.count(), 128)
+
+
 def evaluate(rules: DataFrame, series: DataFrame) -> DataFrame:
-    """All threshold and change rules against their series at each series' last day, in one job: rule_id, series_id, observed, evaluated, triggered, severity, ...
+    """All threshold and change rules against their series at each series' last day: rule_id, series_id, observed, evaluated, triggered, severity, ...
 
-    Windows count calendar days, not rows. The rule table is typed in, so it is small and sent to the series.
+    Windows count calendar days, not rows. A rule table of up to some hundred thousand rules is sent to the series, a larger one joined.
     """
     rows = series.where("y is not null")
     last = rows.groupBy("series_id").agg(F.max("ds").alias("at"))
     own = rules.where("condition <> 'anomaly'")
-    joined = rows.join(last, "series_id").join(F.broadcast(own), "series_id")
+    joined = rows.join(last, "series_id").join(sent(own), "series_id")
     keys = [c for c in own.columns if c != "series_id"]
     return judged(joined.groupBy("series_id", *keys, "at").agg(*_means(own, rows, F.col("at"))))
 
@@ -152,7 +158,7 @@ def evaluate_anomalies(rules: DataFrame, series: DataFrame) -> DataFrame:
     found = anomaly.detect(series)
     last = series.where("y is not null").groupBy("series_id").agg(F.max("ds").alias("at"))
     rank = lambda c: F.when(c == "critical", 3).when(c == "high", 2).when(c == "medium", 1).otherwise(0)
-    own = F.broadcast(rules.where("condition = 'anomaly'")).join(last, "series_id")
+    own = sent(rules.where("condition = 'anomaly'")).join(last, "series_id")
     hits = own.join(found.withColumnRenamed("severity", "found_severity"), "series_id", "left")
     inside = (F.datediff("at", "ds") < F.col("window_days")) & (rank(F.col("found_severity")) >= rank(F.col("min_severity")))
     return hits.groupBy("rule_id", "series_id", "metric").agg(F.count(F.when(inside, 1)).alias("n_found"), F.max(F.when(inside, F.abs("score"))).alias("worst_score")).withColumn("triggered", F.col("n_found") > 0)
@@ -173,9 +179,11 @@ def backtest(rules: DataFrame, series: DataFrame, days: int = 180) -> DataFrame:
     rows = series.where("y is not null")
     last = rows.groupBy("series_id").agg(F.max("ds").alias("end"))
     own = rules.where("condition <> 'anomaly'")
-    at = rows.select("series_id", F.col("ds").alias("at")).join(last, "series_id").where(F.datediff("end", "at") < days).join(F.broadcast(own), "series_id")
-    day = F.datediff("at", "ds")
-    met = at.join(rows, "series_id").where((day >= 0) & (day < F.col("window_days") + F.col("comparison_days")))
+    at = rows.select("series_id", F.col("ds").alias("at")).join(last, "series_id").where(F.datediff("end", "at") < days).select("series_id", "at")
+    # each row goes to the days whose windows hold it: as many as its rule's windows are long
+    reach = F.col("window_days") + F.col("comparison_days") - 1
+    near = rows.join(last, "series_id").join(sent(own), "series_id").where(F.datediff("end", "ds") < days + reach)
+    met = near.withColumn("at", F.explode(F.sequence("ds", F.least(F.col("end"), F.date_add("ds", reach))))).drop("end").join(at, ["series_id", "at"])
     keys = [c for c in own.columns if c != "series_id"]
     out = judged(met.groupBy("series_id", *keys, "at").agg(*_means(own, rows, F.col("at"))))
     folded = out.select("rule_id", "series_id", F.col("at").alias("ds"), "observed", "triggered", "cooldown_hours")

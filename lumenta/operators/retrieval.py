@@ -6,14 +6,16 @@ An index is postings and sums; new documents are appended, nothing is rebuilt. Q
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import durable, shuffle_width
+from lumenta.sources.durable import durable, running, small
 
 K1, B, RRF, LEAST_TOKEN = 1.5, 0.75, 60, 2
 TOKEN = "[a-z0-9£$%]+"
@@ -74,18 +76,37 @@ def char_grams(docs: DataFrame, key: str, text: str = "text", low: int = 3, high
     return words.select(key, "n", F.explode(own).alias("gram")).groupBy(key, "gram").agg(F.sum("n").alias("tf"))
 
 
+def bm25_texts(docs: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
+    """bm25() straight from texts, in one pass over them: lengths need no stems, and only tokens that can have an asked stem get one.
+
+    A stem is its token's beginning, but for its last letter; a query's terms are few and known here.
+    """
+    asked = {r.term: r.qf for r in terms(docs.sparkSession, query).collect()}
+    found = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.length(t) >= LEAST_TOKEN)
+    close = lambda t: reduce(lambda a, b: a | b, [t.startswith(term[:-1]) for term in asked], F.lit(False))
+    base = docs.select(key, found.alias("tokens")).select(key, F.size("tokens").alias("length"), F.filter("tokens", close).alias("close")).where("length > 0")
+    base = durable(base)  # a number and a few tokens for each document
+    whole = base.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    stems = base.where(F.size("close") > 0).select(key, "length", F.explode("close").alias("token")).select(key, "length", stem(F.col("token")).alias("term"))
+    hits = durable(stems.where(F.col("term").isin(*asked)).groupBy(key, "length", "term").agg(F.count("*").alias("tf")))
+    df = {r.term: r.df for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each asked term
+    weights = F.create_map(*[F.lit(x) for t, d in sorted(df.items()) for x in (t, float(asked[t] * math.log(1 + (whole.n - d + 0.5) / (d + 0.5))))]) if df else None
+    part = F.lit(0.0) if weights is None else weights[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(whole["mean"])))
+    return hits.groupBy(key).agg(F.sum(part).alias("bm25"))
+
+
 def char_tfidf(docs: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """key, cosine of sublinear tf-idf vectors of character n-grams; only the query's grams are joined."""
+    """key, cosine of sublinear tf-idf vectors of character n-grams; norms and dot products are sums of one pass over counts that are written once."""
     spark = docs.sparkSession
-    grams = char_grams(docs, key, text)
-    n = docs.agg(F.count("*").alias("n"))
-    idf = grams.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = grams.join(idf, "gram").select(key, "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    grams, n = durable(char_grams(docs, key, text)), docs.count()
+    df = durable(grams.groupBy("gram").agg(F.count("*").alias("df")))
+    idf = df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
     asked = char_grams(spark.createDataFrame([(0, query)], "q int, text string"), "q").join(idf, "gram").select("gram", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
-    qnorm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    dots = weighed.join(F.broadcast(asked), "gram").groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))  # one query's grams
-    return dots.join(norms, key).crossJoin(F.broadcast(qnorm)).select(key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine"))
+    asked = durable(asked)  # one query's grams
+    norm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("n")).first().n or 1.0
+    weighed = grams.join(small(idf, df.count(), 24), "gram").join(F.broadcast(asked), "gram", "left").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    out = weighed.groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    return out.where("dot is not null").select(key, (F.col("dot") / (F.col("dn") * F.lit(float(norm)))).alias("cosine"))
 
 
 def dense_cosine(vectors: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
@@ -99,23 +120,23 @@ def dense_cosine(vectors: DataFrame, key: str, vector: str, query: list[float])
 
 
 def placed(frame: DataFrame, key: str, score: str) -> DataFrame:
-    """key, place: ranks by score (largest first, then smaller keys) of all rows; each partition of the sorted rows is counted on its own."""
-    own = frame.select(key, score).repartitionByRange(shuffle_width(frame), F.col(score).desc(), key)
-    own = durable(own.withColumn("part", F.spark_partition_id()))  # parts must be the same when they are counted and ranked
-    sizes = own.groupBy("part").agg(F.count("*").alias("n"))  # one row for each partition
-    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col(score).desc(), key))
-    return own.withColumn("within", within).join(F.broadcast(starts), "part").select(key, (F.col("start") + F.col("within")).alias("place"))
+    """key, place: ranks by score (largest first, then smaller keys) of all rows, counted over sorted ranges."""
+    own = running(frame.select(key, score), [F.col(score).desc(), key], {"before": F.lit(1)})
+    return own.select(key, (F.col("before") + 1).alias("place"))
 
 
 def fused(signals: dict[str, DataFrame], key: str, limit: int = 10, least_signals: int = 1) -> DataFrame:
-    """key, rrf, signals, rank from frames (key, score) by signal: all scores over 0 count; ties go to smaller keys."""
+    """key, rrf, signals, places, rank from frames (key, score) by signal: all scores over 0 count; ties go to smaller keys.
+
+    places maps each signal that has the document to the document's rank in it.
+    """
     parts = None
     for name, frame in signals.items():
         score = next(c for c in frame.columns if c != key)
         own = placed(frame.where(F.col(score) > 0), key, score).withColumn("signal", F.lit(name))
         parts = own if parts is None else parts.unionByName(own)
-    out = parts.groupBy(key).agg(F.sum(1 / (RRF + F.col("place"))).alias("rrf"), F.array_sort(F.collect_set("signal")).alias("signals")).where(F.size("signals") >= least_signals)
+    places = F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "place"))))  # one for each signal
+    out = parts.groupBy(key).agg(F.sum(1 / (RRF + F.col("place"))).alias("rrf"), places.alias("places")).withColumn("signals", F.map_keys("places")).where(F.size("signals") >= least_signals)
     return out.orderBy(F.col("rrf").desc(), key).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("rrf").desc(), key)))
 
 
