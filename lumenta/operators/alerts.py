@@ -164,6 +164,39 @@ def evaluate_anomalies(rules: DataFrame, series: DataFrame) -> DataFrame:
     return hits.groupBy("rule_id", "series_id", "metric").agg(F.count(F.when(inside, 1)).alias("n_found"), F.max(F.when(inside, F.abs("score"))).alias("worst_score")).withColumn("triggered", F.col("n_found") > 0)
 
 
+FIRED = "rule_id int, series_id string, ds date, observed double, severity string, state string, error string"
+
+
+def sweep(rules: DataFrame, series_of, events: DataFrame | None, send) -> list[dict]:
+    """Evaluates each metric's rules on its own and sends what fires; gives {rule_id, series_id, ds, observed, severity, state, error}.
+
+    series_of(metric) gives the metric's series (series_id, ds, y). A metric or a delivery that fails is reported and stops no
+    other. events are earlier firings (rule_id, ds): a rule within its cooldown is held back. An event is marked before it is
+    sent, so that a repeated sweep never sends twice; send gets one event at a time, and there are as many as rules fired.
+    """
+    out: list[dict] = []
+    for metric in sorted(r.metric for r in rules.select("metric").distinct().collect()):
+        own = rules.where(F.col("metric") == metric)
+        try:
+            found = evaluate(own, series_of(metric)).where("triggered")
+            if events is not None:
+                last = events.groupBy("rule_id").agg(F.max("ds").alias("last"))
+                found = found.join(last, "rule_id", "left").where(F.col("last").isNull() | (F.datediff("at", "last") * 24 >= F.col("cooldown_hours")))
+            rows = found.select("rule_id", "series_id", F.col("at").alias("ds"), "observed", "severity").orderBy("rule_id", "series_id").collect()
+        except Exception as error:  # one metric's failure must not end the sweep
+            out.append({"rule_id": None, "series_id": None, "ds": None, "observed": None, "severity": None, "state": "failed", "error": f"{metric}: {type(error).__name__}"})
+            continue
+        for r in rows:
+            event = r.asDict() | {"state": "marked", "error": None}
+            out.append(event)
+            try:
+                send(event)
+                event["state"] = "sent"
+            except Exception as error:  # nor must one delivery's
+                event["error"] = f"not delivered: {type(error).__name__}"
+    return out
+
+
 def cooled(pdf: pd.DataFrame) -> pd.DataFrame:
     """Conditions met, in order of date, less those within the cooldown after one that fired."""
     pdf, last, fired = pdf.sort_values("ds"), None, []

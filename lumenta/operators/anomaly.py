@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenta.sources.durable import durable
+
 SIGMA, THRESHOLD, PERIOD, LEAST_POINTS = 1.4826, 3.0, 7, 8
 SEASONAL, ROLLING, ROBUST = "seasonal_residual", "rolling_deviation", "robust_zscore"
 SERIES = "series_id"
@@ -93,7 +95,8 @@ def detect(series: DataFrame, method: str = "auto", threshold: float = THRESHOLD
     makers = {SEASONAL: expected_seasonal, ROLLING: expected_rolling, ROBUST: expected_level}
     if method != "auto":
         return flagged(makers[method](series), method, threshold)
-    methods = chosen(series).select(SERIES, "method")
+    series = durable(series)  # a value for each day: the choice and each method read it
+    methods = durable(chosen(series).select(SERIES, "method"))
     out = None
     for name, maker in makers.items():
         own = series.join(methods.where(F.col("method") == name).select(SERIES), SERIES, "left_semi")

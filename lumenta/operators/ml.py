@@ -6,6 +6,7 @@ against what a constant prediction reaches, with room for chance.
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenta.functions.stats import auc_error
+from lumenta.sources.durable import durable, running
 
 LEAST_ROWS, LEAST_CLASS, MOST_LEVELS, LEAK_AUC, TRAIN_SHARE, RARE = 200, 20, 50, 0.98, 0.75, 0.01
 
@@ -48,21 +50,29 @@ def features(frame: DataFrame, target: str, skip: tuple[str, ...] = ()) -> tuple
 def temporal_split(frame: DataFrame, order: str, key: str, share: float = TRAIN_SHARE) -> DataFrame:
     """frame with is_train: the first share of rows by order (nulls last; ties by key).
 
-    Ranks over all rows would be one task's work, so rows are counted by value of order first; only the value at the cut
-    is ranked within.
+    The row at the cut is found by counting over sorted ranges of order and key alone; the rest is a comparison with it. Rows
+    that share order and key stand on the same side.
     """
-    n = frame.agg(F.count("*").alias("__n"))
-    counts = frame.groupBy(F.col(order).alias("__o")).agg(F.count("*").alias("__c"))
-    before = counts.withColumn("__before", F.sum("__c").over(Window.orderBy(F.col("__o").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.withColumn("__before", F.coalesce("__before", F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(order).orderBy(key))
-    out = frame.withColumn("__w", within).join(before, F.col(order).eqNullSafe(F.col("__o"))).crossJoin(F.broadcast(n))
-    return out.withColumn("is_train", F.col("__before") + F.col("__w") <= 1 + share * (F.col("__n") - 1)).drop("__w", "__o", "__c", "__before", "__n")
+    n = frame.count()
+    last = math.floor(1 + share * (n - 1)) - 1  # rows before the last one to train on
+    at = running(frame.select(F.col(order).alias("o"), F.col(key).alias("k")), [F.col("o").asc_nulls_last(), F.col("k").asc_nulls_last()], {"before": F.lit(1)}).where(F.col("before") == last).first()
+    if at is None:
+        return frame.withColumn("is_train", F.lit(True))
+    o, k = F.col(order), F.col(key)
+    within = F.lit(True) if at.k is None else k.isNotNull() & (k <= F.lit(at.k))
+    if at.o is None:
+        return frame.withColumn("is_train", o.isNotNull() | within)
+    return frame.withColumn("is_train", o.isNotNull() & ((o < F.lit(at.o)) | (o == F.lit(at.o)) & within))
 
 
 def stratified_split(frame: DataFrame, target: str, share: float = TRAIN_SHARE, seed: int = 7) -> DataFrame:
-    """frame with is_train, by a hash of the row within each class."""
-    return frame.withColumn("is_train", F.pmod(F.xxhash64(F.lit(seed), *frame.columns), F.lit(10_000)) < int(share * 10_000))
+    """frame with is_train: of each class the share of its rows, by their places in an order by hash; equal rows are rows of their own."""
+    rows = durable(frame.withColumn("__id", F.monotonically_increasing_id()))
+    counts = rows.groupBy(F.col(target).alias("__t")).agg(F.count("*").alias("__n"))
+    classes = counts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each class
+    placed = running(rows, [target, F.xxhash64(F.lit(seed), "__id"), "__id"], {"__before": F.lit(1)})
+    out = placed.join(F.broadcast(classes), F.col(target).eqNullSafe(F.col("__t")))
+    return out.withColumn("is_train", F.col("__before") - F.col("__first") < F.floor(share * F.col("__n") + 0.5)).select(*frame.columns, "is_train")
 
 
 def baseline(frame: DataFrame, target: str) -> DataFrame:
@@ -72,20 +82,19 @@ def baseline(frame: DataFrame, target: str) -> DataFrame:
 
 
 def auc(frame: DataFrame, score: str, target: str) -> DataFrame:
-    """auc, positives, negatives: exact, by average ranks. Rows are counted by score first, so the one ordered pass is over distinct scores."""
-    counts = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(score).agg(F.sum(F.when(F.col(target) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(target) == 1, 0).otherwise(1)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    """auc, positives, negatives: exact, by average ranks. Rows are counted by score, and negatives below each score over sorted ranges."""
+    counts = frame.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(target) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(target) == 1, 0).otherwise(1)).alias("q"))
+    wins = running(counts, ["s"], {"below": "q"}).withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2))
     pos, neg = F.sum("p"), F.sum("q")
     return wins.agg((F.sum("w") / F.nullif((pos * neg).cast("double"), F.lit(0.0))).alias("auc"), pos.alias("positives"), neg.alias("negatives"))
 
 
 def average_precision(frame: DataFrame, score: str, target: str) -> DataFrame:
     """average_precision: the step sum over distinct scores, from the highest."""
-    counts = frame.groupBy(score).agg(F.sum((F.col(target) == 1).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.col(score).desc())
-    run = counts.withColumns({"tp": F.sum("p").over(w), "seen": F.sum("n").over(w)})
-    return run.agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.nullif(F.sum("p").cast("double"), F.lit(0.0))).alias("average_precision"))
+    counts = frame.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(target) == 1).cast("long")).alias("p"), F.count("*").alias("n"))
+    run = running(counts, [F.col("s").desc()], {"tp": "p", "seen": "n"})
+    tp, seen = F.col("tp") + F.col("p"), F.col("seen") + F.col("n")
+    return run.agg((F.sum(F.col("p") * tp / seen) / F.nullif(F.sum("p").cast("double"), F.lit(0.0))).alias("average_precision"))
 
 
 def brier(frame: DataFrame, score: str, target: str) -> DataFrame:
@@ -102,8 +111,9 @@ def leakage(frame: DataFrame, columns: list[str], target: str, limit: float = LE
     """feature, auc, leaks: a single feature that orders the target almost perfectly, either way, knows it."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")
     counts = frame.where(F.col(target).isNotNull()).select(cells, target).where("c.x is not null").groupBy("c.feature", "c.x").agg(F.sum((F.col(target) == 1).cast("long")).alias("p"), F.sum((F.col(target) != 1).cast("long")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    run = running(counts, ["feature", "x"], {"below": "q"})
+    first = run.groupBy("feature").agg(F.min("below").alias("first"))  # negatives of the features before: one row for each feature
+    wins = run.join(F.broadcast(first), "feature").withColumn("w", F.col("p") * (F.col("below") - F.col("first") + F.col("q") / 2))
     out = wins.groupBy("feature").agg((F.sum("w") / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0))).alias("auc"))
     return out.withColumn("leaks", F.coalesce(F.greatest(F.col("auc"), 1 - F.col("auc")) >= limit, F.lit(False)))
 
@@ -149,7 +159,7 @@ def _pipeline(train: DataFrame, numeric: list[str], categorical: list[str]):
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=parts, outputCol="__features")])
 
 
-def train(frame: DataFrame, target: str, order: str | None = None, key: str | None = None, skip: tuple[str, ...] = (), trees: int = 50, seed: int = 7) -> Training:
+def train(frame: DataFrame, target: str, order: str | None = None, key: str | None = None, skip: tuple[str, ...] = (), trees: int = 200, seed: int = 7) -> Training:
     """The best of a few candidates on held-out rows, or why there is none. With an order column the last quarter is held out."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.functions import vector_to_array
@@ -215,17 +225,24 @@ def train(frame: DataFrame, target: str, order: str | None = None, key: str | No
     return out
 
 
-def importances(prep, model, test: DataFrame, numeric: list[str], categorical: list[str], kind: str, seed: int = 7, most: int = 15) -> list[tuple[str, float]]:
-    """How much the error grows when one feature's values are dealt anew among the held-out rows."""
+def importances(prep, model, test: DataFrame, numeric: list[str], categorical: list[str], kind: str, seed: int = 7, repeats: int = 5, most: int = 15) -> list[tuple[str, float]]:
+    """How much the mean squared error grows when one feature's values are dealt anew among the held-out rows, in the mean of some deals.
+
+    Rows get places in an order by hash; a deal gives each row the value that stands some places further round.
+    """
     from pyspark.ml.functions import vector_to_array
 
     def error(rows: DataFrame) -> float:
         s = model.transform(prep.transform(rows)).withColumn("__s", vector_to_array("probability")[1] if kind == "binary" else F.col("prediction"))
         return s.agg(F.avg(F.pow(F.col("__s") - F.col("__y"), 2))).first()[0]
 
-    base, out = error(test), []
-    at = test.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64("__y", *numeric))))
+    n, base, out = test.count(), error(test), []
+    if n < 2:
+        return []
+    rows = durable(test.withColumn("__id", F.monotonically_increasing_id()))
+    at = durable(running(rows, [F.xxhash64(F.lit(seed), "__id"), "__id"], {"__r": F.lit(1)}))
+    shifts = [1 + (seed * 7919 + k * 104729) % (n - 1) for k in range(repeats)]
     for c in [*numeric, *[f"__c_{x}" for x in categorical]]:
-        dealt = test.select(F.col(c).alias("__v"), F.row_number().over(Window.orderBy(F.rand(seed))).alias("__r"))
+        dealt = at.select(F.col(c).alias("__v"), F.col("__r").alias("__from"), F.explode(F.array(*[F.lit(s) for s in shifts])).alias("__shift")).select("__v", F.pmod(F.col("__from") + F.col("__shift"), F.lit(n)).alias("__r"))
         out.append((c.removeprefix("__c_"), error(at.drop(c).join(dealt, "__r").withColumnRenamed("__v", c)) - base))
     return sorted(out, key=lambda x: -x[1])[:most]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, datetime
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenta.functions.stats import t_critical, t_p
+from lumenta.sources.durable import durable
 
 LEAST_COVERAGE = 0.8
 
@@ -84,56 +86,72 @@ class Effect:
         return f"Effect {self.effect:,.2f} (95 % interval {low:,.2f} to {high:,.2f}, p = {self.p_value:.3f}){'' if self.significant else '; not significant'}."
 
 
-def _clustered(x: np.ndarray, y: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least squares with covariance clustered by group, with the usual small-sample factor."""
-    bread = np.linalg.pinv(x.T @ x)
-    beta = bread @ x.T @ y
-    resid, names = y - x @ beta, np.unique(groups)
-    scores = np.stack([x[groups == g].T @ resid[groups == g] for g in names])
-    g, (n, k) = len(names), x.shape
-    return beta, g / (g - 1) * (n - 1) / max(1, n - k) * bread @ (scores.T @ scores) @ bread
-
-
-def _dummies(codes: np.ndarray) -> np.ndarray:
-    return (codes[:, None] == np.unique(codes)[None, 1:]).astype(float)
-
-
-def _fit(unit: np.ndarray, period: np.ndarray, y: np.ndarray, term: np.ndarray, effects: bool = True) -> tuple[float, float, float, float]:
-    """(estimate, se, p, degrees of freedom) of term beside unit and period effects."""
-    x = np.column_stack([term, np.ones(len(y)), _dummies(unit), *([_dummies(period)] if effects else [])])
-    beta, v = _clustered(x, y, unit)
-    dof, se = len(np.unique(unit)) - 1, float(np.sqrt(max(v[0, 0], 0.0)))
-    p = t_p(beta[0] / se, dof) if se > 1e-12 else 1.0
-    return float(beta[0]), se, p, dof
+def _fit(rows: DataFrame) -> tuple[float, float, float, float]:
+    """(estimate, se, p, degrees of freedom) of term beside unit and period effects, clustered by unit, from rows (unit, period, y, term).
+
+    Unit effects go by taking units' means off, so only periods meet in a matrix; it is made of sums, and so is each unit's
+    score. The driver gets sums by period and by pairs of periods, nothing by unit.
+    """
+    means = rows.groupBy("unit").agg(F.avg("y").alias("y_u"), F.avg("term").alias("term_u"), F.count("*").alias("n_u"))
+    own = durable(rows.join(means, "unit").select("unit", "period", "n_u", (F.col("y") - F.col("y_u")).alias("y"), (F.col("term") - F.col("term_u")).alias("x")))
+    by = {r.period: r for r in own.groupBy("period").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("x").alias("x")).collect()}
+    at = {p: i for i, p in enumerate(sorted(by)[1:], 1)}  # the first period is the base
+    total = own.agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.countDistinct("unit").alias("g")).first()
+    k = len(at) + 1
+    xtx, xty = np.zeros((k, k)), np.zeros(k)
+    xtx[0, 0], xty[0] = total.xx, total.xy
+    for p, i in at.items():
+        xtx[i, i], xtx[0, i], xtx[i, 0], xty[i] = by[p].n, by[p].x, by[p].x, by[p].y
+    held = own.groupBy("unit", "n_u").agg(F.collect_list("period").alias("ps"))  # as long as a unit's history
+    pairs = held.select("n_u", "ps", F.explode("ps").alias("p")).select("n_u", "p", F.explode("ps").alias("q")).groupBy("p", "q").agg(F.sum(1 / F.col("n_u")).alias("s"))
+    for r in pairs.collect():
+        if r.p in at and r.q in at:
+            xtx[at[r.p], at[r.q]] -= r.s
+    bread = np.linalg.pinv(xtx)
+    beta = bread @ xty
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(p, float(beta[at[p]]) if p in at else 0.0, float(bread[0, at[p]]) if p in at else 0.0) for p in by], rows.select("period").schema.add("b", "double").add("w", "double"))
+    joined = own.join(F.broadcast(known), "period")  # one row for each period
+    unit = joined.groupBy("unit").agg(F.avg("b").alias("b_u"), F.avg("w").alias("w_u"))
+    resid = F.col("y") - float(beta[0]) * F.col("x") - (F.col("b") - F.col("b_u"))
+    scores = joined.join(unit, "unit").groupBy("unit").agg(F.sum((float(bread[0, 0]) * F.col("x") + F.col("w") - F.col("w_u")) * resid).alias("s"))
+    meat = scores.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+    n, g = total.n, total.g
+    v = g / max(1, g - 1) * (n - 1) / max(1, n - (g + k)) * meat
+    se, dof = float(np.sqrt(max(v, 0.0))), g - 1
+    return float(beta[0]), se, t_p(beta[0] / se, dof) if se > 1e-12 and dof > 0 else 1.0, dof
 
 
 def difference_in_differences(rows: DataFrame, treated: list[str], cut) -> Effect:
-    """Two-way fixed effects over the panel (units by periods, so it fits the driver), with a pre-trend and a placebo test."""
+    """Two-way fixed effects over the panel (unit, period, outcome), with a pre-trend and a placebo test. cut may be an ISO date."""
     checks = design(rows, treated, cut).first()
     if not checks.usable:
         why = "no control units" if not checks.n_control else "treated units are not in the panel" if checks.unknown_treated or not checks.n_treated else "fewer than 3 periods before or after the cut"
         return Effect(refused=why)
-    pdf = rows.toPandas().sort_values(["unit", "period"])
-    unit, period, y = pdf["unit"].to_numpy(str), pdf["period"].to_numpy(), pdf["outcome"].to_numpy(float)
-    is_treated, order = np.isin(unit, treated), np.searchsorted(np.unique(period), period)
-    post = order >= np.searchsorted(np.unique(period), np.asarray(cut, dtype=period.dtype) if not isinstance(cut, str) else cut)
-    b, se, p, dof = _fit(unit, period, y, (is_treated & post).astype(float))
+    rows = rows.where("unit is not null and period is not null and outcome is not null")
+    periods = sorted(r.period for r in rows.select("period").distinct().collect())
+    if isinstance(cut, str) and isinstance(periods[0], date):
+        cut = datetime.fromisoformat(cut) if isinstance(periods[0], datetime) else date.fromisoformat(cut[:10])
+    n_pre = sum(p < cut for p in periods)
+    order = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(periods)], rows.select("period").schema.add("order", "integer"))
+    own = durable(rows.join(F.broadcast(order), "period").select(F.col("unit").cast("string").alias("unit"), "period", "order", F.col("outcome").cast("double").alias("y")))
+    is_treated, post = F.col("unit").isin(treated).cast("double"), F.col("order") >= n_pre
+    fit = lambda frame, term: _fit(frame.select("unit", "period", "y", term.cast("double").alias("term")))
+    b, se, p, dof = fit(own, is_treated * post.cast("double"))
     half = t_critical(dof) * se
     out = Effect(None, b, se, p, (b - half, b + half))
-    pre = ~post
-    n_pre = len(np.unique(order[pre]))
-    trend = (order - order[pre].mean()) / (order[pre].std() or 1.0)
-    tb, _, tp, _ = _fit(unit[pre], period[pre], y[pre], np.where(is_treated, trend, 0.0)[pre])
+    pre = own.where(~post)
+    m = pre.agg(F.avg("order").alias("mean"), F.stddev_pop("order").alias("sd")).first()
+    tb, _, tp, _ = fit(pre, is_treated * (F.col("order") - m["mean"]) / (m.sd or 1.0))
     out.diagnostics["parallel_trends"] = {"slope": tb, "p_value": tp, "passed": n_pre >= 3 and tp >= 0.10}
     if n_pre >= 6:
-        middle = n_pre // 2
-        pb, _, pp, _ = _fit(unit[pre], period[pre], y[pre], (is_treated & (order >= middle)).astype(float)[pre])
+        pb, _, pp, _ = fit(pre, is_treated * (F.col("order") >= n_pre // 2).cast("double"))
         out.diagnostics["placebo"] = {"effect": pb, "p_value": pp, "passed": pp >= 0.05}
-    sizes = np.unique(unit, return_counts=True)[1]
+    sizes = own.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.min("n").alias("least")).first()
     if dof + 1 < 10:
         out.caveats.append(f"only {dof + 1} clusters; intervals are wide and approximate")
     if checks.n_control == 1:
         out.caveats.append("a single control unit carries the comparison")
-    if sizes.max() / sizes.min() > 3:
+    if sizes.most / sizes.least > 3:
         out.caveats.append("the panel is unbalanced")
     return out

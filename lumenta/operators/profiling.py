@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenta.sources.durable import running
+
 PENALTY = {"low": 1.0, "medium": 4.0, "high": 10.0, "critical": 20.0}
 NEVER_NEGATIVE = ("amount", "price", "revenue", "qty", "quantity")
 
@@ -43,6 +45,10 @@ EMAIL_WITHIN = r"\b[\w.+-]+@[\w-]+\.[A-Za-z]{2,}\b"
 SAMPLE_ROWS, LEAST_VALUES, VALUE_SHARE, WITHIN_SHARE = 200, 5, 0.30, 0.20
 
 
+def col(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def numeric_columns(frame: DataFrame) -> list[str]:
     return [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType)]
 
@@ -54,10 +60,30 @@ def _stacked(frame: DataFrame, columns: list[str], fields: dict[str, str]) -> Da
 
 
 def nulls(frame: DataFrame) -> DataFrame:
-    """column_name, row_count, non_null, null_pct, unique_count: one pass over all columns."""
-    aggs = [a for c in frame.columns for a in (F.count("*").alias(f"row_count__{c}"), F.count(F.col(f"`{c}`")).alias(f"non_null__{c}"), F.countDistinct(F.col(f"`{c}`")).alias(f"unique_count__{c}"))]
-    out = _stacked(frame.agg(*aggs), frame.columns, {"row_count": "long", "non_null": "long", "unique_count": "long"})
-    return out.select("column_name", "row_count", "non_null", F.coalesce(1 - F.col("non_null") / F.nullif(F.col("row_count"), F.lit(0)), F.lit(0.0)).alias("null_pct"), "unique_count")
+    """column_name, row_count, non_null, null_pct, unique_count. Each column is counted on its own, from a scan of that column alone: rows are never multiplied by columns."""
+    own = [frame.agg(F.lit(c).alias("column_name"), F.count("*").alias("row_count"), F.count(col(c)).alias("non_null"), F.countDistinct(col(c)).alias("unique_count")) for c in frame.columns]
+    share = F.coalesce(1 - F.col("non_null") / F.nullif(F.col("row_count"), F.lit(0)), F.lit(0.0))
+    return reduce(DataFrame.unionByName, own).select("column_name", "row_count", "non_null", share.alias("null_pct"), "unique_count")
+
+
+def quantiles(frame: DataFrame, columns: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """column_name and q0, q1, ...: exact quantiles, interpolated between the two values around each place.
+
+    Values are counted, and the rows before each distinct value added up over sorted ranges, so no task holds a column's
+    values. NaN is no value here.
+    """
+    cells = [frame.select(F.lit(c).alias("column_name"), col(c).cast("double").alias("x")) for c in columns]
+    counts = reduce(DataFrame.unionByName, cells).where("x is not null and not isnan(x)").groupBy("column_name", "x").agg(F.count("*").alias("c"))
+    placed = running(counts, ["column_name", "x"], {"before": "c"})
+    sizes = placed.groupBy("column_name").agg(F.sum("c").alias("n"), F.min("before").alias("first"))  # one row for each column
+    rows = placed.join(F.broadcast(sizes), "column_name").withColumn("before", F.col("before") - F.col("first"))
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+    value = lambda k: F.max(F.when(holds(k), F.col("x")))
+    ends = [(value(F.floor(place(p))), value(F.ceil(place(p)))) for p in shares]
+    own = rows.groupBy("column_name").agg(F.first("n").alias("n"), *[c.alias(f"{side}{i}") for i, pair in enumerate(ends) for side, c in zip(("a", "b"), pair, strict=True)])
+    mixed = lambda i, p: F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(p) - F.floor(place(p)))
+    return own.select("column_name", *[mixed(i, p).alias(f"q{i}") for i, p in enumerate(shares)])
 
 
 def numeric(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -65,25 +91,21 @@ def numeric(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(frame)
     aggs = []
     for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        q = F.percentile(x, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95)]))
-        aggs += [F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"), q.alias(f"q__{c}"), F.sum((x == 0).cast("long")).alias(f"zeros__{c}"), F.sum((x < 0).cast("long")).alias(f"negatives__{c}")]
-    wide = frame.agg(*aggs)
-    for c in columns:
-        wide = wide.withColumns({f"{n}__{c}": F.col(f"`q__{c}`")[i] for i, n in enumerate(("p25", "median", "p75", "p95"))})
-    return _stacked(wide, columns, {"min": "double", "max": "double", "mean": "double", "std": "double", "p25": "double", "median": "double", "p75": "double", "p95": "double", "zeros": "long", "negatives": "long"})
+        x = col(c).cast("double")
+        aggs += [F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"), F.avg(x).alias(f"mean__{c}"), F.stddev_samp(x).alias(f"std__{c}"), F.sum((x == 0).cast("long")).alias(f"zeros__{c}"), F.sum((x < 0).cast("long")).alias(f"negatives__{c}")]
+    sums = _stacked(frame.agg(*aggs), columns, {"min": "double", "max": "double", "mean": "double", "std": "double", "zeros": "long", "negatives": "long"})
+    parts = quantiles(frame, columns, (0.25, 0.5, 0.75, 0.95)).select("column_name", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), F.col("q3").alias("p95"))
+    out = sums.join(F.broadcast(parts), "column_name", "left")  # one row for each column
+    return out.select("column_name", "min", "max", "mean", "std", "p25", "median", "p75", "p95", "zeros", "negatives")
 
 
 def outliers(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column_name, lower, upper, outlier_count beyond 1.5 interquartile ranges. The fences are one row, made first."""
+    """column_name, lower, upper, outlier_count beyond 1.5 interquartile ranges. The fences, two numbers for each column, are made first."""
     columns = columns or numeric_columns(frame)
-    quartiles = frame.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q__{c}") for c in columns])
-    low = {c: F.col(f"`q__{c}`")[0] - 1.5 * (F.col(f"`q__{c}`")[1] - F.col(f"`q__{c}`")[0]) for c in columns}
-    high = {c: F.col(f"`q__{c}`")[1] + 1.5 * (F.col(f"`q__{c}`")[1] - F.col(f"`q__{c}`")[0]) for c in columns}
-    fences = quartiles.select(*[x for c in columns for x in (low[c].alias(f"lower__{c}"), high[c].alias(f"upper__{c}"))])
-    rows = frame.select(*columns).crossJoin(F.broadcast(fences))
-    aggs = [a for c in columns for a in (F.first(f"`lower__{c}`").alias(f"lower__{c}"), F.first(f"`upper__{c}`").alias(f"upper__{c}"), F.sum(((F.col(f"`{c}`") < F.col(f"`lower__{c}`")) | (F.col(f"`{c}`") > F.col(f"`upper__{c}`"))).cast("long")).alias(f"outlier_count__{c}"))]
-    return _stacked(rows.agg(*aggs), columns, {"lower": "double", "upper": "double", "outlier_count": "long"})
+    fences = {r.column_name: (r.q0 - 1.5 * (r.q1 - r.q0), r.q1 + 1.5 * (r.q1 - r.q0)) for r in quantiles(frame, columns, (0.25, 0.75)).collect()}
+    at = lambda c, i: F.lit(fences[c][i] if c in fences else None).cast("double")
+    aggs = [a for c in columns for a in (at(c, 0).alias(f"lower__{c}"), at(c, 1).alias(f"upper__{c}"), F.sum(((col(c) < at(c, 0)) | (col(c) > at(c, 1))).cast("long")).alias(f"outlier_count__{c}"))]
+    return _stacked(frame.agg(*aggs), columns, {"lower": "double", "upper": "double", "outlier_count": "long"})
 
 
 def top_values(frame: DataFrame, columns: list[str], n: int = 5) -> DataFrame:

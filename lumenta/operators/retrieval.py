@@ -137,7 +137,7 @@ def fused(signals: dict[str, DataFrame], key: str, limit: int = 10, least_signal
         parts = own if parts is None else parts.unionByName(own)
     places = F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "place"))))  # one for each signal
     out = parts.groupBy(key).agg(F.sum(1 / (RRF + F.col("place"))).alias("rrf"), places.alias("places")).withColumn("signals", F.map_keys("places")).where(F.size("signals") >= least_signals)
-    return out.orderBy(F.col("rrf").desc(), key).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.col("rrf").desc(), key)))
+    return out.orderBy(F.round("rrf", 12).desc(), key).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.round("rrf", 12).desc(), key)))  # sums in another order differ in the last bits
 
 
 CHUNKS = "doc_key string, chunk_id string, ordinal int, text string, start_char int, end_char int, heading_path array<string>, kind string, oversized boolean"

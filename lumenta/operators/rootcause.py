@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenta.sources.durable import durable
+
 LEAST_CONTRIBUTION, COVERAGE_TOP = 0.005, 5
 
 
@@ -17,8 +19,21 @@ def _side(value: str, condition: Column) -> Column:
 
 
 def paired(frame: DataFrame, dims: list[str], value: str, is_current: Column, is_previous: Column) -> DataFrame:
-    """dims, prev, curr: the value of each combination in either period."""
-    return frame.where(is_current | is_previous).groupBy(*dims).agg(_side(value, is_previous).alias("prev"), _side(value, is_current).alias("curr"))
+    """dims, prev, curr: the value of each combination in either period. Written once: segments, dimensions and totals are sums of it."""
+    return durable(frame.where(is_current | is_previous).groupBy(*dims).agg(_side(value, is_previous).alias("prev"), _side(value, is_current).alias("curr")))
+
+
+def ratio_pairs(frame: DataFrame, dims: list[str], is_current: Column, is_previous: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs of a ratio from num and den: (dims, prev, curr), parts of the ratio that add up to it; and (dims, prev_num, ..., curr_den).
+
+    A combination's part is its numerator over the whole period's denominator, so drivers' contributions add up to the
+    ratio's change as those of a sum do.
+    """
+    sums = {f"{side}_{c}": _side(c, condition) for side, condition in (("prev", is_previous), ("curr", is_current)) for c in ("num", "den")}
+    own = durable(frame.where(is_current | is_previous).groupBy(*dims).agg(*[x.alias(n) for n, x in sums.items()]))
+    whole = own.agg(F.sum("prev_den").alias("p"), F.sum("curr_den").alias("c")).first()
+    part = lambda c, d: (F.col(c) / F.lit(float(d))) if d else F.lit(0.0)
+    return own.select(*dims, part("prev_num", whole.p).alias("prev"), part("curr_num", whole.c).alias("curr")), own
 
 
 def totals(pairs: DataFrame) -> DataFrame:

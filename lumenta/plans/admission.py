@@ -9,6 +9,8 @@ from __future__ import annotations
 import difflib
 import re
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
@@ -72,7 +74,6 @@ class _Seen:
     relations: list[list[str]] = field(default_factory=list)
     functions: list[str] = field(default_factory=list)
     table_functions: list[str] = field(default_factory=list)
-    ctes: set[str] = field(default_factory=set)
     others: list[str] = field(default_factory=list)
     joins: int = 0
     cartesian: int = 0
@@ -80,7 +81,7 @@ class _Seen:
     depth: int = 0
 
 
-def _expression(e, seen: _Seen, depth: int) -> None:
+def _expression(e, seen: _Seen, depth: int, scope: frozenset[str]) -> None:
     name = _name(e)
     if name == "UnresolvedFunction":
         seen.functions.append(_seq(e.nameParts())[-1].lower())
@@ -89,19 +90,22 @@ def _expression(e, seen: _Seen, depth: int) -> None:
     elif name in {"CurrentUser", "CallMethodViaReflection", "InputFileName"}:
         seen.functions.append({"CurrentUser": "current_user", "CallMethodViaReflection": "reflect", "InputFileName": "input_file_name"}[name])
     if name in ("ListQuery", "Exists", "ScalarSubquery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-        _plan(e.plan(), seen, depth + 1)
+        _plan(e.plan(), seen, depth + 1, scope)
     for child in _seq(e.children()):
-        _expression(child, seen, depth)
+        _expression(child, seen, depth, scope)
 
 
-def _plan(node, seen: _Seen, depth: int) -> None:
+def _plan(node, seen: _Seen, depth: int, scope: frozenset[str] = frozenset()) -> None:
+    """scope: the names that WITH clauses around the node define; a table of such a name is meant only outside of them."""
     name = _name(node)
     seen.depth = max(seen.depth, depth)
     if name not in READS:
         seen.others.append(name)
         return
     if name == "UnresolvedRelation":
-        seen.relations.append([p.lower() for p in _seq(node.multipartIdentifier())])
+        parts = [p.lower() for p in _seq(node.multipartIdentifier())]
+        if len(parts) > 1 or parts[0] not in scope:
+            seen.relations.append(parts)
     elif name == "UnresolvedTableValuedFunction":
         seen.table_functions.append(_seq(node.name())[-1].lower())
     elif name in ("Join", "AsOfJoin"):
@@ -111,18 +115,18 @@ def _plan(node, seen: _Seen, depth: int) -> None:
             seen.cartesian += 1
     elif name == "LateralJoin":
         seen.joins += 1
-        _plan(node.right().plan(), seen, depth + 1)
+        _plan(node.right().plan(), seen, depth + 1, scope)
     inner = depth
     if name == "UnresolvedWith":
         for pair in _seq(node.cteRelations()):
-            seen.ctes.add(pair.productElement(0).lower())
-            _plan(pair.productElement(1), seen, depth + 1)
+            _plan(pair.productElement(1), seen, depth + 1, scope)
+            scope = scope | {pair.productElement(0).lower()}
     elif name == "SubqueryAlias" and _name(node.child()) != "UnresolvedRelation":
         inner = depth + 1
     for e in _seq(node.expressions()):
-        _expression(e, seen, depth)
+        _expression(e, seen, depth, scope)
     for child in _seq(node.children()):
-        _plan(child, seen, inner)
+        _plan(child, seen, inner, scope)
 
 
 def statements(sql: str) -> int:
@@ -137,6 +141,22 @@ def _near(word: str, known: list[str], cutoff: float) -> str | None:
     return f"Did you mean {own[0]}?" if own else None
 
 
+@contextmanager
+def _registered(spark: SparkSession, views: dict[str, DataFrame]) -> Iterator[None]:
+    """Temporary views for as long as a statement is resolved; views that the session had under their names come back."""
+    before = {t.name.lower(): spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in views}
+    try:
+        for name, frame in views.items():
+            frame.createOrReplaceTempView(name)
+        yield
+    finally:
+        for name in views:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def admit(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: dict[str, int] | None = None, max_rows: int = MAX_ROWS, max_joins: int = MAX_JOINS, max_depth: int = MAX_DEPTH) -> Admission:
     """Findings, and a limited DataFrame if there is no error. views: the allowed tables by lower-case name; rows: their sizes, if known."""
     out = Admission()
@@ -157,8 +177,6 @@ def admit(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: dict
         add("non_read_statement", f"Only reads are allowed ({', '.join(sorted(set(seen.others)))}).")
         return out
     for parts in seen.relations:
-        if len(parts) == 1 and parts[0] in seen.ctes:
-            continue
         if set(parts) & BANNED_SCHEMAS:
             add("banned_schema", f"{'.'.join(parts)} is not readable.")
         elif len(parts) > 1 or parts[0] not in views:
@@ -179,9 +197,8 @@ def admit(spark: SparkSession, sql: str, views: dict[str, DataFrame], rows: dict
     if not out.ok:
         return out
     try:
-        for name in out.tables:
-            views[name].createOrReplaceTempView(name)
-        frame = spark.sql(sql)
+        with _registered(spark, {name: views[name] for name in out.tables}):
+            frame = spark.sql(sql)
     except (AnalysisException, PySparkException) as error:
         condition = error.getCondition() or ""
         rule = "unknown_column" if "UNRESOLVED_COLUMN" in condition else "ungrouped_aggregate_select" if "MISSING_GROUP_BY" in condition or "MISSING_AGGREGATION" in condition else "unknown_table" if "TABLE_OR_VIEW" in condition else "banned_function" if "UNRESOLVED_ROUTINE" in condition else "parse_failed"

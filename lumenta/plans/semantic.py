@@ -12,6 +12,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenta.sources.tables import within
 
@@ -117,6 +118,29 @@ def default_registry() -> Registry:
     return out
 
 
+def metric_sql(metric: Metric, start: date, end: date, dims: list[str] | None = None) -> str:
+    """The statement that gives the metric by day and dimensions between two days, both included; it is what admission judges."""
+    own = [d for d in (metric.dimensions if dims is None else dims)]
+    value = {
+        "sum": f"sum({metric.expression})", "count": f"count({metric.expression})", "avg": f"avg({metric.expression})", "min": f"min({metric.expression})", "max": f"max({metric.expression})",
+        "count_distinct": f"count(distinct {metric.expression})", "ratio": f"sum({metric.expression}) / nullif(sum({metric.denominator}), 0)",
+    }[metric.kind]
+    keys = ", ".join([metric.date_column, *own])
+    where = " and ".join([f"{metric.date_column} between date '{start}' and date '{end}'", *(f"({c})" for c in metric.filters)])
+    return f"select {keys}, {value} as {metric.key} from {metric.base} where {where} group by {keys}"
+
+
+def inferred_columns(frame: DataFrame, metric: Metric) -> tuple[str, str | None]:
+    """(value column, date column) of a result that need not have the metric's own names: its key, else the last numeric column; its
+    date column, else the first date or timestamp, else none. A frame without any number can't be analysed."""
+    numbers = [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType)]
+    days = [f.name for f in frame.schema if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType)]
+    value = metric.key if metric.key in frame.columns else numbers[-1] if numbers else None
+    if value is None:
+        raise ValueError("the result has no numeric column")
+    return value, metric.date_column if metric.date_column in frame.columns else days[0] if days else None
+
+
 def partials(metric: Metric) -> dict[str, Column]:
     """Aggregates that can be added up again: num, and den for means and ratios. Distinct counts and extremes have no sum."""
     x = F.expr(metric.expression)

@@ -116,6 +116,7 @@ QUERIES = {
 _PAIRS = f"""pairs as (select region, segment, channel, coalesce(sum(case when year(order_date) = 1999 then total_amount end), 0) as prev, coalesce(sum(case when year(order_date) = 2000 then total_amount end), 0) as curr
  from {SALES} where year(order_date) in (1999, 2000) group by all)"""
 _SEGS = " union all ".join(f"select '{d}' as dim, {d} as seg, sum(prev) as prev, sum(curr) as curr from pairs group by {d}" for d in DIMS)
+_SEGS_ASIA = _SEGS.replace("from pairs", "from pairs where region = 'ASIA'")
 _SIZED = f"""with {_PAIRS}, segs as ({_SEGS}), total as (select sum(prev) as pt, sum(curr) as ct from pairs), sized as (select dim, seg, prev, curr, curr - prev as delta, (curr - prev) / nullif(prev, 0) as segment_pct_change,
  (curr - prev) / pt as contribution_pct, abs(curr - prev) / abs(ct - pt) as share_of_change, case when prev <> 0 and curr <> 0 then 'changed' when prev = 0 then 'new' else 'lost' end as status, (ct - pt) / pt as pct_change, ct - pt as change from segs, total)"""
 _PANEL = f"panel as (select region as unit, cast(date_trunc('month', order_date) as date) as period, sum(total_amount) as outcome from {SALES} where year(order_date) in (1999, 2000) group by all)"
@@ -127,7 +128,7 @@ _PATHS = f"with {_BASE}, {_LEVERS}, f as (select segment, day, product({_FACTOR}
 ORACLE = {
     "rootcause_total": f"with {_PAIRS} select round(sum(prev), 4) as prev_total, round(sum(curr), 4) as curr_total, round(sum(curr) - sum(prev), 4) as absolute_change, round((sum(curr) - sum(prev)) / nullif(sum(prev), 0), 4) as pct_change from pairs",
     "rootcause_drivers": f"{_SIZED} select dim, seg, round(prev, 4) as prev, round(curr, 4) as curr, round(delta, 4) as delta, round(segment_pct_change, 4) as segment_pct_change, round(contribution_pct, 4) as contribution_pct, round(share_of_change, 4) as share_of_change, status from sized where abs(contribution_pct) >= 0.005",
-    "rootcause_skipped": f"with {_PAIRS}, segs as ({_SEGS.replace('from pairs', 'from pairs ' + chr(119) + 'here region = ' + chr(39) + 'ASIA' + chr(39))}) select dim, count(*) as n_values from segs group by dim having count(*) < 2",
+    "rootcause_skipped": f"with {_PAIRS}, segs as ({_SEGS_ASIA}) select dim, count(*) as n_values from segs group by dim having count(*) < 2",
     "rootcause_reconcile": f"{_SIZED} select dim, round(sum(contribution_pct), 6) as contribution_sum, round(max(pct_change), 6) as pct_change, round(abs(sum(contribution_pct) - max(pct_change)), 6) as error from sized group by dim",
     "rootcause_coverage": f"{_SIZED}, own as (select * from sized where abs(contribution_pct) >= 0.005), lead as (select dim from own order by abs(contribution_pct) desc, dim desc limit 1) select dim as top_dim, round(least(1.0, sum(abs(delta)) / abs(max(change))), 6) as coverage from (select own.* from own join lead using (dim) order by abs(contribution_pct) desc, seg limit 5) group by dim",
     "mix_rate": f"""with p as (select category, coalesce(sum(case when year(order_date) = 1999 then discount_amount end), 0) as pn, coalesce(sum(case when year(order_date) = 1999 then gross_amount end), 0) as pd, coalesce(sum(case when year(order_date) = 2000 then discount_amount end), 0) as cn,
@@ -148,5 +149,8 @@ ORACLE = {
     "simulate_paths": f"{_PATHS} select segment, cast(day as int) as day, round(baseline, 2) as baseline, round(scenario, 2) as scenario from paths",
     "simulate_summary": f"{_PATHS} select round(sum(baseline), 2) as baseline_total, round(sum(scenario), 2) as scenario_total, round(sum(scenario) - sum(baseline), 2) as absolute_change, round((sum(scenario) - sum(baseline)) / sum(baseline), 2) as pct_change, round(sum(scenario) * 0.9, 2) as lower, round(sum(scenario) * 1.1, 2) as upper from paths",
     "simulate_levers": f"with {_BASE}, {_LEVERS}, i as (select lever, segment, sum(daily * ({_FACTOR} - 1)) as impact from levers join base using (segment) cross join days group by all) select lever, segment, round(impact, 2) as impact, round(impact / sum(impact) over (), 2) as share from i",
+    "simulate_sensitivity": f"""with {_BASE}, {_LEVERS}, sides(side, scale) as (values ('low', 0.5), ('high', 1.5)), varied as (select distinct lever as varied from levers),
+ cases as (select varied, side, segment, ramp, case when lever = varied then change * scale else change end as change from levers, varied, sides), f as (select varied, side, segment, day, product({_FACTOR}) as factor from cases, days group by all),
+ m as (select varied, side, sum(daily * (factor - 1)) as impact from f join base using (segment) group by all), o as (select varied as lever, sum(impact) filter (side = 'low') as low, sum(impact) filter (side = 'high') as high from m group by 1) select lever, round(low, 2) as low, round(high, 2) as high, round(abs(high - low), 2) as swing from o""",
     "simulate_break_even": f"with {_BASE} select segment, round(daily * 30, 2) as unit_delta, round(1e6 / (daily * 30), 2) as required_change from base where segment = 'ASIA'",
 }

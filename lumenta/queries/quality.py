@@ -13,6 +13,10 @@ def _orders(spark, folder):
     return tables.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
+def _held(spark, folder):
+    return tables.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 def _lines(spark, folder):
     return tables.table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -25,13 +29,17 @@ def training(spark, folder):
     return own.join(labels.select("doc_id", "toxic", (1 - F.col("quality")).alias("bad")), "doc_id")
 
 
+def _trained(spark, folder):
+    return ml.train(training(spark, folder), "bad", key="doc_id", skip=("doc_id", "toxic"))
+
+
+def _training(spark, folder):
+    return spark.createDataFrame([(k, str(v)) for k, v in _trained(spark, folder).record().items()], "field string, value string")
+
+
 def _importance(spark, folder):
-    frame = training(spark, folder)
-    try:
-        t = ml.train(frame, "bad", key="doc_id", skip=("doc_id", "toxic"), trees=20)
-    except ml.NotTrainable as error:
-        return spark.createDataFrame([("refused", str(error))], "field string, value string")
-    return spark.createDataFrame([(k, str(v)) for k, v in t.record().items()], "field string, value string")
+    """The features by how much the error grows without their order, the most important first."""
+    return spark.createDataFrame([(c, float(x)) for c, x in _trained(spark, folder).importances], "feature string, importance double")
 
 
 QUERIES = {
@@ -43,7 +51,7 @@ QUERIES = {
     "profile_key_unique": lambda s, f: profiling.key_repeats(tables.table(s, f, "lineitem"), ["l_orderkey", "l_linenumber"]),
     "profile_correlation": lambda s, f: rounded(profiling.correlations(_lines(s, f), least=0.0)),
     "profile_roles": lambda s, f: profiling.roles(_orders(s, f)),
-    "profile_issues": lambda s, f: profiling.issues(_orders(s, f), [["o_orderkey"]]),
+    "profile_issues": lambda s, f: profiling.issues(_held(s, f), [["l_orderkey", "l_linenumber"]]),
     "quality_score": lambda s, f: profiling.quality(profiling.issues(tables.table(s, f, "lineitem").select("l_orderkey", "l_linenumber"))),
     "pii_scan": lambda s, f: profiling.personal_columns(tables.table(s, f, "customer")),
     "ml_task_detect": lambda s, f: ml.task(training(s, f), "toxic"),
@@ -54,10 +62,13 @@ QUERIES = {
     "ml_average_precision": lambda s, f: rounded(ml.average_precision(training(s, f), "n_chars", "toxic")),
     "ml_brier": lambda s, f: rounded(ml.brier(training(s, f).withColumn("p", F.lit(0.2)), "p", "toxic")),
     "ml_leakage_auc": lambda s, f: rounded(ml.leakage(training(s, f).withColumn("leak", F.col("toxic") * 2.0), ["n_chars", "leak"], "toxic")),
-    "ml_train": _importance,
+    "ml_train": _training,
+    "ml_importance": _importance,
 }
 
 _TRAIN = "t as (select doc_id, toxic, cast(n_chars as double) as x from documents join labels using (doc_id))"
+_NUMBER = "when count(distinct {0}) > 20 then 'measure' else 'dimension'"
+_OTHER = "when count(distinct {0}) <= greatest(50.0, count(*) * 0.05) then 'dimension' else 'text'"
 _QUANT = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
@@ -79,6 +90,13 @@ ORACLE = {
     "profile_duplicates": "select cast(sum(n) as bigint) as row_count, count(*) as distinct_rows, cast(sum(n) - count(*) as bigint) as duplicate_rows from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)",
     "profile_key_unique": "select cast(sum(n) as bigint) as row_count, count(*) as distinct_keys, cast(sum(n) - count(*) as bigint) as repeated, sum(n) = count(*) as is_unique from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)",
     "profile_correlation": "select a, b, round(r, 6) as pearson_r, case when abs(r) >= 0.8 then 'strong' else 'moderate' end as strength from (" + " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from lineitem" for i, a in enumerate(_QUANT) for b in _QUANT[i + 1 :]) + ")",
+    "profile_roles": " union all ".join(
+        f"select '{c}' as column_name, case when count(distinct {c}) = count(*) and count(*) > 0 then 'identifier' {kind} end as role from orders"
+        for c, kind in (("o_orderkey", _NUMBER.format("o_orderkey")), ("o_custkey", _NUMBER.format("o_custkey")), ("o_totalprice", _NUMBER.format("o_totalprice")), ("o_orderstatus", _OTHER.format("o_orderstatus")), ("o_orderpriority", _OTHER.format("o_orderpriority")))
+    ),
+    "profile_issues": """with d as (select count(*) as rows, count(distinct (l_orderkey, l_linenumber, l_quantity)) as whole, count(distinct (l_orderkey, l_linenumber)) as keys from lineitem)
+ select 'duplicate_rows' as code, case when (rows - whole) / rows > 0.02 then 'high' else 'medium' end as severity, cast(null as varchar) as column_name, rows - whole as affected_rows, case when (rows - whole) / rows > 0.02 then 10.0 else 4.0 end::double as penalty from d where rows > whole
+ union all select 'key_not_unique', 'critical', 'l_orderkey,l_linenumber', rows - keys, 20.0::double from d where rows > keys""",
     "quality_score": "select greatest(0.0, 100.0 - case when count(*) = count(distinct (l_orderkey, l_linenumber)) then 0.0 when (count(*) - count(distinct (l_orderkey, l_linenumber))) / count(*) > 0.02 then 10.0 else 4.0 end)::double as quality_score, cast(count(*) > count(distinct (l_orderkey, l_linenumber)) as bigint) as n_issues from lineitem",
     "ml_task_detect": f"with {_TRAIN} select count(distinct toxic) as n_values, case when count(distinct toxic) = 2 then 'binary' when count(distinct toxic) > 20 then 'regression' else 'refused' end as task from t",
     "ml_guards": f"with {_TRAIN}, c as (select toxic, count(*) as n from t group by 1) select cast(sum(n) as bigint) as n_rows, min(n) as least_class, sum(n) >= 200 as enough_rows, min(n) >= 20 as enough_of_each from c",

@@ -60,7 +60,7 @@ def _slope(spark, folder):
 
 def _confidence(spark, folder):
     parts = {"data": 0.752, "statistical": 0.041, "model": 0.631, "reasoning": 1.0}
-    return spark.createDataFrame([(k, float(v)) for k, v in stats.combine(parts).items() if isinstance(v, int | float) and not isinstance(v, bool)], "field string, value double")
+    return spark.createDataFrame([(k, round(float(v), 9)) for k, v in stats.combine(parts).items() if isinstance(v, int | float) and not isinstance(v, bool)], "field string, value double")
 
 
 def _alerts(spark, folder):
@@ -74,7 +74,7 @@ def _sweep(spark, folder):
 
 
 def _backtest(spark, folder):
-    return rounded(alerts.backtest(alerts.rule_table(spark, RULES), daily(spark, folder), 20).select("rule_id", "series_id", "ds", "observed", "triggered", "fired"), 6)
+    return rounded(alerts.backtest(alerts.rule_table(spark, RULES), daily(spark, folder), 180).select("rule_id", "series_id", "ds", "observed", "triggered", "fired"), 6)
 
 
 QUERIES = {
@@ -86,6 +86,7 @@ QUERIES = {
     "anomaly_rolling": _flagged(anomaly.ROLLING),
     "anomaly_choose": _choose,
     "anomaly_auto": _flagged("auto"),
+    "anomaly_severity": lambda s, f: tables.table(s, f, "events").select("event_id", anomaly.severity(F.col("value") / 25).alias("severity")),
     "welch_moments": _moments,
     "welch_test": _welch,
     "proportion_counts": _proportions,
@@ -93,6 +94,7 @@ QUERIES = {
     "forecast_naive": lambda s, f: rounded(forecast.naive(daily(s, f), 10), 4),
     "forecast_naive_metrics": lambda s, f: rounded(forecast.naive_errors(daily(s, f), 7), 4),
     "forecast_backtest": lambda s, f: rounded(forecast.best(forecast.backtest(forecast.spine(daily(s, f)), 5)), 4),
+    "forecast_intervals": lambda s, f: rounded(forecast.forecast(forecast.spine(daily(s, f)), 7).select("series_id", "ds", "lower_95", "lower_80", "predicted", "upper_80", "upper_95"), 4),
     "forecast_hw": lambda s, f: rounded(forecast.forecast(forecast.spine(daily(s, f)), 7), 4),
     "date_spine": lambda s, f: rounded(forecast.spine(daily(s, f).where("dayofmonth(ds) % 3 <> 0")), 4),
     "trend_slope": _slope,
@@ -113,14 +115,39 @@ _EXPECTED = {
 }
 
 
-def _scores(expected: str) -> str:
+def _scores(expected: str, least: float = 2) -> str:
     return f"""with {_DAILY}, {expected}, r as (select *, y - expected as residual from x), c as (select series_id, median(residual) as centre, stddev_samp(residual) as sd, count(*) as points from r group by 1), m as (select series_id, median(abs(residual - centre)) as mad from r join c using (series_id) group by 1),
  s as (select *, residual / case when mad * 1.4826 > 1e-12 then mad * 1.4826 when sd > 0 then sd else 1e-9 end as score from r join c using (series_id) join m using (series_id) where points >= 8)
- select series_id, ds, round(y, 4) as observed, round(expected, 4) as expected, round(residual / nullif(expected, 0), 4) as deviation_pct, round(score, 4) as score, case when abs(score) >= 6 then 'critical' when abs(score) >= 4 then 'high' when abs(score) >= 3 then 'medium' else 'low' end as severity, case when score > 0 then 'spike' else 'drop' end as direction from s where abs(score) >= 2"""
+ select series_id, ds, round(y, 4) as observed, round(expected, 4) as expected, round(residual / nullif(expected, 0), 4) as deviation_pct, round(score, 4) as score, case when abs(score) >= 6 then 'critical' when abs(score) >= 4 then 'high' when abs(score) >= 3 then 'medium' else 'low' end as severity, case when score > 0 then 'spike' else 'drop' end as direction from s where abs(score) >= {least}"""
 
 
 _AT = f"{_DAILY}, last as (select series_id, max(ds) as final from daily group by 1), d as (select daily.*, date_diff('day', ds, final) as back from daily join last using (series_id))"
+_CHOOSE = f"""with {_DAILY}, l as (select *, lag(y, 7) over ({_W}) as lag_y from daily), a as (select series_id, count(*) as pairs, corr(y, lag_y) as autocorr from l where lag_y is not null group by 1),
+ r as (select *, row_number() over ({_W}) as i, count(*) over (partition by series_id) as points from daily), t as (select *, greatest(3, points // 3) as third from r),
+ o as (select series_id, count(*) as n, abs(avg(y) filter (i > points - third) - avg(y) filter (i <= third)) as shift, stddev_samp(y) as sd from t group by 1)
+ select series_id, n, round(autocorr, 4) as autocorr, round(shift, 4) as shift, round(sd, 4) as sd, case when n >= 21 and pairs > 5 and autocorr > 0.55 then 'seasonal_residual' when sd > 0 and shift > sd then 'rolling_deviation' else 'robust_zscore' end as method from o left join a using (series_id)"""
+
+
+def _auto(least: float = 2) -> str:
+    """Each series by the method that is chosen for it."""
+    methods = {"seasonal_residual": "seasonal", "rolling_deviation": "rolling", "robust_zscore": "robust_z"}
+    return " union all ".join(f"select s.* from ({_scores(_EXPECTED[x], least)}) s join ({_CHOOSE}) c using (series_id) where c.method = '{m}'" for m, x in methods.items())
+
+
+_ANOMALY_RULE = f"""select cast(5 as int) as rule_id, 'signup' as series_id, 'value' as metric, count(*) filter (near) as n_found, max(score) filter (near) as worst_score, count(*) filter (near) > 0 as triggered
+ from (select series_id, abs(score) as score, date_diff('day', ds, (select max(cast(ts as date)) from events where event_type = 'signup')) < 30 and severity <> 'low' as near from ({_auto(3)}) where series_id = 'signup')"""
+_BACK = f"""with {_DAILY}, last as (select series_id, max(ds) as final from daily group by 1), days_at as (select series_id, ds as d from daily join last using (series_id) where date_diff('day', ds, final) < 180),
+ rules(rule_id, series_id, is_change, down, t, w, c) as (values (1, 'click', false, true, 900.0, 7, 7), (2, 'view', false, false, 100.0, 3, 7), (3, 'error', true, true, 0.05, 7, 7), (4, 'purchase', true, false, 0.05, 7, 7)),
+ m as (select rule_id, days_at.series_id, d, is_change, down, t, c, avg(y) filter (date_diff('day', ds, d) < w) as cm, avg(y) filter (date_diff('day', ds, d) >= w) as pm, count(*) filter (date_diff('day', ds, d) >= w) as pn from days_at join rules using (series_id) join daily on daily.series_id = days_at.series_id and date_diff('day', ds, d) between 0 and w + c - 1 group by all),
+ o as (select *, (cm - pm) / nullif(abs(pm), 0) as change, not is_change or coalesce(pn / c >= 0.6 and abs(pm) >= 1e-12, false) as ok from m)"""
 ORACLE = {
+    "anomaly_choose": _CHOOSE,
+    "anomaly_auto": _auto(),
+    "alert_anomaly": _ANOMALY_RULE,
+    "alert_backtest": f"""{_BACK}, x as (select cast(rule_id as int) as rule_id, series_id, d as ds, round(case when ok then case when is_change then change else cm end end, 6) as observed, ok and coalesce(case when is_change then case when down then change <= -t else change >= t end else case when down then cm < t else cm > t end end, false) as triggered from o)
+ select *, triggered as fired from x""",
+    "confidence_geomean": "select 'score' as field, round(exp(0.3 * ln(0.752) + 0.3 * ln(0.041) + 0.2 * ln(0.631) + 0.2 * ln(1.0)), 9) as value",
+    "anomaly_severity": "select event_id, case when abs(value / 25) >= 6 then 'critical' when abs(value / 25) >= 4 then 'high' when abs(value / 25) >= 3 then 'medium' else 'low' end as severity from events",
     "series_daily": f"with {_DAILY} select series_id, ds, round(y, 4) as y from daily",
     "series_autocorr": f"with {_DAILY}, l as (select *, lag(y, 7) over ({_W}) as lag_y from daily) select series_id, count(*) as n_pairs, round(corr(y, lag_y), 6) as autocorr from l where lag_y is not null group by 1",
     "window_lag": f"with {_DAILY} select series_id, ds, round(y, 4) as y, round(lag(y, 7) over ({_W}), 4) as lag_y from daily",
@@ -136,3 +163,4 @@ ORACLE = {
     "alert_change": f"""with {_AT}, o as (select series_id, avg(y) filter (back < 7) as c, avg(y) filter (back between 7 and 13) as p, count(*) filter (back between 7 and 13) as n from d where series_id in ('error', 'purchase') group by 1), x as (select *, (c - p) / abs(p) as v, n / 7.0 >= 0.6 as ok from o)
  select cast(case when series_id = 'error' then 3 else 4 end as int) as rule_id, series_id, 'change' as condition, round(case when ok then v end, 6) as observed, ok as evaluated, ok and case when series_id = 'error' then v <= -0.05 else v >= 0.05 end as triggered, case when abs(v) / 0.05 >= 3 then 'critical' when abs(v) / 0.05 >= 1.5 then 'high' else 'medium' end as severity from x""",
 }
+ORACLE["alert_sweep"] = " union all ".join(f"select rule_id, series_id, triggered from ({x})" for x in (ORACLE["alert_threshold"], ORACLE["alert_change"], ORACLE["alert_anomaly"]))

@@ -106,13 +106,16 @@ def anchor(frame: DataFrame, column: str, today: date, stale_after: int = 7) ->
     return latest_date(frame, column).select("latest_date", behind.alias("days_behind"), (behind > stale_after).alias("is_stale"))
 
 
+CRAWLED = "table_name string, column_name string, data_type string, nullable boolean, role string"
+
+
 def crawled(frames: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, data_type, nullable, role: schemas as rows, read from metadata alone."""
     from lumenta.operators.profiling import named_role
 
     rows = [(t, f.name, f.dataType.simpleString(), f.nullable, named_role(f.name, f.dataType.simpleString())) for t, df in frames.items() for f in df.schema]
     spark = next(iter(frames.values())).sparkSession
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean, role string")
+    return spark.createDataFrame(rows, CRAWLED)
 
 
 def approx_rows(frame: DataFrame, cap: int = ESTIMATE_CAP) -> DataFrame:
@@ -139,6 +142,12 @@ def write(frame: DataFrame, path: str, kind: str = "parquet", partition_by: list
         raise ValueError(f"no sink for {kind!r}")
 
 
+def append(frame: DataFrame, path: str, day: str | None = None) -> None:
+    """Adds rows to a parquet table (of runs, alerts, ...), by day if a date column is named; readers see whole commits only."""
+    writer = frame.write.mode("append")
+    (writer.partitionBy(day) if day else writer).parquet(path)
+
+
 def json_safe(frame: DataFrame) -> DataFrame:
     """One JSON text for each row: ISO dates, null where a number is not finite."""
     safe = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in frame.dtypes]
