@@ -3,18 +3,20 @@
 Turns must follow an automaton: an optional system turn, then user and assistant in turns, from the user on. Each turn of a
 conversation is kept, relabelled, merged into the turn before it, or preceded by empty turns, at the least total cost.
 A run of turns is a 4 x 4 matrix of least costs between states, and such matrices compose; so long conversations are
-repaired in chunks: matrices of chunks, then the states at their edges, then the turns within each chunk.
+repaired in chunks: matrices of chunks, then the states at their edges, then the turns within each chunk. Spark sorts all
+turns over ranges, and chunks are runs of at most CHUNK rows of one conversation in that order, whatever their numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import bounds, durable, shuffle_width, sorted_groups
+from lumenta.llm.common import bounds, durable, shuffle_width, sorted_groups, table
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, or the role of the last turn. NEXT: the turns that may follow.
@@ -22,7 +24,7 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 FINAL = (START, USER, ASSISTANT)
 MERGE, INSERT, RELABEL, NAME = 2, 3, 4, 1  # NAME: a role that is null or unknown gets any role
-#: Turns in a chunk, by their numbers.
+#: Turns in a chunk.
 CHUNK = 512
 FAR = 1 << 40
 
@@ -134,64 +136,87 @@ def fragment(before: int, after: int, step: Step, text: str, last: bool) -> str:
     return out
 
 
-def _rows(conversations: DataFrame, chunk: int, text: bool) -> DataFrame:
+def _sorted(conversations: DataFrame, chunk: int) -> DataFrame:
+    """Turns in order, in chunks: (chunk, conv, conv_id, turn, k, code, text, costs); k is a turn's place in its chunk, costs the chunk's matrix, on its last turn."""
     role = F.lower(F.trim("role"))
     code = F.when(role == "system", SYSTEM).when(role == "user", USER).when(role == "assistant", ASSISTANT).otherwise(0)
-    part = F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1))
-    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), part.cast("string"))
-    return conversations.select(key.alias("key"), F.col("conv_id").cast("long").alias("conv_id"), part.cast("long").alias("part"), F.col("turn").cast("long").alias("turn"), code.cast("int").alias("code"), F.coalesce("text", F.lit("")).alias("text"))
-
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), code.cast("int").alias("code"), F.coalesce("text", F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "code", "text"]
+    # rows that repeat each other can stand in any order, so a range of them may be cut anywhere
+    rows = rows.withColumn("salt", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(shuffle_width(conversations), *order, "salt").sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), *order)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cuts a partition's turns into chunks; the open chunk's codes are held until it ends."""
+        last, codes, held, number = None, [], None, -1
+        for batch in batches:
+            part, conv, code = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            chunks, places, costs = [0] * len(conv), [0] * len(conv), [None] * len(conv)
+            for i, c in enumerate(conv):
+                if (c, True) != last or len(codes) == chunk:
+                    if i:
+                        costs[i - 1] = matrix(codes)
+                    elif held is not None:
+                        held = held.set_column(held.num_columns - 1, "costs", pa.array([matrix(codes)], COSTS))
+                    codes, number, last = [], number + 1, (c, True)
+                chunks[i], places[i] = (part[i] << 40) + number, len(codes)
+                codes.append(code[i])
+            if held is not None:
+                yield held
+            made = pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *batch.columns[1:], pa.array(places, pa.int32()), pa.array(costs, COSTS)], names=["chunk", *order, "k", "costs"])
+            yield made.slice(0, made.num_rows - 1)
+            held = made.slice(made.num_rows - 1)
+        if held is not None:
+            yield held.set_column(held.num_columns - 1, "costs", pa.array([matrix(codes)], COSTS))
+
+    made = rows.mapInArrow(cut, "chunk long, conv_id long, turn long, code int, text string, k int, costs array<bigint>")
+    return table(made)  # ranges are drawn from a sample: they must not be drawn again
+
+
+COSTS = pa.list_(pa.int64())
 
 
 def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row for each turn: conv_id, turn, seq (place among turns of its chunk), role (after repair), op, cost, n_inserted, fragment.
+    """One row for each turn: conv_id, turn, seq (place in its conversation), role (after repair), op, cost, n_inserted, fragment.
 
     Turns are ordered by turn, then role and text; null turns come first. Null and unknown roles take any role; null texts
     are empty. Rows without conv_id are one conversation. Repeated rows are turns of their own. An empty table gives none.
+    In fragments, texts have a space put into each <|, so that none opens or closes a turn; that is not undone anywhere.
     """
-    rows = _rows(conversations, chunk, True)
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "key"):
-            key, code = table["key"].to_numpy(), table["code"].to_pylist()
-            at = bounds(key)
-            first = table.take(at[:-1])
-            made = [matrix(code[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([first[c].combine_chunks() for c in ("key", "conv_id", "part")] + [pa.array(made, pa.list_(pa.int64()))], names=["key", "conv_id", "part", "costs"])
-
-    order = ["key", "turn", "code", "text"]
-    n = shuffle_width(conversations)
-    matrices = rows.repartition(n, "key").sortWithinPartitions(*order).select("key", "conv_id", "part", "code").mapInArrow(chunks, "key string, conv_id long, part long, costs array<bigint>")
+    rows = _sorted(conversations, chunk)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "conv"):
-            conv, costs = table["conv"].to_numpy(), table["costs"].to_pylist()
-            at = bounds(conv)
-            own = [(s, e, k == b - a - 1) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for k, (s, e) in enumerate(edges_of(costs[a:b]))]
-            yield pa.RecordBatch.from_arrays([table["key"].combine_chunks(), pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own], pa.int32()), pa.array([x[2] for x in own])], names=["key", "entry", "leave", "ends"])
-
-    named = matrices.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")))
-    edges = durable(named.repartition(n, "conv").sortWithinPartitions("conv", "part").select("key", "conv", "costs").mapInArrow(states, "key string, entry int, leave int, ends boolean"))
+        for own in sorted_groups(batches, "conv"):
+            conv, size = own["conv"].to_numpy(), own["size"].to_numpy()
+            at, costs = bounds(conv), own["costs"].to_pylist()
+            made = [(s, e, k == b - a - 1) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for k, (s, e) in enumerate(edges_of(costs[a:b]))]
+            before = np.cumsum(size) - size
+            before -= np.repeat(before[at[:-1]], np.diff(at))  # turns of the conversation before the chunk
+            yield pa.RecordBatch.from_arrays([own["chunk"].combine_chunks(), pa.array(before, pa.int64()), pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.int32()), pa.array([x[2] for x in made], pa.bool_())], names=["chunk", "before", "entry", "leave", "ends"])
+
+    # one row for each chunk, a CHUNK-th of the turns
+    matrices = rows.where("costs is not null").select("chunk", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")).alias("conv"), (F.col("k") + 1).cast("long").alias("size"), "costs")
+    n = shuffle_width(conversations)
+    edges = durable(matrices.repartition(n, "conv").sortWithinPartitions("conv", "chunk").mapInArrow(states, "chunk long, before long, entry int, leave int, ends boolean"))
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, "key", 1 << 13):
-            at = bounds(table["key"].to_numpy())
-            code, text, entry, leave, ends = (table[c].to_pylist() for c in ("code", "text", "entry", "leave", "ends"))
+        for own in sorted_groups(batches, "chunk", 1 << 13):
+            at = bounds(own["chunk"].to_numpy())
+            code, text, entry, leave, ends, before = (own[c].to_pylist() for c in ("code", "text", "entry", "leave", "ends", "before"))
             out: list[tuple] = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 for k, (s, t) in enumerate(between(code[a:b], entry[a], leave[a])):
                     step, last = STEPS[code[a + k]][s][t], ends[a] and a + k == b - 1
                     tail = ENDS[t] if last else (0, [])
-                    out.append((k, ROLES[t - 1], step[1], step[0] + tail[0], len(step[2]) + len(tail[1]), fragment(s, t, step, text[a + k], last)))
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([table["conv_id"].combine_chunks(), table["turn"].combine_chunks(), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], names=["conv_id", "turn", "seq", "role", "op", "cost", "n_inserted", "fragment"])
+                    out.append((before[a] + k, ROLES[t - 1], step[1], step[0] + tail[0], len(step[2]) + len(tail[1]), fragment(s, t, step, text[a + k], last)))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([own["conv_id"].combine_chunks(), own["turn"].combine_chunks(), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], names=["conv_id", "turn", "seq", "role", "op", "cost", "n_inserted", "fragment"])
 
-    joined = rows.join(edges, "key").repartition(n, "key").sortWithinPartitions(*order)
-    return joined.mapInArrow(turns, "conv_id long, turn long, seq int, role string, op string, cost long, n_inserted long, fragment string")
+    joined = rows.drop("costs").join(edges, "chunk").repartition(n, "chunk").sortWithinPartitions("chunk", "k")
+    return joined.mapInArrow(turns, "conv_id long, turn long, seq long, role string, op string, cost long, n_inserted long, fragment string")
 
 
 def rendered(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, cost, text: whole conversations. A conversation's text must fit a row; repaired() has no such bound."""
-    rows = repaired(conversations, chunk).withColumn("part", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1)))
-    own = rows.groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.sort_array(F.collect_list(F.struct("part", "seq", "fragment"))).alias("turns"))
+    own = repaired(conversations, chunk).groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.sort_array(F.collect_list(F.struct("seq", "fragment"))).alias("turns"))
     return own.select("conv_id", "cost", F.array_join(F.col("turns.fragment"), "").alias("text"))

@@ -122,6 +122,31 @@ class TestChat:
         costs = [{r.conv_id: r.cost for r in chat.rendered(self.frame(spark, convs), n).collect()} for n in (3, 16, 512)]
         assert costs[0] == costs[1] == costs[2]
 
+    def test_rows_of_the_query(self, spark):
+        """role, op, seq and n_inserted of each turn tell the same story as the rendered text, and cost what it costs."""
+        turn = random.Random(4)
+        convs = [[turn.choice(("system", "user", "assistant", "tool", None)) for _ in range(n)] for n in (1, 2, 3, 9, 30, 70)]
+        got: dict[int, list] = {}
+        for r in sorted(chat.repaired(self.frame(spark, convs), 8).collect(), key=lambda r: (r.conv_id, r.seq)):
+            got.setdefault(r.conv_id, []).append(r)
+        for c, own in enumerate(convs):
+            rows = got[c]
+            assert [r.seq for r in rows] == list(range(len(own))) and [r.turn for r in rows] == list(range(len(own)))
+            cost, last = 0, None
+            for r, given in zip(rows, own, strict=True):
+                label = 0 if given == r.role else chat.NAME if given not in chat.ROLES else chat.RELABEL
+                assert r.cost == label + chat.MERGE * (r.op == "merge") + chat.INSERT * r.n_inserted
+                assert r.op == "merge" and r.role == last or r.op in ("keep", "relabel", "insert")
+                assert (r.op == "keep") <= (label == 0) and (r.op == "relabel") <= (label > 0)
+                cost, last = cost + r.cost, r.role
+            assert cost == least_cost(own)
+
+    def test_many_rows_of_one_turn(self, spark):
+        rows = [(1, None, "user", f"t{i:04}", "k", 0) for i in range(1500)] + [(None, 3, "assistant", "x", "k", 0)] * 700
+        out = chat.repaired(spark.createDataFrame(rows, self.SCHEMA), 16).collect()
+        assert sorted(r.seq for r in out if r.conv_id == 1) == list(range(1500)) and sum(r.cost for r in out if r.conv_id == 1) == 1499 * chat.MERGE + chat.INSERT * 0 + sum(r.n_inserted for r in out if r.conv_id == 1) * chat.INSERT
+        assert len([r for r in out if r.conv_id is None]) == 700
+
     def test_tables_turns(self, spark, sf_dir):
         own = spark.read.parquet(f"{sf_dir}/conversations.parquet")
         assert queries.op6_chat_format(spark, sf_dir).count() == own.count()
