@@ -29,6 +29,11 @@ SAMPLE, SAMPLE_DOCS, MOST_COMMON = 16, 4, 1 << 18
 ROUNDS = 1
 #: Keys of fingerprints' rows are turned by this, and their place is -1.
 TURN = 0x5DEECE66D
+#: Rows of one key that a single task compares; more are dealt out as pairs of chunks of this size.
+GROUP = 1 << 12
+#: Bits of a set's parity map.
+PARITY = 512
+ROW = "key long, node long, size int, place int, bits binary"
 #: Texts that one row of candidates is compared with.
 CHUNK = 64
 
@@ -38,6 +43,11 @@ def shingles(text: bytes | None, n: int = SHINGLE) -> set[int]:
     return set(shingle_hashes(text, n)) or {0}
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each of PARITY residues whether an odd number of the set's hashes has it: two sets differ in at least as many members as their maps in bits."""
+    return np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def _common(texts: DataFrame, n: int) -> np.ndarray:
     """Hashes that many sampled texts hold, the rarest first."""
 
@@ -61,14 +71,14 @@ def _common(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
-    """(key, node, size, place) of each text's first shingles in the order, and a row for its fingerprint."""
+    """(key, node, size, place, bits) of each text's first shingles in the order, and a row for its fingerprint, which has the text's parity map."""
     order = np.argsort(common)
     held = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ranks = held.value
         for batch in slices(batches):
-            out, sizes, lengths = [], [], []
+            out, sizes, lengths, maps = [], [], [], []
             for text in batch.column(1).to_pylist():
                 every = np.array(shingle_hashes(text, n), np.uint64)
                 h = np.unique(every) if len(every) else np.zeros(1, np.uint64)
@@ -81,26 +91,32 @@ def _prefixes(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
                 out.append(h[np.lexsort((h, rank))[:length]])
                 sizes.append(len(h))
                 lengths.append(length + 1)
+                maps += [parity(h), *[None] * length]
             place = np.concatenate([np.arange(-1, x - 1) for x in lengths])
             node, size = np.repeat(batch.column(0).to_numpy(), lengths), np.repeat(sizes, lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(size, pa.int32()), pa.array(place, pa.int32())], names=["key", "node", "size", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(maps, pa.binary())], names=["key", "node", "size", "place", "bits"])
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key long, node long, size int, place int")
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, ROW)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose key more than one node has, and those of fingerprints."""
+    """The rows whose key more than one node has, and those of fingerprints. Only a batch is held at a time, however many rows a key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in sorted_groups(batches, "key"):
-            edges = bounds(own["key"].to_numpy())
-            n = np.diff(edges)
-            at = np.repeat(n > 1, n) | (own["place"].to_numpy() < 0)
-            if at.any():
-                found = own.filter(pa.array(at))
-                yield from found.combine_chunks().to_batches()
-
-    return rows.repartition(shuffle_width(rows), "key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, size int, place int")
+        held, before = None, None  # the last row so far, and the key before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            key, place = own.column(0).to_numpy(), own.column(3).to_numpy()
+            same = np.concatenate(([key[0] == before] if before is not None else [False], key[1:] == key[:-1]))
+            keep = same[:-1] | same[1:] | (place[:-1] < 0)
+            yield own.slice(0, len(key) - 1).filter(pa.array(keep))
+            held, before = own.slice(len(key) - 1), key[-2] if len(key) > 1 else before
+        if held is not None and (held.column(0)[0].as_py() == before or held.column(3)[0].as_py() < 0):
+            yield held
+
+    return rows.repartition(shuffle_width(rows), "key").sortWithinPartitions("key").mapInArrow(run, ROW)
 
 
 def _possible(size: np.ndarray, place: np.ndarray, i: int, j: np.ndarray) -> np.ndarray:
@@ -109,24 +125,41 @@ def _possible(size: np.ndarray, place: np.ndarray, i: int, j: np.ndarray) -> np.
     return 9 * (before + after) >= 4 * (size[i] + size[j])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows with the group that compares them and their chunk in it: a key, or for a key with more than GROUP rows each pair of its chunks."""
+    sizes = durable(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    plain = rows.withColumns({"group": F.col("key"), "chunk": F.lit(0)})
+    n = sizes.count()
+    if not n:
+        return plain
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    large = rows.join(small(sizes, n, 16), "key").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), parts).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), parts - 1)))
+    large = large.select(*rows.columns, F.xxhash64("key", F.least("chunk", "met"), F.greatest("chunk", "met")).alias("group"), F.when(F.col("chunk") == F.col("met"), F.lit(0)).otherwise(F.col("chunk") + 1).alias("chunk"))
+    return plain.join(small(sizes.select("key"), n, 8), "key", "left_anti").unionByName(large)
+
+
 def _crossing(rows: DataFrame) -> DataFrame:
     """(u, v): possible pairs of nodes that share a key and are not joined yet.
 
-    Both prefixes hold all shared shingles up to the end of the one that ends first, so a similar pair has no more
-    others than that text has left: pairs that share too few keys for that are dropped.
+    A pair is possible if its sizes, the places of the shared key and the parity maps of both sets allow a similarity of 0.8:
+    sets of that similarity differ in at most a ninth of their members together. Both prefixes hold all shared shingles up
+    to the end of the one that ends first, so pairs that share too few keys for what is left are dropped last.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in sorted_groups(batches, "key"):
-            key, node, size, place, part = (own[c].to_numpy() for c in ("key", "node", "size", "place", "component"))
-            size, place, edges = size.astype(np.int64), place.astype(np.int64), bounds(key)
-            u, v, need, held = [], [], [], 0  # nodes are sorted within a key, so u < v
+        for own in sorted_groups(batches, "group"):
+            group, node, size, place, part, chunk = (own[c].to_numpy() for c in ("group", "node", "size", "place", "component", "chunk"))
+            bits = np.frombuffer(b"".join(own["bits"].to_pylist()), np.uint64).reshape(len(node), -1)
+            size, place, edges = size.astype(np.int64), place.astype(np.int64), bounds(group)
+            u, v, need, held = [], [], [], 0  # nodes are sorted within a group, so u < v
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if (part[a:b] == part[a]).all():
                     continue
+                across = chunk[a:b].any()  # of two chunks, each is compared within itself in a group of its own
                 for i in range(a, b - 1):
                     j = np.arange(i + 1, b)
-                    j = j[(part[j] != part[i]) & _possible(size, place, i, j)]
+                    j = j[(part[j] != part[i]) & _possible(size, place, i, j) & (~across | (chunk[j] != chunk[i]))]
+                    j = j[9 * np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= size[i] + size[j]]
                     u.append(np.full(len(j), node[i]))
                     v.append(node[j])
                     need.append(-(-4 * (size[i] + size[j]) // 9) - np.maximum(-(-4 * size[i] // 5), -(-4 * size[j] // 5)) + 1)
@@ -137,8 +170,8 @@ def _crossing(rows: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, need)], names=["u", "v", "need"])
 
-    rows = rows.select("key", "node", "size", "place", "component")
-    made = rows.repartition(shuffle_width(rows), "key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long, need long")
+    rows = _dealt(rows).select("group", "chunk", "node", "size", "place", "component", "bits")
+    made = rows.repartition(shuffle_width(rows), "group").sortWithinPartitions("group", "node").mapInArrow(run, "u long, v long, need long")
     return made.groupBy("u", "v").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("u", "v")
 
 
@@ -182,12 +215,15 @@ def _near_fingerprints(shared: DataFrame) -> DataFrame:
 def links(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(u, v) of texts (node, text), nodes unique: links whose components are those of all pairs of similarity 0.8 or more."""
     every = table(_shared(_prefixes(texts, _common(texts, n), n)))
-    shared, found = every.where("place >= 0"), durable(verified(_near_fingerprints(every), texts, n))
+    shared, found = every.where("place >= 0").drop("bits"), durable(verified(_near_fingerprints(every), texts, n))
     for k in range(ROUNDS + 1):
         joined = durable(components(found))
         rows = shared.join(small(joined, joined.count(), 16), "node", "left").withColumn("component", F.coalesce("component", "node"))
         if k == ROUNDS:
-            return found.unionByName(durable(verified(_crossing(rows), texts, n)))
+            # keys whose rows are all joined make no pairs
+            apart = durable(rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key"))
+            left = rows.join(small(apart, apart.count(), 8), "key").join(every.where("place < 0").select("node", "bits"), "node")
+            return found.unionByName(durable(verified(_crossing(left), texts, n)))
         hubs = rows.groupBy("key").agg(F.min_by(F.struct("node", "size", "place", "component"), F.xxhash64("key", "node", F.lit(k))).alias("hub"))
         fits = 9 * (F.least("place", "hub.place") + F.least(F.col("size") - F.col("place"), F.col("hub.size") - F.col("hub.place"))) >= 4 * (F.col("size") + F.col("hub.size"))
         met = rows.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & fits)

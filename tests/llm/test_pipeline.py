@@ -66,7 +66,8 @@ class TestNearCopies:
         assert got.columns == frame.columns
         assert {r.doc_id for r in got.collect()} == want
         assert {r.doc_id for r in simhash.representatives(frame).collect()} != want
-        monkeypatch.setattr(near_copies, "SAMPLE", 1)  # the order of shingles changes no result
+        monkeypatch.setattr(near_copies, "SAMPLE", 1)  # neither the order of shingles nor the size of groups changes a result
+        monkeypatch.setattr(near_copies, "GROUP", 8)
         assert {r.doc_id for r in near_copies.representatives(frame).collect()} == want
 
     def test_documents(self, spark, sf_dir):
