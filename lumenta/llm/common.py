@@ -110,19 +110,22 @@ def widened(df: DataFrame, fn: Callable[..., list[list]], sources: list[str], ad
     fn returns one list for each added column; strings may be bytes. A name in added takes the place of a column of that name; others follow.
     Each column is sent to Python once.
     """
-    names = [f.name for f in df.schema if f.name not in drop]
+    given = df.columns
+    names = [c for c in given if c not in drop]
     names += [n for n, _ in added if n not in names]
     kinds = {f.name: f.dataType for f in df.schema} | {n: DataType.fromDDL(t) for n, t in added}
-    places = [df.columns.index(x) for x in sources]
+    places = [given.index(x) for x in sources]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in (batch.column(i) for i in places)]
             made = fn(*(c.to_pylist() for c in values))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {n: _array(x, t) for x, (n, t) in zip(made, added, strict=True)}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+            columns = dict(zip(given, batch.columns, strict=True)) | {n: _array(x, t) for x, (n, t) in zip(made, added, strict=True)}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=[f"c{i}" for i in range(len(names))])
 
-    return df.mapInArrow(run, StructType([StructField(n, kinds[n]) for n in names]))
+    # plain names on the way, whatever characters the columns' own have
+    plain = df.toDF(*[f"c{i}" for i in range(len(given))])
+    return plain.mapInArrow(run, StructType([StructField(f"c{i}", kinds[n]) for i, n in enumerate(names)])).toDF(*names)
 
 
 ARROW = {

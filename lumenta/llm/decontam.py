@@ -230,7 +230,8 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Rows of docs, with all their columns, that hold no window of the test set. Odd rows are judged as in matched()."""
-    place, out = docs.columns.index("text"), docs
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # names on the way, whatever characters the columns' own have
+    place, out = docs.columns.index("text"), docs.toDF(*plain)
     for tests in blocks(benchmark, n):
         held = docs.sparkSession.sparkContext.broadcast(tests)  # at most BLOCK_WORDS words
 
@@ -239,8 +240,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFr
                 spans, _ = hits(batch.column(place).cast(pa.binary()).to_pylist(), held.value)
                 yield batch.filter(pa.array([not x for x in spans], pa.bool_()))
 
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+        out = out.mapInArrow(clean, out.schema)
+    return out.toDF(*docs.columns)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
