@@ -263,7 +263,11 @@ def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
 
 
 def report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; then what stays: its bytes, its characters, and its text.
+
+    Bytes go, so a character that is cut in two leaves a replacement character in the text (the digest is of the bytes).
+    """
     out = removals(docs, length, **options)
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: x - s, lambda s: s)  # ends less starts: (e - (s - sum))
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"), F.length(text).cast("long").alias("n_kept_chars"), text.alias("kept_text"))
