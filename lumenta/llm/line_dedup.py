@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenta.llm.common import BROADCAST_BYTES, bounds, col, durable, fresh, shuffle_width, slices, sorted_groups, widened
@@ -120,22 +120,28 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(shards)) >> np.uint64(32)
 
 
+def _apart(docs: DataFrame) -> Column:
+    """Tells rows without doc_id apart by their texts; 0 for all others. They count as one document, but each loses its own lines only."""
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+
+
 def references(docs: DataFrame, least: int = MIN_CODE_POINTS, filters=None) -> DataFrame:
-    """(key, doc, n): how often each row's document refers to each key. With filters (a broadcast dict of shards): only keys they hold."""
+    """(key, doc, apart, n): how often each row's document refers to each key. With filters (a broadcast dict of shards): only keys they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = None if filters is None else filters.value
         for batch in batches:
-            keys, ids, counts = [], [], []
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys, ids, aparts, counts = [], [], [], []
+            for doc, apart, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own: dict[bytes, int] = {}
                 for line in text.lower().split(b"\n") if text else ():
                     if key := line_key(line, least):
                         own[key] = own.get(key, 0) + 1
                 keys += own
                 ids += [doc] * len(own)
+                aparts += [apart] * len(own)
                 counts += own.values()
-            rows = [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())]
+            rows = [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(aparts, pa.int64()), pa.array(counts, pa.int64())]
             if shards is not None and keys:
                 h = hashes(keys)
                 shard, hit = shard_of(h, len(shards)), np.zeros(len(h), bool)
@@ -144,10 +150,10 @@ def references(docs: DataFrame, least: int = MIN_CODE_POINTS, filters=None) -> D
                         at = np.flatnonzero(shard == s)
                         hit[at] = shards[s].holds(h[at])
                 rows = [x.filter(pa.array(hit)) for x in rows]
-            yield pa.RecordBatch.from_arrays(rows, names=["key", "doc", "n"])
+            yield pa.RecordBatch.from_arrays(rows, names=["key", "doc", "apart", "n"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "key binary, doc long, n long")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), _apart(docs).alias("apart"), F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "key binary, doc long, apart long, n long")
 
 
 def counted(refs: DataFrame) -> DataFrame:
@@ -198,16 +204,16 @@ def _met(refs: DataFrame, filters: DataFrame, shards: int, per_shard: int) -> Da
                     hit[a:b] = own.holds(hashes(key[a:b]))
             yield pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]).filter(pa.array(hit))
 
-    rows = refs.mapInArrow(name, "shard long, key binary, doc long, n long")
-    rows = rows.select((F.col("shard") * salts + F.pmod(F.xxhash64("doc"), F.lit(salts))).alias("part"), F.lit(None).cast("binary").alias("data"), "key", "doc", "n")
+    rows = refs.mapInArrow(name, "shard long, key binary, doc long, apart long, n long")
+    rows = rows.select((F.col("shard") * salts + F.pmod(F.xxhash64("doc", "apart"), F.lit(salts))).alias("part"), F.lit(None).cast("binary").alias("data"), "key", "doc", "apart", "n")
     held = filters.select("shard", "data", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    held = held.select((F.col("shard") * salts + F.col("salt")).alias("part"), "data", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("n"))
+    held = held.select((F.col("shard") * salts + F.col("salt")).alias("part"), "data", F.lit(None).cast("binary").alias("key"), *[F.lit(None).cast("long").alias(c) for c in ("doc", "apart", "n")])
     every = rows.unionByName(held)
-    return every.repartition(shuffle_width(refs), "part").sortWithinPartitions("part", F.col("data").isNull()).mapInArrow(pick, "key binary, doc long, n long")
+    return every.repartition(shuffle_width(refs), "part").sortWithinPartitions("part", F.col("data").isNull()).mapInArrow(pick, "key binary, doc long, apart long, n long")
 
 
 def dropped_keys(docs: DataFrame, table: DataFrame, least: int = MIN_CODE_POINTS, min_docs: int = MIN_DOCS, filters: DataFrame | None = None) -> DataFrame:
-    """(doc, keys): for each document the keys whose lines it loses.
+    """(doc, apart, keys): for each document the keys whose lines it loses.
 
     Lines first meet the cuckoo filters. Filters of up to BROADCAST_BYTES in all are handed to every task; larger ones are
     dealt out by shard, and the lines' keys with them.
@@ -222,13 +228,14 @@ def dropped_keys(docs: DataFrame, table: DataFrame, least: int = MIN_CODE_POINTS
         refs = durable(references(docs, least))
         asked = _met(refs, made, size.shards, refs.count() // size.shards)
     lost = asked.join(common, "key").where(F.col("doc") != F.col("max_doc"))
-    return lost.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    return lost.groupBy("doc", "apart").agg(F.collect_set("key").alias("keys"))
 
 
 def _apply(docs: DataFrame, decisions: DataFrame, least: int) -> tuple[DataFrame, str, str]:
     """docs with the text less its lost lines, and the names of two added columns: lines before, and lines dropped."""
-    doc, keys, n_lines, n_dropped = (fresh(x, docs) for x in ("__doc", "__keys", "__n_lines", "__n_dropped"))
-    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(decisions.select(F.col("doc").alias(doc), F.col("keys").alias(keys)), doc, "left")
+    doc, apart, keys, n_lines, n_dropped = (fresh(x, docs) for x in ("__doc", "__apart", "__keys", "__n_lines", "__n_dropped"))
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), apart: _apart(docs)})
+    rows = rows.join(decisions.select(F.col("doc").alias(doc), F.col("apart").alias(apart), F.col("keys").alias(keys)), [doc, apart], "left")
 
     def lines(texts: list[bytes | None], lost: list[list[bytes] | None]) -> list[list]:
         out: list[list] = [[], [], []]
@@ -239,7 +246,7 @@ def _apply(docs: DataFrame, decisions: DataFrame, least: int) -> tuple[DataFrame
                 to.append(x)
         return out
 
-    made = widened(rows.drop(doc), lines, ["text", keys], [("text", "string"), (n_lines, "long"), (n_dropped, "long")], (keys,))
+    made = widened(rows.drop(doc, apart), lines, ["text", keys], [("text", "string"), (n_lines, "long"), (n_dropped, "long")], (keys,))
     return made.select(*[col(c) for c in docs.columns], n_lines, n_dropped), n_lines, n_dropped
 
 
@@ -307,7 +314,7 @@ class LineIndex:
         return every.join(last, ["shard", "version"]).select("shard", "shards", "data")
 
     def insert(self, docs: DataFrame) -> None:
-        self._change(durable(references(docs, self.least)))
+        self._change(durable(references(docs, self.least).drop("apart")))
 
     def delete(self, docs: DataFrame) -> None:
         """Takes out all references of the documents with these doc_ids (their texts aren't needed)."""
