@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,31 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: Bytes that a side may have to be broadcast; larger sides are joined by a shuffle instead.
-BROADCAST_BYTES = 32 << 20
+from lumenta.sources.durable import BROADCAST_BYTES, durable, shared_folder, shuffle_width, small
+
+__all__ = ["BROADCAST_BYTES", "bounds", "col", "durable", "fresh", "read", "scratch", "shared_folder", "shuffle_width", "slices", "small", "sorted_groups", "table", "widened"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and cuts the lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, by default that in spark.checkpoint.dir. A session on one machine gets a temporary one if it has none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if not path and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lumenta-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def col(name: str) -> Column:
     """The column of that very name, whatever characters it has."""
     return F.col(f"`{name.replace('`', '``')}`")
@@ -51,10 +34,6 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, cut: int = 1 << 18) -> Iterator[pa.Table]:
     """Tables of whole groups from a partition sorted by key; a table has about cut rows, more only if one group has.
 
@@ -137,11 +116,12 @@ ARROW = {
 _MADE: list[str] = []
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Like durable(), but as a compressed table, for many rows: a folder of its own beside the checkpoints."""
+def table(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Like durable(), but as a compressed table, for many rows: a folder of its own beside the checkpoints. A lasting one outlives the scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if not lasting:
+        _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -158,11 +138,3 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
         del _MADE[before:]
-
-
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """df, marked to be broadcast if rows of row_bytes are within BROADCAST_BYTES; else it is joined by a shuffle.
-
-    A row takes four times its bytes, and 32 more, in the relation that is broadcast.
-    """
-    return F.broadcast(df) if rows * (4 * row_bytes + 32) <= 4 * BROADCAST_BYTES else df
