@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenta.llm import decontam, line_dedup, near_copies, sentencepiece_sampling, toxicity
-from lumenta.llm.common import read, table
+from lumenta.llm.common import read, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_common_lines), ("simhash_near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", encode)]
 
-#: Models, fingerprints and samples can't be expressed in SQL; the tests compare the near-copy stage with a brute-force version, the other stages only by their operators.
+#: Models, similarities and samples can't be expressed in SQL; tests/llm/test_pipeline.py compares each stage and the whole with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir))
+        with scratch(spark):  # what a stage writes on its way goes once its rows are written
+            docs = table(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
