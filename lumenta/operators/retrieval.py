@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenta.sources.durable import durable, running, small
+from lumenta.operators import char_vectors
+from lumenta.sources.durable import durable, running
 
 K1, B, RRF, LEAST_TOKEN = 1.5, 0.75, 60, 2
 TOKEN = "[a-z0-9£$%]+"
@@ -96,17 +97,9 @@ def bm25_texts(docs: DataFrame, key: str, query: str, text: str = "text") -> Dat
 
 
 def char_tfidf(docs: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """key, cosine of sublinear tf-idf vectors of character n-grams; norms and dot products are sums of one pass over counts that are written once."""
-    spark = docs.sparkSession
-    grams, n = durable(char_grams(docs, key, text)), docs.count()
-    df = durable(grams.groupBy("gram").agg(F.count("*").alias("df")))
-    idf = df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    asked = char_grams(spark.createDataFrame([(0, query)], "q int, text string"), "q").join(idf, "gram").select("gram", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
-    asked = durable(asked)  # one query's grams
-    norm = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("n")).first().n or 1.0
-    weighed = grams.join(small(idf, df.count(), 24), "gram").join(F.broadcast(asked), "gram", "left").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    out = weighed.groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    return out.where("dot is not null").select(key, (F.col("dot") / (F.col("dn") * F.lit(float(norm)))).alias("cosine"))
+    """key, cosine of sublinear tf-idf vectors of character n-grams, for documents that share one with query; documents' grams are never written."""
+    own = char_grams(docs.sparkSession.createDataFrame([(0, query)], "q int, text string"), "q")
+    return char_vectors.cosines(docs, key, {r.gram: r.tf for r in own.collect()}, text)  # one query's grams
 
 
 def dense_cosine(vectors: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:

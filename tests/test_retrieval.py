@@ -1,12 +1,15 @@
-"""Rank fusion against a plain version."""
+"""Rank fusion, n-gram cosines, postings and chunks against plain versions."""
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 
-from lumenta.operators import retrieval
+from lumenta.operators import char_vectors, retrieval
 
 
 @pytest.mark.parametrize("least", [1, 2])
@@ -26,3 +29,52 @@ def test_fused_ranks_every_positive_score(spark, least):
     assert {r.k: (pytest.approx(r.rrf), r.signals) for r in got} == rrf and len(got) == len(rrf)
     top = sorted(retrieval.fused(frames, "k", 10, least).collect(), key=lambda r: r["rank"])
     assert [(r.k, r.signals) for r in top] == [(k, rrf[k][1]) for k in best[:10]]
+
+
+def _cosines(docs, query):
+    """Plain tf-idf cosines of character 3- to 5-grams; docs: (key, text), texts of a key belong together."""
+
+    def grams(texts):
+        words = [f" {w} " for t in texts for w in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if w]
+        return Counter(w[i : i + n] for w in words for n in (3, 4, 5) for i in range(len(w) - n + 1))
+
+    own = {k: grams([t for key, t in docs if key == k]) for k in {k for k, _ in docs}}
+    df, asked = Counter(g for c in own.values() for g in c), grams([query])
+    idf = {g: math.log((1 + len(docs)) / (1 + n)) + 1 for g, n in df.items()}
+    norm = lambda c: math.sqrt(sum(((1 + math.log(n)) * idf[g]) ** 2 for g, n in c.items() if g in idf))
+    dot = {k: sum((1 + math.log(n)) * (1 + math.log(asked[g])) * idf[g] ** 2 for g, n in c.items() if g in asked) for k, c in own.items()}
+    return {k: dot[k] / (norm(c) * norm(asked)) for k, c in own.items() if c.keys() & asked.keys()}
+
+
+@pytest.mark.parametrize("counts", [1, 50, 1 << 21])
+def test_char_tfidf_of_odd_texts_and_repeated_keys(spark, monkeypatch, counts):
+    """Blocks of any size give one answer; keys may repeat or be null, texts may be null, of many letters, or of one."""
+    monkeypatch.setattr(char_vectors, "COUNTS", counts)
+    turn = random.Random(5)
+    words = ["the", "Thee", "a", "aaaaaaa", "größe", "𝒳𝒴𝒵ß", "nul\0\0", "x\x1cy", "license", "ſt"]
+    texts = [" ".join(turn.choices(words, k=turn.randrange(1, 30))) + turn.choice(["", "\n", " end", "\x0b z"]) for _ in range(60)]
+    texts += [None, "", " \n", "".join(map(chr, range(0x4E00, 0x9000))) + " the", "a" * 5000]
+    docs = [(i % 50 if i != 7 else None, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "k int, text string").repartition(3)
+    assert counts > 1 or char_vectors.blocks(frame, "k", "text").count() > 10
+    got = {r.k: r.cosine for r in retrieval.char_tfidf(frame, "k", "the license the größe zzzz").collect()}
+    assert got == pytest.approx(_cosines(docs, "the license the größe zzzz"), abs=1e-9)
+
+
+def test_grams_of_more_letters_than_fit_one_number():
+    words = [bytes(chr(c) + chr(c + 1) + chr(0x10FFFF - c) + "ab" * 2, "utf-8") for c in range(0x1000, 0xD000)]
+    names, which, edges = char_vectors.grams_of(words)
+    assert len(set(names)) == len(names)
+    for i in range(0, len(words), 997):
+        w = f" {words[i].decode()} "
+        assert sorted(names[g] for g in which[edges[i] : edges[i + 1]]) == sorted(w[j : j + n] for n in (3, 4, 5) for j in range(len(w) - n + 1))
+
+
+def test_char_tfidf_writes_no_grams_of_documents(spark, tmp_path):
+    """What is written on the way stays under four times the texts; all documents' grams were tens of times as large."""
+    turn = random.Random(6)
+    words = ["".join(turn.choices("abcdefghij", k=8)) for _ in range(3000)]
+    frame = spark.createDataFrame([(i, " ".join(turn.choices(words, k=400))) for i in range(1000)], "k long, text string")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert retrieval.char_tfidf(frame, "k", words[0]).count() > 0
+    assert sum(p.stat().st_size for p in tmp_path.rglob("part-*")) < 4 * 1000 * 400 * 9
