@@ -8,18 +8,25 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lumenta.operators import char_vectors
+from lumenta.operators.counting import counted, gathered, kept_kind
 from lumenta.sources.durable import durable, running
 
 K1, B, RRF, LEAST_TOKEN = 1.5, 0.75, 60, 2
 TOKEN = "[a-z0-9£$%]+"
+LONG_TOKEN = re.compile(f"{TOKEN[:-1]}{{{LEAST_TOKEN},}}")
+#: Rows that Python sends back together.
+BATCH_ROWS = 1 << 14
 # Suffixes in the order in which they are tried, and the shortest stem.
 SUFFIXES = ["ations", "ation", "ising", "izing", "ised", "ized", "ements", "ement", "ingly", "ing", "ies", "ied", "ical", "ally", "als", "ers", "est", "ed", "ly", "al", "s"]
 LEAST_STEM = 4
@@ -42,6 +49,32 @@ def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.explode(F.filter(found, lambda t: F.length(t) >= LEAST_TOKEN)).alias("token"))
 
 
+@lru_cache(maxsize=1 << 16)
+def stem_of(token: str) -> str:
+    """stem() of one token."""
+    if token.endswith("ies") and len(token) >= 5:
+        return token[:-3] + "y"
+    cut = next((token[: -len(s)] for s in SUFFIXES if token.endswith(s) and len(token) - len(s) >= LEAST_STEM), token)
+    return cut[:-1] if cut.endswith("e") and len(cut) >= 6 else cut
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Counter]]:
+    """(key, tf by term) of gathered rows (key, lower-cased text)."""
+    for key, found in counted(batches, pa.string(), LONG_TOKEN.findall):
+        tf: Counter = Counter()
+        for token, n in found.items():
+            tf[stem_of(token)] += n
+        yield key, tf
+
+
+def _lowered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return gathered(docs.select(key, text), key).select(key, F.lower(F.col(text)).alias("__text"))
+
+
+def _with_key(docs: DataFrame, key: str, ddl: str) -> StructType:
+    return StructType([StructField(key, docs.schema[key].dataType), *StructType.fromDDL(ddl).fields])
+
+
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, term, tf. Tokens are counted before they are stemmed, so each distinct token of a text is stemmed once."""
     counted = tokens(docs, key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
@@ -78,18 +111,28 @@ def char_grams(docs: DataFrame, key: str, text: str = "text", low: int = 3, high
 
 
 def bm25_texts(docs: DataFrame, key: str, query: str, text: str = "text") -> DataFrame:
-    """bm25() straight from texts, in one pass over them: lengths need no stems, and only tokens that can have an asked stem get one.
-
-    A stem is its token's beginning, but for its last letter; a query's terms are few and known here.
-    """
+    """bm25() straight from texts, in one pass over them; of a document only its length and its counts of asked terms are written."""
     asked = {r.term: r.qf for r in terms(docs.sparkSession, query).collect()}
-    found = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({TOKEN})"), F.lit(1)), lambda t: F.length(t) >= LEAST_TOKEN)
-    close = lambda t: reduce(lambda a, b: a | b, [t.startswith(term[:-1]) for term in asked], F.lit(False))
-    base = docs.select(key, found.alias("tokens")).select(key, F.size("tokens").alias("length"), F.filter("tokens", close).alias("close")).where("length > 0")
-    base = durable(base)  # a number and a few tokens for each document
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            keys, lengths, hits = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys, kinds[0]), pa.array(lengths, pa.int64()), pa.array(hits, pa.map_(pa.string(), pa.int64()))], names=[key, "length", "hits"])
+
+        for own, tf in _term_counts(kept_kind(batches, kinds)):
+            rows.append((own, sum(tf.values()), [(t, tf[t]) for t in asked if t in tf]))
+            if len(rows) >= BATCH_ROWS:
+                yield made()
+                rows = []
+        if rows:
+            yield made()
+
+    base = durable(_lowered(docs, key, text).mapInArrow(run, _with_key(docs, key, "length long, hits map<string,bigint>")))
     whole = base.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    stems = base.where(F.size("close") > 0).select(key, "length", F.explode("close").alias("token")).select(key, "length", stem(F.col("token")).alias("term"))
-    hits = durable(stems.where(F.col("term").isin(*asked)).groupBy(key, "length", "term").agg(F.count("*").alias("tf")))
+    hits = base.select(key, "length", F.explode("hits").alias("term", "tf"))
     df = {r.term: r.df for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each asked term
     weights = F.create_map(*[F.lit(x) for t, d in sorted(df.items()) for x in (t, float(asked[t] * math.log(1 + (whole.n - d + 0.5) / (d + 0.5))))]) if df else None
     part = F.lit(0.0) if weights is None else weights[F.col("term")] * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(whole["mean"])))
@@ -126,7 +169,7 @@ def fused(signals: dict[str, DataFrame], key: str, limit: int = 10, least_signal
     parts = None
     for name, frame in signals.items():
         score = next(c for c in frame.columns if c != key)
-        own = placed(frame.where(F.col(score) > 0), key, score).withColumn("signal", F.lit(name))
+        own = placed(durable(frame.where(F.col(score) > 0).select(key, score)), key, score).withColumn("signal", F.lit(name))
         parts = own if parts is None else parts.unionByName(own)
     places = F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "place"))))  # one for each signal
     out = parts.groupBy(key).agg(F.sum(1 / (RRF + F.col("place"))).alias("rrf"), places.alias("places")).withColumn("signals", F.map_keys("places")).where(F.size("signals") >= least_signals)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenta.operators import char_vectors, retrieval
 
@@ -78,3 +79,33 @@ def test_char_tfidf_writes_no_grams_of_documents(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     assert retrieval.char_tfidf(frame, "k", words[0]).count() > 0
     assert sum(p.stat().st_size for p in tmp_path.rglob("part-*")) < 4 * 1000 * 400 * 9
+
+
+def _terms(docs):
+    """Plain counts of stems by key."""
+    out = {}
+    for k, t in docs:
+        for token in re.findall(r"[a-z0-9£$%]+", (t or "").lower()):
+            if len(token) >= 2:
+                out.setdefault(k, Counter())[retrieval.stem_of(token)] += 1
+    return out
+
+
+TEXTS = ["Policies policy £5 a %% organised organisation", "", None, "x y z", "Ärger über used uses étés", "lies lie dies£ THE the licensed licensing"]
+
+
+def test_stem_of_is_the_column_stem(spark):
+    tokens = sorted({a + s + b for a in ("", "a", "car", "orga", "polic", "tie£") for s in ("", *retrieval.SUFFIXES) for b in ("", "e", "s", "es")} - {""})
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", retrieval.stem(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in got} == {t: retrieval.stem_of(t) for t in tokens}
+
+
+def test_bm25_of_repeated_keys(spark):
+    """Rows of a key are one document."""
+    docs = [(i % 17, t) for i, t in enumerate(TEXTS * 8)]
+    got = {r.k: r.bm25 for r in retrieval.bm25_texts(spark.createDataFrame(docs, "k long, text string").repartition(4), "k", "the licence policies policies").collect()}
+    own, asked = _terms(docs), _terms([(0, "the licence policies policies")])[0]
+    mean = sum(sum(c.values()) for c in own.values()) / len(own)
+    df = {t: sum(t in c for c in own.values()) for t in asked}
+    want = {k: sum(qf * math.log(1 + (len(own) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, qf in asked.items() if t in c) for k, c in own.items() if c.keys() & asked.keys()}
+    assert got == pytest.approx(want)
