@@ -76,9 +76,26 @@ def _with_key(docs: DataFrame, key: str, ddl: str) -> StructType:
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, term, tf. Tokens are counted before they are stemmed, so each distinct token of a text is stemmed once."""
-    counted = tokens(docs, key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
-    return counted.groupBy(key, stem(F.col("token")).alias("term")).agg(F.sum("n").alias("tf"))
+    """key, term, tf, counted where a text lies: neither tokens nor counts are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+        keys, found, tfs = [], [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kinds[0]), pa.array(found, pa.string()), pa.array(tfs, pa.int64())], names=[key, "term", "tf"])
+
+        for own, tf in _term_counts(kept_kind(batches, kinds)):
+            keys += [own] * len(tf)
+            found += tf
+            tfs += tf.values()
+            if len(keys) >= BATCH_ROWS:
+                yield made()
+                keys, found, tfs = [], [], []
+        if keys:
+            yield made()
+
+    return _lowered(docs, key, text).mapInArrow(run, _with_key(docs, key, "term string, tf long"))
 
 
 def terms(spark: SparkSession, query: str) -> DataFrame:

@@ -100,6 +100,18 @@ def test_stem_of_is_the_column_stem(spark):
     assert {r.t: r.s for r in got} == {t: retrieval.stem_of(t) for t in tokens}
 
 
+@pytest.mark.parametrize("repeats", [False, True])
+def test_postings_count_where_texts_lie(spark, repeats):
+    """One row for each key and term, also where keys repeat or are null; without repeats no row is shuffled."""
+    docs = [(i if i != 3 else None, t) for i, t in enumerate(TEXTS * 4)] + ([(1, "more the"), (None, "the"), (0, "policy")] if repeats else [])
+    posts = retrieval.postings(spark.createDataFrame(docs, "k long, text string").repartition(4), "k")
+    want = {(k, t): n for k, own in _terms(docs).items() for t, n in own.items()}
+    rows = posts.collect()
+    assert {(r.k, r.term): r.tf for r in rows} == want and len(rows) == len(want)
+    plan = posts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "Aggregate" not in plan
+
+
 def test_bm25_of_repeated_keys(spark):
     """Rows of a key are one document."""
     docs = [(i % 17, t) for i, t in enumerate(TEXTS * 8)]
