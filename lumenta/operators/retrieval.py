@@ -12,14 +12,13 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from lumenta.operators import char_vectors
-from lumenta.operators.counting import counted, gathered, kept_kind
+from lumenta.operators.counting import counted, gathered, kept_kind, slices
 from lumenta.sources.durable import durable, running
 
 K1, B, RRF, LEAST_TOKEN = 1.5, 0.75, 60, 2
@@ -27,6 +26,8 @@ TOKEN = "[a-z0-9£$%]+"
 LONG_TOKEN = re.compile(f"{TOKEN[:-1]}{{{LEAST_TOKEN},}}")
 #: Rows that Python sends back together.
 BATCH_ROWS = 1 << 14
+#: Characters of chunks that Python sends back together.
+BATCH_CHARS = 1 << 20
 # Suffixes in the order in which they are tried, and the shortest stem.
 SUFFIXES = ["ations", "ation", "ising", "izing", "ised", "ized", "ements", "ement", "ingly", "ing", "ies", "ied", "ical", "ally", "als", "ers", "est", "ed", "ly", "al", "s"]
 LEAST_STEM = 4
@@ -194,6 +195,8 @@ def fused(signals: dict[str, DataFrame], key: str, limit: int = 10, least_signal
 
 
 CHUNKS = "doc_key string, chunk_id string, ordinal int, text string, start_char int, end_char int, heading_path array<string>, kind string, oversized boolean"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}
+CHUNK_KINDS = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, CHUNKS.split(", "))])
 HEADING, ROW, SENTENCE = re.compile(r"^(#{1,6})\s+(.*)$"), re.compile(r"^\s*\|.*\|\s*$"), re.compile(r"(?<=[.!?])\s+")
 
 
@@ -283,12 +286,26 @@ def chunks_of(doc: str, text: str, size: int = 1200, overlap: int = 150, least:
                 ordinal += 1
 
 
-def chunked(docs: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
-    """One row for each chunk of each document; null and empty texts have none."""
+def chunk_batches(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    """Chunks of rows (doc_key, body) in batches of BATCH_CHARS characters or little more, whatever the size of those that come in."""
+    rows, held = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), CHUNK_KINDS, strict=True)], schema=CHUNK_KINDS)
 
-    def run(batches):
-        for pdf in batches:
-            rows = [c for doc, body in zip(pdf["doc_key"], pdf["body"], strict=True) if body for c in chunks_of(str(doc), body, **options)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+    for batch in slices(batches):
+        for doc, body in zip(batch.column(0), batch.column(1), strict=True):
+            for row in chunks_of(str(doc.as_py()), body.as_py() or "", **options):
+                rows.append(row)
+                held += len(row[3])
+                if held >= BATCH_CHARS:
+                    yield made()
+                    rows, held = [], 0
+    if rows:
+        yield made()
 
-    return docs.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("body")).mapInPandas(run, CHUNKS)
+
+def chunked(docs: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
+    """One row for each chunk of each document; null and empty texts have none."""
+    rows = docs.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("body"))
+    return rows.mapInArrow(lambda batches: chunk_batches(batches, **options), CHUNKS)

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,13 @@ def test_bm25_of_repeated_keys(spark):
     df = {t: sum(t in c for c in own.values()) for t in asked}
     want = {k: sum(qf * math.log(1 + (len(own) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for t, qf in asked.items() if t in c) for k, c in own.items() if c.keys() & asked.keys()}
     assert got == pytest.approx(want)
+
+
+def test_chunks_leave_in_small_batches():
+    """A batch of many long documents comes back in batches of about BATCH_CHARS, with the chunks of each document."""
+    texts = ["# Part\n\n" + f"Sentence {i} of a long text. " * 2000 for i in range(200)] + [None, ""]
+    given = pa.RecordBatch.from_pydict({"doc_key": [str(i) for i in range(len(texts))], "body": texts})
+    sent = list(retrieval.chunk_batches(iter([given])))
+    assert len(sent) > 5 and max(sum(map(len, b["text"].to_pylist())) for b in sent) < retrieval.BATCH_CHARS + 1300
+    got = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+    assert got == [c for i, t in enumerate(texts) if t for c in retrieval.chunks_of(str(i), t)]
