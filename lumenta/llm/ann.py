@@ -2,8 +2,8 @@
 
 The rows are dealt out in shards of bounded size. In a shard each random projection of the vectors is kept as one sorted
 array. A query opens a window around its own projection in every array and widens all windows step by step (virtual
-rehashing: a window of width w·R is a bucket at radius R, centred on the query). Each step walks the arrays outward from
-where the last one stopped and counts what it reaches, so vectors outside all windows are never touched. A vector that
+rehashing: a window of width w·R is a bucket at radius R, centred on the query). Narrow windows are walked; wide ones are
+counted by comparing each vector's places in the arrays with the windows' ends, which costs less there. A vector that
 lies in many windows at once collides often; windows widen until enough vectors pass the collision threshold, and of
 those the ones that collide most are verified by their exact inner product. Each shard gives its best; the best of those
 are the answer. The stated query set is searched against all rows, in blocks, so work grows with rows times queries.
@@ -55,26 +55,44 @@ class SortedProjections:
         self.values = (np.take_along_axis(values.T, order, axis=1) + self.shift[:, None]).ravel()
         self.order = np.ascontiguousarray(order, np.intp).ravel()
         self.starts = np.arange(len(self.axes)) * n
+        self.place = np.empty((len(self.axes), n), np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=self.place.dtype)[None, :], axis=1)
+        self.step = 0
         self.scale = self.length / np.sqrt(d) or 1.0
 
+    def collisions(self, centre: np.ndarray, reach: float) -> np.ndarray:
+        """In how many windows of half-width reach each entry lies: narrow windows are walked, wide ones compared with the entries' places."""
+        n = len(self.vectors)
+        low = np.clip(self.values.searchsorted(centre - reach), self.starts, self.starts + n)
+        high = np.clip(self.values.searchsorted(centre + reach, "right"), low, self.starts + n)
+        width = high - low
+        if width.sum() < len(self.values) >> 5:
+            return np.bincount(np.concatenate([self.order[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]), minlength=n)
+        first, width, counts = (low - self.starts).astype(self.place.dtype)[:, None], width.astype(self.place.dtype)[:, None], np.zeros(n, np.int32)
+        for i in range(0, len(width), 16):  # places before a window wrap round to large numbers
+            own = slice(i, i + 16)
+            counts += (self.place[own] - first[own] < width[own]).view(np.uint8).sum(axis=0, dtype=np.uint8)
+        return counts
+
     def candidates(self, query: np.ndarray, least: int, threshold: int) -> np.ndarray:
         """Entries in at least threshold windows, at a radius where there are least of them: those in the most windows, least at the least."""
         n = len(self.vectors)
         if n <= least:
             return np.arange(n)
         centre = self.axes[:, :-1] @ (query * (self.length / np.sqrt(query @ query))) + self.shift
-        counts, reach = np.zeros(n, np.int64), FIRST * self.scale
-        low = high = np.clip(self.values.searchsorted(centre), self.starts, self.starts + n)
-        while True:
-            a = np.clip(self.values.searchsorted(centre - reach), self.starts, low)
-            b = np.clip(self.values.searchsorted(centre + reach, "right"), high, self.starts + n)
-            parts = [self.order[i:j] for x, y in ((a, low), (high, b)) for i, j in zip(x.tolist(), y.tolist(), strict=True) if i < j]
-            if parts:
-                counts += np.bincount(np.concatenate(parts), minlength=n)
-            if np.count_nonzero(counts >= threshold) >= least:
-                edge = np.partition(counts, n - least)[n - least]
-                return np.flatnonzero(counts >= edge)
-            low, high, reach = a, b, GROWTH * reach
+        at = lambda step: self.collisions(centre, FIRST * self.scale * GROWTH**step)
+        enough = lambda c: np.count_nonzero(c >= threshold) >= least
+        # the first step with enough of them, looked for from where the last query's windows ended: wider windows only count more
+        counts = at(self.step)
+        if enough(counts):
+            while self.step and enough(narrower := at(self.step - 1)):
+                self.step, counts = self.step - 1, narrower
+        else:
+            while not enough(counts):
+                self.step += 1
+                counts = at(self.step)
+        edge = np.partition(counts, n - least)[n - least]
+        return np.flatnonzero(counts >= edge)
 
     def search(self, own: int, query: np.ndarray, k: int, threshold: float = THRESHOLD, verified: float = VERIFIED) -> tuple[np.ndarray, np.ndarray]:
         """(places in ids, scores) of the k best found, the query's own row left out; ties to smaller ids."""

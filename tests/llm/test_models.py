@@ -45,6 +45,19 @@ class TestNeighbours:
             hits += len(want & {(int(ids[at]), int(index.ids[x])) for x in index.search(at, vectors[at], 20)[0]})
         assert np.mean(share) < 0.2 and hits >= 0.9 * len(want)
 
+    @pytest.mark.parametrize("n", [300, 70000])
+    def test_collisions_of_narrow_and_wide_windows(self, n):
+        """Walked or compared by places, an entry's count is the number of projections whose window holds it; the order of queries doesn't matter."""
+        vectors = np.random.default_rng(3).standard_normal((n, 8))
+        index = ann.SortedProjections(np.arange(n), np.arange(n), vectors, projections=20)
+        extra = np.sqrt(np.maximum(0, index.length**2 - (index.vectors**2).sum(axis=1)))
+        values = np.hstack((index.vectors, extra[:, None])) @ index.axes.T
+        centre = index.axes[:, :-1] @ vectors[5] + index.shift
+        for reach in (0.001, 0.05, 1.0, 50.0):
+            assert (index.collisions(centre, reach) == (np.abs(values + index.shift - centre) <= reach).sum(axis=1)).all()
+        first = [index.candidates(v, 40, 12).tolist() for v in vectors[:20]]
+        assert [index.candidates(v, 40, 12).tolist() for v in vectors[19::-1]][::-1] == first
+
     def test_shards_and_blocks_keep_recall(self, spark):
         turn = np.random.default_rng(5)
         centres = turn.standard_normal((40, 24))
