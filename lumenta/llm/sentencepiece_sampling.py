@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenta.llm.common import slices, widened
+from lumenta.llm.common import bounds, slices, widened
 
 SPACE = "▁"
 #: The vocabulary's place on every machine; a parameter of all operators here.
@@ -51,7 +51,7 @@ class Vocabulary:
         self.spelled, self.spelled_size = np.frombuffer(b"".join(spelled), np.uint8), np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.spelled_start = np.cumsum(self.spelled_size) - self.spelled_size
         plain = [i for i in range(n) if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))]
-        self.byte_start = self.bytes[0]
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int32)
         rank = {i: max(0.0, -own.get_score(i)) for i in plain}
         total = np.log(sum(1 / (r + RANK_OFFSET) for r in rank.values()))
         self.ids, self.weights = np.array(plain), np.array([-np.log(rank[i] + RANK_OFFSET) - total for i in plain])
@@ -75,6 +75,11 @@ class Vocabulary:
             table[slot[first]] = rest[first]
             self.tables.append(table)
             rest = np.delete(rest, first)
+        #: The place among the beginnings of pieces of each character, or -1.
+        self.single = np.full(0x110000, -1, np.int32)
+        for i, t in enumerate(known):
+            if len(t) == 1:
+                self.single[ord(t)] = i
         # walls: odd characters that pieces join only with each other, and the start of a run of spaces
         odd = {c for t in texts for c in t if not c.isalnum() and c != SPACE} | set("\n\t\r")
         pairs = {(a, b) for t in texts for a, b in zip(t, t[1:])}
@@ -108,10 +113,13 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the beginnings of pieces, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        for k, table in enumerate(self.tables):
-            at = table[self._slot(h, k)]
-            np.copyto(out, at, where=(at >= 0) & (self.hashes[at] == h))
+        out = self.tables[0][self._slot(h, 0)]
+        miss = np.flatnonzero(out >= 0)  # an empty slot rules a hash out for all tables
+        miss = miss[self.hashes[out[miss]] != h[miss]]
+        for k, table in enumerate(self.tables[1:], 1):
+            at = out[miss] = table[self._slot(h[miss], k)]
+            miss = miss[(at >= 0) & (self.hashes[at] != h[miss])]
+        out[miss] = -1
         return out
 
 
@@ -121,55 +129,83 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """The lattices of distinct units, longest first: for each unit and end of a piece in it a row of probabilities by the piece's length.
+    """The lattices of distinct units, longest first: for each unit and end of a piece in it a row of the pieces that end there, the shortest first.
 
-    base: a unit's first row. steps[row, l - 1]: probability that the piece that ends there has l characters, given that one
-    ends there; sums: the same, added up. place[row, l - 1]: the piece's place in the vocabulary, -1 for a character spelled
-    in bytes.
+    Rows go by the end's place in its unit, then by unit: row(unit, end) = off[end - 1] + unit; a row's pieces are the entries from
+    ptr[row] to ptr[row + 1]. probs[entry]: probability of this piece, given that one ends there; sums: the same, added up in a row,
+    the last of which is whole[row]. place[entry]: the piece's place in the vocabulary, -1 for a character spelled in bytes. codes[row]: the last character.
     """
 
     def __init__(self, v: Vocabulary, codes: np.ndarray, lengths: np.ndarray):
-        self.codes, self.lengths, self.base = codes, lengths, np.cumsum(lengths) - lengths
-        n, left = len(codes), np.repeat(self.base + lengths, lengths) - np.arange(len(codes))
+        base, longest = np.cumsum(lengths) - lengths, int(lengths.max(initial=0))
+        units = np.searchsorted(-lengths, -np.arange(1, longest + 1), "right")  # that have so many characters at least
+        self.off = np.concatenate(([0], np.cumsum(units)))
+        n, unit = len(codes), np.repeat(np.arange(len(lengths)), lengths)
+        left = np.repeat(base + lengths, lengths) - np.arange(n)
+        at = np.repeat(lengths, lengths) - left
+        row, before = self.off[at] + unit, np.where(at > 0, self.off[at - 1] + len(lengths), 0) + unit  # of a character as an end, and of the sum before it
         c = codes.astype(_U) + _U(1)
-        weight, place = np.full((n, v.longest), -np.inf), np.full((n, v.longest), -1, np.int32)
-        start, h, w = np.arange(n), np.zeros(n, _U), 0
+        start, h, found = np.arange(n), c, []
         while len(start):  # only beginnings of pieces are followed on
-            h = h * _U(v.BASE) + c[start + w]
-            p = v.find(h)
-            on = p >= 0
+            w = len(found)
+            if w:
+                h = h * _U(v.BASE) + c[start + w]
+            p = v.find(h) if w else v.single[codes]
+            on = np.flatnonzero(p >= 0)
             start, h, p = start[on], h[on], v.piece[p[on]]
-            whole = p >= 0
-            end, p = start[whole] + w, p[whole]
-            place[end, w], weight[end, w] = p, v.weights[p]
-            w += 1
-            on = left[start] > w
+            whole = np.flatnonzero(p >= 0)
+            first, p = start[whole], p[whole]
+            weight = v.weights[p]
+            if not w:
+                odd = np.ones(n, bool)
+                odd[first] = False
+                odd = np.flatnonzero(odd)
+                first, p, weight = np.concatenate((first, odd)), np.concatenate((p, np.full(len(odd), -1, p.dtype))), np.concatenate((weight, v.byte_weight * utf8_size(codes[odd])))
+            found.append((row[first + w], before[first], p, weight))
+            on = np.flatnonzero(left[start] > w + 1)
             start, h = start[on], h[on]
-        odd = np.flatnonzero(place[:, 0] < 0)
-        if len(odd):
-            code = codes[odd]
-            weight[odd, 0] = v.byte_weight * (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000))
-        self.steps, self.place = weight[:, : max(1, w)], place
-        self._weigh()
-        self.sums = np.cumsum(self.steps, axis=1)
-
-    def _weigh(self) -> None:
+        count = np.zeros(n, np.int64)
+        for r, *_ in found:
+            count[r] += 1
+        self.ptr = np.concatenate(([0], np.cumsum(count)))
+        size = int(self.ptr[-1])
+        self.length, self.place, self.probs, came = np.empty(size, np.int64), np.empty(size, np.int32), np.empty(size), np.empty(size, np.int64)
+        free = self.ptr[:-1].copy()
+        for w, (r, b, p, weight) in enumerate(found, 1):
+            to = free[r]
+            free[r] += 1
+            self.length[to], came[to], self.place[to], self.probs[to] = w, b, p, weight
+        self._weigh(came, count, len(lengths))
+        self.sums = self.probs.copy()
+        for k in range(1, int(count.max(initial=0))):
+            to = self.ptr[np.flatnonzero(count > k)] + k
+            self.sums[to] += self.sums[to - 1]
+        self.whole = self.sums[self.ptr[1:] - 1]
+        self.codes = np.empty(n, np.int64)
+        self.codes[row] = codes
+
+    def _weigh(self, came: np.ndarray, count: np.ndarray, n: int) -> None:
         """Turns weights into probabilities by forward sums, for all units that are long enough at once."""
-        steps, w = self.steps, self.steps.shape[1]
-        first = self.base + np.arange(len(self.lengths))  # of a unit's forward sums; there is one more than characters
-        total = np.zeros(len(self.codes) + len(self.lengths))
-        shorter = np.searchsorted(-self.lengths, -np.arange(1, self.lengths.max(initial=0) + 1), "right").tolist()
-        for j, units in enumerate(shorter, 1):
-            k, rows = min(j, w), self.base[:units] + j - 1
-            x = total[(first[:units] + j)[:, None] - np.arange(1, k + 1)] + steps[rows, :k]
-            top = x.max(axis=1, keepdims=True)
-            x -= top
-            np.exp(x, out=x)
-            s = x.sum(axis=1, keepdims=True)
-            total[first[:units] + j] = (top + np.log(s))[:, 0]
-            x /= s
-            steps[rows, :k] = x
-            steps[rows, k:] = 0.0
+        total = np.zeros(n + len(count))
+        edges, rows = self.ptr[self.off].tolist(), self.off.tolist()
+        for a, b, x, y in zip(rows, rows[1:], edges, edges[1:], strict=False):
+            first, sizes = self.ptr[a:b] - x, count[a:b]
+            own = total[came[x:y]] + self.probs[x:y]
+            top = np.maximum.reduceat(own, first)
+            own -= np.repeat(top, sizes)
+            np.exp(own, out=own)
+            s = np.add.reduceat(own, first)
+            total[n + a : n + b] = top + np.log(s)
+            np.divide(own, np.repeat(s, sizes), out=self.probs[x:y])
+
+
+def utf8_size(code: np.ndarray) -> np.ndarray:
+    return 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @lru_cache(maxsize=2)
@@ -189,7 +225,9 @@ def distinct(codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: int =
     sums = np.zeros(len(codes) + 1, _U)
     np.cumsum((codes.astype(_U) + _U(1)) * up[: len(codes)], out=sums[1:])
     h = (sums[start + size] - sums[start]) * down[start]
-    _, example, kind = np.unique(h, return_index=True, return_inverse=True)
+    kind = pa.array(h).dictionary_encode().indices.to_numpy().astype(np.int64)
+    example = np.empty(int(kind.max(initial=-1)) + 1, np.int64)
+    example[kind[::-1]] = np.arange(len(kind))[::-1]
     order = np.argsort(-size[example], kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -202,21 +240,79 @@ def distinct(codes: np.ndarray, start: np.ndarray, size: np.ndarray, base: int =
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1, a hash of key and counter."""
-    z = key + counter.astype(_U) * _U(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
-    return (((z ^ (z >> _U(31))) >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
-
+    z = counter.astype(_U)
+    z *= _U(0x9E3779B97F4A7C15)
+    z += key
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> _U(shift)
+        z *= _U(factor)
+    z ^= z >> _U(31)
+    z >>= _U(11)
+    u = z.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
+
+
+class Paths:
+    """One sample of each text of docs (in order): steps from edges[i] to edges[i + 1].
+
+    A step is (unit occurrence, end in the unit, entry), in the search's order: unit by unit, from each unit's end to its start.
+    before, p: log-probabilities before each step and of all; top: the perturbed score. gap: how unlikely the best that stands
+    beside a step is (infinite where nothing does); the least gap of a path is its best branch. fork: the step at which
+    the path left its parent, or -1; taken: the entries that were taken there before, or -1.
+    """
 
-def cut_gumbel(mass: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A Gumbel variable with log-mass mass, cut off at most; -inf where the mass is none."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return np.where(np.isneginf(mass), -np.inf, -np.logaddexp(-most, np.log(-np.log(u)) - mass))
+    def __init__(self, batch: Batch, docs: np.ndarray, sizes: np.ndarray, steps: list[np.ndarray], top: np.ndarray, sample: int, fork: np.ndarray, taken: np.ndarray):
+        self.batch, self.docs, self.top, self.fork, self.taken = batch, docs, top, fork, taken
+        self.edges, self.occ, self.end, self.entry = np.concatenate(([0], np.cumsum(sizes))), *steps
+        self.place = np.full(len(batch.keys), -1)
+        self.place[docs] = np.arange(len(docs))
+        whole = batch.lattices.whole[batch.rows(self.occ, self.end)]
+        own = batch.lattices.probs[self.entry]
+        with np.errstate(divide="ignore"):
+            lp, beside = np.log(own), np.log(np.maximum(whole - own, 0.0) * (own < 1.0))
+        sums = np.concatenate(([0.0], np.cumsum(lp)))
+        self.p = sums[self.edges[1:]] - sums[self.edges[:-1]]
+        self.before = sums[:-1] - np.repeat(sums[self.edges[:-1]], sizes)
+        self.gap = batch.noise(self.occ, self.end, sample) - self.before - beside
+
+    def best(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text of the batch the perturbed score of its path's best branch (-inf where there is none), and the step."""
+        score, step = np.full(len(self.place), -np.inf), np.full(len(self.place), -1)
+        some = np.flatnonzero(np.diff(self.edges))
+        if len(some):
+            least = np.minimum.reduceat(self.gap, self.edges[some])
+            at = np.flatnonzero(self.gap == np.repeat(least, np.diff(self.edges)[some]))
+            step[self.docs[some]] = at[np.searchsorted(at, self.edges[some])]
+            score[self.docs[some]] = -np.logaddexp(-self.top[some], least)
+        return score, step
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of all paths in their texts' order, and where each path's begin and end."""
+        v, lattices = self.batch.v, self.batch.lattices
+        first = bounds(self.occ)
+        run = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        turned = first[run] + first[run + 1] - 1 - np.arange(len(run))  # each unit's steps the other way round
+        place = lattices.place[self.entry[turned]]
+        out = v.ids[place].astype(np.int32)
+        odd = np.flatnonzero(place < 0)
+        if not len(odd):
+            return out, self.edges
+        code = lattices.codes[self.batch.rows(self.occ[turned[odd]], self.end[turned[odd]])]
+        size, more = np.ones(len(place), np.int64), utf8_size(code)
+        size[odd] = more
+        at = np.concatenate(([0], np.cumsum(size)))
+        out = np.repeat(out, size)
+        nth, left = spans(np.zeros_like(more), more), np.repeat(more, more)
+        code = np.repeat(code, more)
+        head = np.array([0, 0, 0xC0, 0xE0, 0xF0])[left]
+        out[spans(at[odd], more)] = v.byte_ids[np.where(nth == 0, head | code >> 6 * (left - 1), 0x80 | code >> 6 * (left - 1 - nth) & 0x3F)]
+        return out, at[self.edges]
 
 
 class Batch:
-    """Texts that are sampled together. A path is arrays of steps (unit occurrence, end in the unit, length), in the search's order:
-    unit by unit, from each unit's end to its start."""
+    """Texts that are sampled together."""
 
     def __init__(self, texts: list[str], keys: list[int], v: Vocabulary):
         self.v, self.keys = v, np.array(keys, _U)
@@ -224,133 +320,109 @@ class Batch:
         codes = np.where(codes == 32, np.uint32(ord(SPACE)), codes)
         ends = np.cumsum([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
         start = v.starts(codes, ends)
-        size = np.diff(start, append=len(codes))
-        self.unit, example = distinct(codes, start, size)
-        lengths = size[example]
-        at = np.repeat(start[example] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        self.lattices = Lattices(v, codes[at], lengths)
-        self.steps = self.lattices.steps
+        self.size = np.diff(start, append=len(codes))
+        self.unit, example = distinct(codes, start, self.size)
+        lengths = self.size[example]
+        self.lattices = Lattices(v, codes[spans(start[example], lengths)], lengths)
         self.first = np.searchsorted(start, np.concatenate(([0], ends)))
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.size, self.base = size, self.lattices.base[self.unit]
-        self.start = start - np.concatenate(([0], ends))[self.doc]  # of an occurrence in its text
-
-    def descend(self, occ: np.ndarray, end: np.ndarray, sample: int) -> list[np.ndarray]:
-        """Steps from the given ends to their units' starts, drawn; in order of occurrence, then from the end on."""
-        occs, ends, lens, nth = [], [], [], []
-        origin, count, k = np.arange(len(occ)), np.zeros(len(occ), np.int64), 0
-        open_ = np.flatnonzero(end > 0)
-        occ_, end_, origin = occ[open_], end[open_], origin[open_]
-        while len(occ_):
-            u = uniform(self.keys[self.doc[occ_]], (self.start[occ_] + end_) * 64 + 2 * sample)
-            c = self.lattices.sums[self.base[occ_] + end_ - 1]
-            n = (c < (u * c[:, -1])[:, None]).sum(axis=1) + 1
-            occs.append(occ_), ends.append(end_), lens.append(n), nth.append(np.stack((origin, np.full(len(n), k))))
-            count[origin] += 1
-            end_ = end_ - n
-            go = end_ > 0
-            occ_, end_, origin, k = occ_[go], end_[go], origin[go], k + 1
-        out = [np.zeros(int(count.sum()), np.int64) for _ in range(3)]
-        if occs:
-            place = np.cumsum(count) - count
-            at = np.concatenate([place[o] + j for o, j in nth])
-            for to, parts in zip(out, (occs, ends, lens), strict=True):
-                to[at] = np.concatenate(parts)
-        return out
+        self.start, self.key = start - np.concatenate(([0], ends))[self.doc], self.keys[self.doc]  # of an occurrence in its text
 
     def rows(self, occ: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.base[occ] + end - 1
-
-    def weigh(self, path: list[np.ndarray], docs: np.ndarray, top: np.ndarray, sample: int) -> dict[int, dict]:
-        """Log-probabilities of steps, and the perturbed best scores of what stands beside them, for each text of docs (in order)."""
-        occ, end, n = path
-        row = self.rows(occ, end)
-        own = self.steps[row, n - 1]
-        with np.errstate(divide="ignore"):
-            lp, beside = np.log(own), np.log(np.maximum(self.lattices.sums[row, -1] - own, 0.0) * (own < 1.0))
-        doc = self.doc[occ]
-        edges = np.searchsorted(doc, docs), np.searchsorted(doc, docs, "right")
-        sums = np.concatenate(([0.0], np.cumsum(lp)))
-        sizes = edges[1] - edges[0]
-        before = sums[:-1] - np.repeat(sums[edges[0]], sizes)
-        u = uniform(self.keys[doc], (self.start[occ] + end) * 64 + 2 * sample + 1)
-        side = cut_gumbel(before + beside, np.repeat(top, sizes), u)
-        return {d: {"path": [x[a:b] for x in path], "before": before[a:b], "p": float(sums[b] - sums[a]), "side": side[a:b], "top": float(g), "out": {}} for d, a, b, g in zip(docs.tolist(), edges[0].tolist(), edges[1].tolist(), top.tolist(), strict=True)}
-
-    def sample(self, k: int) -> list[list[dict]]:
-        """For each text its samples, best first, as {path, p, top, inclusion}."""
+        return self.lattices.off[end - 1] + self.unit[occ]
+
+    def draw(self, occ: np.ndarray, end: np.ndarray, number: int) -> np.ndarray:
+        """The numbers of a place in a text; each has 64."""
+        return uniform(self.key[occ], (self.start[occ] + end) * 64 + number)
+
+    def noise(self, occ: np.ndarray, end: np.ndarray, sample: int) -> np.ndarray:
+        u = self.draw(occ, end, 2 * sample + 1)
+        return np.log(-np.log(u, out=u), out=u)
+
+    def descend(self, occ: np.ndarray, end: np.ndarray, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Steps from the given ends to their units' starts, drawn; in order of occurrence, then from the end on. And how many each has."""
+        lattices, found = self.lattices, []
+        count = np.zeros(len(occ), np.int64)
+        origin = np.flatnonzero(end > 0)
+        occ, end = occ[origin], end[origin]
+        while len(occ):
+            row = self.rows(occ, end)
+            entry, bar = lattices.ptr[row], self.draw(occ, end, 2 * sample) * lattices.whole[row]
+            on = np.flatnonzero(lattices.sums[entry] < bar)
+            while len(on):
+                entry[on] += 1
+                on = on[lattices.sums[entry[on]] < bar[on]]
+            found.append((origin, occ, end, entry))
+            count[origin] += 1
+            end = end - lattices.length[entry]
+            go = np.flatnonzero(end)
+            origin, occ, end = origin[go], occ[go], end[go]
+        out, place = [np.empty(int(count.sum()), np.int64) for _ in range(3)], np.cumsum(count) - count
+        for k, (origin, *parts) in enumerate(found):
+            at = place[origin] + k
+            for to, part in zip(out, parts, strict=True):
+                to[at] = part
+        return out, count
+
+    def sample(self, k: int) -> tuple[list[Paths], np.ndarray]:
+        """The texts' first, second, ... samples, and each text's threshold: the perturbed score of the next (-inf if there is none)."""
         docs = np.arange(len(self.keys))
         top = -np.log(-np.log(uniform(self.keys, np.full(len(docs), 1))))  # the root's log-mass is 0
-        found = self.weigh(self.descend(np.arange(len(self.unit)), self.size.copy(), 0), docs, top, 0)
-        paths: list[list[dict]] = [[found[d]] for d in docs.tolist()]
-        bar = np.full(len(docs), -np.inf)
+        steps, count = self.descend(np.arange(len(self.unit)), self.size, 0)
+        sizes = np.bincount(self.doc, count, len(docs)).astype(np.int64)
+        paths = [Paths(self, docs, sizes, steps, top, 0, np.full(len(docs), -1), np.full((len(docs), k), -1))]
         for s in range(1, k + 1):
-            grown = []
-            for d, own in enumerate(paths):
-                best = max(((float(x["side"][t]), -i, t) for i, x in enumerate(own) if len(x["side"]) for t in (int(x["side"].argmax()),)), default=(-np.inf, 0, 0))
-                if len(own) < s or best[0] == -np.inf:
-                    continue
-                if s == k:
-                    bar[d] = best[0]
-                    continue
-                grown.append(self._branch(d, own[-best[1]], best[2], best[0], s))
-            if grown:
-                self._grow(paths, grown, s)
-        for d, own in enumerate(paths):
-            for x in own:
-                x["inclusion"] = 0.0 if bar[d] == -np.inf else float(np.log(-np.expm1(-np.exp(min(700.0, x["p"] - bar[d]))))) if x["p"] - bar[d] > -30 else x["p"] - float(bar[d])
-        return paths
-
-    def _branch(self, d: int, parent: dict, t: int, score: float, s: int) -> dict:
-        """The subtree beside step t of a path, without the steps that were taken from there before, and the step drawn in it."""
-        occ, end = int(parent["path"][0][t]), int(parent["path"][1][t])
-        taken = {*parent["out"].get(t, ()), int(parent["path"][2][t])}
-        p = self.steps[self.base[occ] + end - 1].copy()
-        p[[n - 1 for n in taken]] = 0.0
-        c = np.cumsum(p)
-        place = np.array([(int(self.start[occ]) + end) * 64 + 2 * s])
-        n = int((c < uniform(self.keys[d : d + 1], place)[0] * c[-1]).sum()) + 1
-        p[n - 1] = 0.0
-        parent["side"][t] = -np.inf
-        return {"doc": d, "parent": parent, "t": t, "score": score, "occ": occ, "end": end, "n": n, "taken": taken, "rest": float(p.sum())}
-
-    def _grow(self, paths: list[list[dict]], grown: list[dict], s: int) -> None:
-        occs, ends = [], []
-        for b in grown:
-            later = np.arange(b["occ"] + 1, self.first[b["doc"] + 1])
-            occs += [np.array([b["occ"]]), later]
-            ends += [np.array([b["end"] - b["n"]]), self.size[later]]
-        tail = self.descend(np.concatenate(occs), np.concatenate(ends), s)
-        cut = np.searchsorted(self.doc[tail[0]], [b["doc"] for b in grown]), np.searchsorted(self.doc[tail[0]], [b["doc"] for b in grown], "right")
-        whole = [[np.concatenate((b["parent"]["path"][i][: b["t"]], [(b["occ"], b["end"], b["n"])[i]], tail[i][x:y])) for i in range(3)] for b, x, y in zip(grown, *(e.tolist() for e in cut), strict=True)]
-        made = self.weigh([np.concatenate([w[i] for w in whole]) for i in range(3)], np.array([b["doc"] for b in grown]), np.array([b["score"] for b in grown]), s)
-        for b in grown:
-            x, t = made[b["doc"]], b["t"]
-            x["side"][:t] = -np.inf  # these stand beside the parent too
-            mass = x["before"][t] + (np.log(b["rest"]) if b["rest"] > 0 else -np.inf)
-            x["side"][t] = cut_gumbel(np.array([mass]), np.array([b["score"]]), uniform(self.keys[b["doc"] : b["doc"] + 1], np.array([(int(self.start[b["occ"]]) + b["end"]) * 64 + 2 * s + 1])))[0]
-            x["out"] = {t: b["taken"]}
-            paths[b["doc"]].append(x)
-
-    def ids(self, path: list[np.ndarray]) -> np.ndarray:
-        """A path's piece ids in the text's order."""
-        order = np.argsort(self.start[path[0]] + path[1], kind="stable")
-        occ, end, n = (x[order] for x in path)
+            score, step = map(np.stack, zip(*(x.best() for x in paths), strict=True))
+            parent = score.argmax(axis=0)
+            score, step = score[parent, docs], step[parent, docs]
+            on = np.flatnonzero((paths[-1].place >= 0) & (score > -np.inf))
+            if s == k:
+                bar = np.full(len(docs), -np.inf)
+                bar[on] = score[on]
+                return paths, bar
+            paths.append(self._branch(paths, on, parent[on], step[on], score[on], s))
+        raise AssertionError
+
+    def _branch(self, paths: list[Paths], docs: np.ndarray, parent: np.ndarray, step: np.ndarray, score: np.ndarray, s: int) -> Paths:
+        """Of each text of docs the best path in the subtree beside a step of a parent, without the entries that were taken from there before."""
+        lattices, n = self.lattices, len(docs)
+        occ, end, entry, before, first, taken = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n, np.int64), np.full((n, paths[0].taken.shape[1]), -1)
+        for r, x in enumerate(paths):
+            own = np.flatnonzero(parent == r)
+            t, at = step[own], x.place[docs[own]]
+            occ[own], end[own], entry[own], before[own], first[own] = x.occ[t], x.end[t], x.entry[t], x.before[t], x.edges[at]
+            again = x.fork[at] == t
+            taken[own[again]] = x.taken[at[again]]
+            x.gap[t] = np.inf
+        taken[:, s - 1] = entry
         row = self.rows(occ, end)
-        place = self.lattices.place[row, n - 1]
-        out = np.where(place >= 0, self.v.ids[place], 0).astype(np.int32)
-        odd = np.flatnonzero(place < 0)
-        if not len(odd):
-            return out
-        code = self.lattices.codes[row[odd]]
-        if (code < 0x80).all():
-            out[odd] = code.astype(np.int64) + self.v.byte_start
-            return out
-        parts, at = [], 0
-        for i, c in zip(odd.tolist(), code.tolist(), strict=True):
-            parts += [out[at:i], np.array([self.v.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")], np.int32)]
-            at = i + 1
-        return np.concatenate([*parts, out[at:]])
+        low, high = lattices.ptr[row], lattices.ptr[row + 1]
+        each = low[:, None] + np.arange((high - low).max(initial=1))
+        p = np.where((each < high[:, None]) & (each[:, :, None] != taken[:, None, :]).all(axis=2), lattices.probs[np.minimum(each, len(lattices.probs) - 1)], 0.0)
+        c = np.cumsum(p, axis=1)
+        nth = (c < (self.draw(occ, end, 2 * s) * c[:, -1])[:, None]).sum(axis=1)
+        p[np.arange(n), nth] = 0.0
+        rest, chosen = p.sum(axis=1), low + nth
+        # what comes after in the text
+        later = self.first[docs + 1] - occ
+        head, after = np.cumsum(later) - later, spans(occ, later)
+        ends = self.size[after]
+        ends[head] = end - lattices.length[chosen]
+        tail, count = self.descend(after, ends, s)
+        tails, ahead = np.add.reduceat(count, head) if n else count, step - first
+        sizes = ahead + 1 + tails
+        fork = np.cumsum(sizes) - sizes + ahead
+        steps = [np.empty(int(sizes.sum()), np.int64) for _ in range(3)]
+        for to, at_fork, rest_of, name in zip(steps, (occ, end, chosen), tail, ("occ", "end", "entry"), strict=True):
+            to[fork], to[spans(fork + 1, tails)] = at_fork, rest_of
+            for r, x in enumerate(paths):
+                own = np.flatnonzero(parent == r)
+                to[spans(fork[own] - ahead[own], ahead[own])] = getattr(x, name)[spans(first[own], ahead[own])]
+        made = Paths(self, docs, sizes, steps, score, s, fork, taken)
+        made.gap[spans(fork - ahead, ahead)] = np.inf  # these stand beside the parent too
+        with np.errstate(divide="ignore"):
+            made.gap[fork] = self.noise(occ, end, s) - before - np.log(rest)
+        return made
 
 
 def row_key(doc_id: int | None, seed: int) -> int:
@@ -366,15 +438,30 @@ def samples(rows: list[tuple[int | None, str | None]], k: int, seed: int, path:
         size = len(rows[i][1] or "") if i < len(rows) else 0
         if held and (i == len(rows) or total + size > BATCH_CHARS):
             batch = Batch([t or "" for _, t in held], [row_key(d, seed) for d, _ in held], vocabulary(path))
-            for j, own in enumerate(batch.sample(k)):
-                for rank, x in enumerate(own, 1):
-                    yield first + j, rank, batch.ids(x["path"]), x["p"], x["top"], x["inclusion"]
+            made = []
+            paths, bar = batch.sample(k)
+            for x in paths:
+                ids, edges = x.ids()
+                made.append((ids, edges.tolist(), x.p.tolist(), x.top.tolist(), inclusion(x.p, bar[x.docs]).tolist(), x.place.tolist()))
+            del batch, paths
+            for j in range(len(held)):
+                for rank, (ids, edges, p, top, scores, place) in enumerate(made, 1):
+                    if (at := place[j]) >= 0:
+                        yield first + j, rank, ids[edges[at] : edges[at + 1]], p[at], top[at], scores[at]
             first, held, total = i, [], 0
         if i < len(rows):
             held.append(rows[i])
             total += size
 
 
+def inclusion(p: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    """Log-probability that a path of log-probability p passes the threshold."""
+    over = p - np.where(np.isneginf(bar), 0.0, bar)
+    with np.errstate(divide="ignore"):
+        near = np.log(-np.expm1(-np.exp(np.clip(over, -30, 700))))
+    return np.where(np.isneginf(bar), 0.0, np.where(over > -30, near, over))
+
+
 ENCODED = "doc_id long, rank int, n_tokens long, log_prob double, perturbed double, inclusion double, ids array<int>"
 DIGEST = ENCODED.replace("ids array<int>", "ids_sha256 string, decoded_sha256 string, restored boolean")
 
@@ -393,19 +480,18 @@ def encoded(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, path: str = MOD
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *((pa.string(), pa.string(), pa.bool_()) if digest else (pa.list_(pa.int32()),)))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        if digest:
+            backs = all_bytes_of([r[6] for r in rows], vocabulary(path))
+            rows = [(*r[:6], hashlib.sha256(r[6].astype("<i4").tobytes()).hexdigest(), hashlib.sha256(b).hexdigest(), b == (r[7] or "").replace(SPACE, " ").encode()) for r, b in zip(rows, backs, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    def digests(ids: np.ndarray, text: str | None) -> tuple[str, str, bool]:
-        back = bytes_of(ids, vocabulary(path))
-        return hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), hashlib.sha256(back).hexdigest(), back == (text or "").replace(SPACE, " ").encode()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             given, rows, tokens = list(zip(*(c.to_pylist() for c in batch.columns), strict=True)), [], 0
-            for i, rank, ids, p, top, inclusion in samples(given, k, seed, path):
-                rows.append((given[i][0], rank, len(ids), p, top, inclusion, *(digests(ids, given[i][1]) if digest else (ids,))))
+            for i, rank, ids, p, top, score in samples(given, k, seed, path):
+                rows.append((given[i][0], rank, len(ids), p, top, score, ids, given[i][1]))
                 tokens += len(ids)
-                if tokens > 1 << 20:
+                if tokens > 1 << 18:
                     yield batch_of(rows)
                     rows, tokens = [], 0
             yield batch_of(rows)
@@ -413,11 +499,18 @@ def encoded(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, path: str = MOD
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, schema)
 
 
-def bytes_of(ids: np.ndarray, v: Vocabulary) -> bytes:
-    """The UTF-8 bytes of the text that pieces spell, without the space that encoding put before it."""
+def all_bytes_of(texts: list[np.ndarray], v: Vocabulary) -> Iterator[bytes]:
+    """The UTF-8 bytes of the texts that pieces spell, without the space that encoding put before each."""
+    ids = np.concatenate([np.zeros(0, np.int32), *texts])
     size = v.spelled_size[ids]
-    at = np.repeat(v.spelled_start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
-    return v.spelled[at].tobytes().removeprefix(b" ")
+    whole = v.spelled[spans(v.spelled_start[ids], size)].tobytes()
+    at = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, texts)])].tolist()
+    for a, b in zip(at, at[1:], strict=False):
+        yield whole[a:b].removeprefix(b" ")
+
+
+def bytes_of(ids: np.ndarray, v: Vocabulary) -> bytes:
+    return next(all_bytes_of([ids], v))
 
 
 def text_of(ids: list[int], v: Vocabulary) -> str:

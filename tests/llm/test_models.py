@@ -367,6 +367,40 @@ class TestSegmentations:
         assert kind.tolist() in ([0, 1, 0], [1, 0, 1]) and len(example) == 2
         assert [x[2].tolist() for x in sp.samples(rows, 2, 17, sp.MODEL)] == want
 
+    def test_units_that_go_on_after_the_longest_pieces(self, vocabulary):
+        for text in ("-" * 17, "-" * 200 + "s", "| " + "=" * 40 + "\n" + "*" * 33, "é🙂中" * 9 + "-" * 17):
+            for _, _, ids, *_ in sp.samples([(1, text)], 3, 17, sp.MODEL):
+                assert sp.text_of(ids.tolist(), vocabulary) == text
+
+    def test_lattices_hold_pieces_only(self, vocabulary):
+        """Of each end in a unit just the pieces that end there, with the probabilities of plain forward sums."""
+        weight = {vocabulary.pieces[i]: w for i, w in zip(vocabulary.ids.tolist(), vocabulary.weights.tolist(), strict=True)}
+        texts = ["nothing of the kind", "Überraschung 中🙂", "a" * 40]
+        batch = sp.Batch(texts, [1, 2, 3], vocabulary)
+        lattices, codes, rows = batch.lattices, [ord(c) for t in texts for c in sp.SPACE + t.replace(" ", sp.SPACE)], 0
+        for occ, (start, size) in enumerate(zip(np.cumsum(batch.size) - batch.size, batch.size, strict=True)):
+            unit, total = "".join(map(chr, codes[start : start + size])), [0.0]
+            for end in range(1, size + 1):
+                odd = vocabulary.byte_weight * len(unit[end - 1].encode())
+                every = {n: total[end - n] + weight.get(unit[end - n : end], odd) for n in range(1, end + 1) if n == 1 or unit[end - n : end] in weight}
+                total.append(math.log(sum(map(math.exp, every.values()))))
+                row = int(batch.rows(np.array([occ]), np.array([end]))[0])
+                own = slice(int(lattices.ptr[row]), int(lattices.ptr[row + 1]))
+                assert lattices.length[own].tolist() == list(every)
+                assert lattices.probs[own] == pytest.approx([math.exp(x - total[-1]) for x in every.values()])
+                rows += 1
+        assert rows == len(codes) >= len(lattices.whole)
+
+    def test_texts_of_a_batch_are_drawn_together(self, vocabulary, monkeypatch):
+        calls, real = [], sp.uniform
+        monkeypatch.setattr(sp, "uniform", lambda *a: calls.append(1) or real(*a))
+        count = []
+        for n in (20, 400):
+            calls.clear()
+            assert len(list(sp.samples([(i, "some plain words to be cut") for i in range(n)], 2, 17, sp.MODEL))) == 2 * n
+            count.append(len(calls))
+        assert count[1] < 2 * count[0]
+
     def test_k_has_a_bound(self, vocabulary):
         with pytest.raises(ValueError):
             list(sp.samples([(1, "a")], 32, 17, sp.MODEL))
