@@ -80,6 +80,23 @@ def repeats(docs: list[tuple[int, str | None]], length: int) -> dict[int, tuple[
     return out
 
 
+def shared(docs: list[tuple[int, str | None]], n: int) -> dict[int, tuple[int, int]]:
+    """Words, and number, of passages of n words or more that another document holds too."""
+    words = {d: (t or "").encode().split() for d, t in docs}
+    holders: dict[tuple[bytes, ...], set[int]] = {}
+    for d, own in words.items():
+        for i in range(len(own) - n + 1):
+            holders.setdefault(tuple(own[i : i + n]), set()).add(d)
+    out = {}
+    for d, own in words.items():
+        found = bytearray(len(own))
+        for i in range(len(own) - n + 1):
+            if len(holders[tuple(own[i : i + n])]) > 1:
+                found[i : i + n] = b"\1" * n
+        out[d] = (sum(found), len(re.findall(b"\1+", bytes(found))))
+    return out
+
+
 def contaminated(docs: list[tuple[int, str | None]], items: list[tuple[object, str | None]], n: int = 10) -> dict[int, tuple[int, int, int, str, bool]]:
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
     windows: dict[tuple[str, ...], set[str]] = {}

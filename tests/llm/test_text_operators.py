@@ -172,6 +172,24 @@ class TestSuffixes:
         got = by_id([r[:5] for r in suffix_dedup.report(frame(spark, rows), length, seed=seed).collect()])
         assert got == brute.repeats(rows, length)
 
+    def test_passages_of_over_50_words(self, spark, sf_dir, docs):
+        short = " ".join(f"w{i}" for i in range(55))  # under 400 bytes
+        own = " ".join(f"own{i}" for i in range(60))
+        rows = [(1, f"a b {short} c"), (2, "x\n" + short.replace(" ", "\n") + "\ty"), (3, f"{own} and {own}"), (4, " ".join(short.split()[:50])), (5, "a " * 60), (6, "a " * 60), (7, None), (None, f"{own[:200]} {short} {short}")]
+        got = {r.doc_id: (r.n_removed, r.n_shared_words, r.n_shared_passages) for r in suffix_dedup.report(frame(spark, rows)).collect()}
+        assert got == {1: (0, 55, 1), 2: (0, 55, 1), 3: (0, 0, 0), 4: (0, 0, 0), 5: (0, 60, 1), 6: (0, 60, 1), 7: (0, 0, 0), None: (0, 110, 1)}
+        found = {r.doc_id: (r.n_shared_words, r.n_shared_passages) for r in queries.op7_suffix_dedup(spark, sf_dir).collect()}
+        assert found == brute.shared(docs, 51) and any(x[0] for x in found.values())
+
+    @pytest.mark.parametrize(("words", "seed", "split"), [(12, 4, 3), (7, 7, 2), (9, 2, 20)])
+    def test_random_words(self, spark, words, seed, split):
+        turn = random.Random(words)
+        passages = [" ".join(turn.choice(["ab", "c", "ä"]) for _ in range(turn.randrange(3, 40))) for _ in range(10)]
+        rows = [(i, turn.choice([" ", "\n "]).join(turn.choice([turn.choice(passages), "zq " * turn.randrange(15), f"u{turn.random()}"]) for _ in range(turn.randrange(9)))) for i in range(60)]
+        rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "zz " * 3000), (104, "q " * 50 + passages[0]), (105, rows[5][1] + " ")]
+        got = {r.doc_id: (sum(r.shared[1::2]) - sum(r.shared[::2]), len(r.shared) // 2) for r in suffix_dedup.removals(frame(spark, rows), words=words, word_options={"seed": seed, "split": split}).collect()}
+        assert got == brute.shared(rows, words)
+
     def test_null_ids_copies_and_empty(self, spark):
         text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(500))
         out = suffix_dedup.report(frame(spark, [(None, text), (None, text), (1, text), (1, None)])).collect()
