@@ -34,6 +34,8 @@ LENGTH, SEED_BYTES, SPLIT = 400, 128, 4
 WORDS, SEED_WORDS, SPLIT_WORDS = 51, 16, 20
 #: Bytes of text that are hashed in one pass; longer texts are passes of their own.
 PASS_BYTES = 1 << 21
+#: Contexts that a worker holds before it sends them; a text that repeats itself has many.
+CONTEXTS = 1 << 14
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -259,13 +261,18 @@ def contexts_of(texts: DataFrame, pairs: DataFrame, length: int, unit: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WordIds()
+        types = (pa.int64(), pa.int64(), *(kinds.get(c, pa.int32()) for c in inner), pa.binary())
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=[*_LIVE, "context"])
         for batch in slices(batches):
             rows = []
             for k1, k2, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text if unit == 1 else ids.of(text).tobytes()
-                rows += [(k1, k2, *(x[c] for c in inner), text[(x["anchor"] - x["high"]) * unit : (x["anchor"] - x["low"] + length) * unit]) for x in own]
-            types = (pa.int64(), pa.int64(), *(kinds.get(c, pa.int32()) for c in inner), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], names=[*_LIVE, "context"])
+                for x in own:
+                    rows.append((k1, k2, *(x[c] for c in inner), text[(x["anchor"] - x["high"]) * unit : (x["anchor"] - x["low"] + length) * unit]))
+                    if len(rows) == CONTEXTS:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
 
     schema = "k1 long, k2 long, " + ", ".join(f"{c} {'long' if c in kinds else 'int'}" for c in inner) + ", context binary"
     return texts.join(small(own, pairs.count(), 48), ["k1", "k2"]).select("k1", "k2", "text", "own").mapInArrow(run, schema).dropDuplicates(OCC)
